@@ -63,7 +63,7 @@ def test_targets_reshare_what_exceeds_the_cap():
 
 
 def test_mix_meets_targets_and_bounds(spark, documents):
-    rows = [(i, "w " * (1 + i * 7 % 50) + ("### " * (i % 3)), f"s{i % 4}" if i % 5 else None) for i in range(400)] + [(None, None, "s0"), (3, "", "s1"), (3, "", "s1")]
+    rows = [(i, "w " * (1 + i * i % 53) + ("### " * (i % 3)), f"s{i % 4}" if i % 5 else None) for i in range(400)] + [(None, None, "s0"), (3, "", "s1"), (3, "", "s1")]
     df = documents(rows).selectExpr("*", "1 AS size", "2 AS key", "3 AS id")
     rows = mixing.mix(df).collect()
     assert len(rows) == 403 and all(0 <= r.taken <= 2 * r.size for r in rows)
