@@ -167,7 +167,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = labels.join(classes, labels["node"] == classes["fp"]).select("fp", "root", "first")
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     linked = known.join(least, "root").select("fp", "component")
-    of = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    # stored, so that the last join reads two plain tables and its hot fingerprints can be split
+    of = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "members")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
