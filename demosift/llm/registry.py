@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sentencepiece_codec, sharding, simhash, winnowing
-from .common import table
+from . import ann, mixing, quality, secrets, sentencepiece_codec, sharding, simhash, toxicity, winnowing
+from .common import table, trained_on
 
 
 def tokenizer_model() -> bytes:
@@ -44,6 +44,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
@@ -51,6 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_winnowing": op6_winnowing,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_ann": op9_ann,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
