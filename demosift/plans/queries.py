@@ -1,10 +1,447 @@
-"""Registered queries of the example-retrieval engine."""
+"""Registered queries of the example-retrieval engine, over whole tables, with SQL that says the same.
+
+``documents`` is the corpus (source text, its source as target), ``benchmark`` the queries, ``embeddings``
+the vectors, ``conversations`` the predictions (a user's turn) and references (the turn that follows).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demosift.functions import text as T
+from demosift.operators import bm25, dense, diversity, graph, induction, lexicon, metrics, model_calls, normalize, prompts, rank, sampling
+from demosift.sources import sinks
+
+from .retrieval import Index
+
+SHOWN = 6
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("source_text"), F.col("source").alias("target_text"), F.col("lang").alias("source_lang"), F.lit("en").alias("target_lang"))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    return df.withColumn("type", normalize.derived_type("source_text"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.col("text").alias("source_text"))).drop("source_text")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "row_id", F.col("rank").cast("int").alias("rank"), (F.round("score", SHOWN) + 0.0).alias("score"))
+
+
+def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternative names and codes brought to the canonical schema, cleaned."""
+    d = _table(spark, sf_dir, "documents")
+    codes = {"en": "eng_Latn", "de": "deu_Latn", "fr": "chg_Arab", "es": "uzb_Cyrl"}
+    raw = d.select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("src_text"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("tgt_text"), F.lit("kaz_Xxxx").alias("src_lang"), normalize._map(codes)[F.col("lang")].alias("tgt_lang"))
+    out = normalize.clean(normalize.normalize_schema(raw))
+    return out.select("doc_id", "source_lang", "target_lang", "type", F.length("source_text").alias("n_chars"), F.md5(F.col("source_text").cast("binary")).alias("digest"))
+
+
+CLEAN_SQL = r"""
+SELECT doc_id, 'kk' AS source_lang, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'chg' WHEN 'es' THEN 'uz' END AS target_lang,
+  CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_ʿʾ''-]+'), lambda t: t <> '')) = 1 THEN 'word' ELSE 'phrase' END AS type,
+  length(trim(text, E' \t\r\n'))::INT AS n_chars, md5(trim(text, E' \t\r\n')) AS digest
+FROM documents WHERE doc_id % 7 <> 0 AND trim(text, E' \t\r\n') <> ''"""
+
+
+def type_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph tokens, type and length bucket of every text, from a stated length for some."""
+    tokens = T.graph_tokens("text")
+    d = _table(spark, sf_dir, "documents").select("doc_id", "n_chars", tokens.alias("tokens"))
+    stated = F.when(F.col("doc_id") % 3 == 0, (F.col("n_chars") / 100).cast("string")).otherwise(F.lit("unknown"))
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), F.when(F.size("tokens") == 1, "word").otherwise("phrase").alias("type"), T.length_bucket(stated, F.col("tokens")).alias("bucket"))
+
+
+TYPE_SQL = r"""
+WITH t AS (SELECT doc_id, n_chars, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_ʿʾ''-]+'), lambda t: t <> ''))::INT AS n_tokens FROM documents),
+b AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN trunc(n_chars / 100.0) ELSE n_tokens END AS n FROM t)
+SELECT doc_id, n_tokens, CASE WHEN n_tokens = 1 THEN 'word' ELSE 'phrase' END AS type,
+  CASE WHEN n <= 1 THEN '1' WHEN n <= 2 THEN '2' WHEN n <= 4 THEN '3-4' WHEN n <= 8 THEN '5-8' ELSE '9+' END AS bucket FROM b"""
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best documents of every benchmark item."""
+    return _shown(bm25.similarity(corpus(spark, sf_dir), asked(spark, sf_dir), 8))
+
+
+_BM25 = r"""
+t AS (SELECT doc_id AS row_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '') AS tokens FROM documents),
+n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
+tf AS (SELECT row_id, len(tokens) AS length, term, count(*) AS tf FROM (SELECT row_id, tokens, unnest(tokens) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, row_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM q JOIN tf USING (term) JOIN idf USING (term), n GROUP BY ALL),
+a AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN s ON query_id = item_id AND row_id = doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, row_id DESC) AS rank FROM a)"""
+BM25_SQL = f"WITH {_BM25} SELECT query_id, row_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 8"
+
+
+def bm25_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight varied documents out of the forty best of every item."""
+    c = corpus(spark, sf_dir)
+    return _shown(diversity.lexical_diversity(bm25.similarity(c, asked(spark, sf_dir), diversity.CANDIDATES), c, 8))
+
+
+def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequency and idf of every feature."""
+    idf = graph.build(typed(corpus(spark, sf_dir)))[1]
+    return idf.select("feature", "df", F.round("idf", SHOWN).alias("idf"))
+
+
+def graph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every row, their weight and their shares."""
+    edges = graph.build(typed(corpus(spark, sf_dir)))[0]
+    total = lambda c: F.round(F.sum(c), 4).alias(c)
+    return edges.groupBy("row_id").agg(F.count("*").alias("n_edges"), total("weight"), total("p_s_given_f"), total("p_f_given_s"))
+
+
+_FEATURES = r"""
+tok AS (SELECT side, id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_ʿʾ''-]+'), lambda t: t <> '') AS k FROM
+  (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+one AS (SELECT side, id, unnest(k) AS t FROM tok),
+two AS (SELECT side, id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS t FROM tok),
+f AS (SELECT side, id, 'token:' || t AS feature, 3.0::DOUBLE AS w FROM one
+  UNION ALL SELECT side, id, 'suffix3:' || right(t, 3), 1.2 FROM one WHERE length(t) >= 3
+  UNION ALL SELECT side, id, 'prefix3:' || left(t, 3), 0.6 FROM one WHERE length(t) >= 3
+  UNION ALL SELECT side, id, 'suffix4:' || right(t, 4), 0.9 FROM one WHERE length(t) >= 4
+  UNION ALL SELECT side, id, 'bigram:' || t, 2.2 FROM two
+  UNION ALL SELECT side, id, 'type:' || CASE WHEN len(k) = 1 THEN 'word' ELSE 'phrase' END, 1.0 FROM tok
+  UNION ALL SELECT side, id, 'length:' || CASE WHEN len(k) <= 1 THEN '1' WHEN len(k) <= 2 THEN '2' WHEN len(k) <= 4 THEN '3-4' WHEN len(k) <= 8 THEN '5-8' ELSE '9+' END, 0.8 FROM tok),
+raw AS (SELECT side, id, feature, sum(w) AS raw FROM f GROUP BY ALL),
+idf AS (SELECT feature, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM raw WHERE side = 0 GROUP BY feature),
+e AS (SELECT id AS row_id, feature, raw * idf AS weight FROM raw JOIN idf USING (feature) WHERE side = 0)"""
+FEATURES_SQL = f"WITH {_FEATURES} SELECT feature, df, round(idf, 6) AS idf FROM idf"
+ROWS_SQL = f"""WITH {_FEATURES}, x AS (SELECT *, sum(weight) OVER (PARTITION BY feature) AS ft, sum(weight) OVER (PARTITION BY row_id) AS rt FROM e)
+SELECT row_id, count(*) AS n_edges, round(sum(weight), 4) AS weight, round(sum(weight / ft), 4) AS p_s_given_f, round(sum(weight / rt), 4) AS p_f_given_s FROM x GROUP BY row_id"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """With a vector for every row and query, dealt from the embeddings by their number."""
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = v.count()
+    rows, queries = typed(corpus(spark, sf_dir)), asked(spark, sf_dir)
+    own = rows.select("row_id", (F.col("row_id") % n).alias("vec_id")).join(v, "vec_id").select("row_id", "embedding")
+    ask = queries.select("query_id", (F.col("query_id") * 50 % n).alias("vec_id")).join(v, "vec_id").select("query_id", "embedding")
+    return Index(rows, queries, "graph", own, ask)
+
+
+def graph_common_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight documents of every item with the most alike features."""
+    return _shown(Index(typed(corpus(spark, sf_dir)), asked(spark, sf_dir), "graph").ranked("graph_common", 8))
+
+
+COMMON_SQL = f"""WITH {_FEATURES},
+q AS (SELECT id AS query_id, feature, raw * coalesce(idf, 1) AS weight FROM raw LEFT JOIN idf USING (feature) WHERE side = 1),
+qn AS (SELECT query_id, sqrt(sum(weight * weight)) AS qn FROM q GROUP BY query_id),
+rn AS (SELECT row_id, sqrt(sum(weight * weight)) AS rn FROM e GROUP BY row_id),
+s AS (SELECT query_id, row_id, sum(q.weight * e.weight) AS dot FROM q JOIN e USING (feature) GROUP BY ALL),
+c AS (SELECT query_id, row_id, dot / greatest(qn * rn, 1e-12) AS score FROM s JOIN qn USING (query_id) JOIN rn USING (row_id)),
+a AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN c ON query_id = item_id AND row_id = doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, row_id DESC) AS rank FROM a)
+SELECT query_id, row_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 8"""
+
+
+def graph_ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight documents of every item that a restarting walk visits most."""
+    return _shown(Index(typed(corpus(spark, sf_dir)), asked(spark, sf_dir), "graph").ranked("graph_ppr", 8))
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, walk and features blended."""
+    return _shown(_index(spark, sf_dir).ranked("hybrid_graph", 8))
+
+
+def ppr_bm25_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, walk and BM25 blended."""
+    return _shown(_index(spark, sf_dir).ranked("graph_ppr_bm25_dense", 8))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return v, v.where(F.col("row_id") % 50 == 0).withColumnRenamed("row_id", "query_id")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest vectors of every fiftieth one, itself included."""
+    return _shown(dense.similarity(*_vectors(spark, sf_dir), 8))
+
+
+DENSE_SQL = """
+WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS row_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, row_id DESC) AS rank FROM s)
+SELECT query_id, row_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 8"""
+
+
+def dense_kmeans_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of each of eight clusters among the forty nearest."""
+    v, q = _vectors(spark, sf_dir)
+    return _shown(diversity.dense_diversity(dense.similarity(v, q, diversity.CANDIDATES), v, 8))
+
+
+def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 scores of every item and document it shares a term with, scaled over all documents."""
+    c = corpus(spark, sf_dir)
+    found = rank.normalize(bm25.scores(bm25.postings(c), asked(spark, sf_dir)), c.count())
+    return found.select("query_id", "row_id", (F.round("score", SHOWN) + 0.0).alias("score"))
+
+
+NORMALIZED_SQL = f"""WITH {_BM25}, m AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM a GROUP BY query_id)
+SELECT query_id, row_id, round(CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 0 ELSE (s.score - lo) / (hi - lo) END, 6) AS score FROM s JOIN m USING (query_id)"""
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each language a sample of a tenth takes."""
+    got = sampling.sample_fraction(corpus(spark, sf_dir).withColumn("type", F.col("source_lang")), 0.1, 42)
+    return got.groupBy("type").agg(F.count("*").alias("n"))
+
+
+SAMPLE_SQL = "SELECT lang AS type, least(count(*), greatest(1, round_even(count(*) * 0.1, 0)))::BIGINT AS n FROM documents GROUP BY lang"
+
+
+def random_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight rows drawn for every item."""
+    return sampling.random_rows(asked(spark, sf_dir), corpus(spark, sf_dir).count(), 8, 42, position="query_id")
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's short words as a dictionary: each means the items it stands in, in order."""
+    words = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.lexicon_tokens("text")).alias("at", "word"))
+    words = words.where(F.length("word").between(3, 5)).select((F.col("item_id") * 1_000_000 + F.col("at")).alias("row_id"), F.col("word").alias("source_text"), F.concat(F.lit("t"), "item_id").alias("target_text"), F.lit("chg").alias("source_lang"), F.lit("en").alias("target_lang"), F.lit("word").alias("type"))
+    return lexicon.build(words, "chg", "en")
+
+
+def _entries(spark: SparkSession, sf_dir: str, fuzzy: str | None) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    found = lexicon.lookup(d, _dictionary(spark, sf_dir), "doc_id", "text", fuzzy)
+    line = lambda e: F.concat_ws("|", e["query"], e["source"], F.array_join(e["translations"], ","), e["match"])
+    return found.select("doc_id", F.size("entries").alias("n_entries"), F.md5(F.array_join(F.transform("entries", line), ";").cast("binary")).alias("digest"))
+
+
+def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary's keys, first surfaces and ordered meanings."""
+    return _dictionary(spark, sf_dir).select("key", "surface", F.array_join("translations", ",").alias("translations"))
+
+
+def lexicon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, None)
+
+
+def lexicon_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, "substring")
+
+
+def lexicon_maxmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, "max_matching")
+
+
+_LEXICON = r"""
+w AS (SELECT item_id, generate_subscripts(k, 1) AS pos, unnest(k) AS word FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}ʿʾ''’-]+') AS k FROM benchmark)),
+c AS (SELECT replace(lower(word), 'ß', 'ss') AS key, word, 't' || item_id AS target, item_id * 1000000 + pos AS o FROM w WHERE length(word) BETWEEN 3 AND 5),
+m AS (SELECT key, target, min(o) AS o FROM c GROUP BY ALL),
+lex AS (SELECT key, arg_min(word, c.o) AS surface FROM c GROUP BY key),
+tr AS (SELECT key, list(target ORDER BY o) AS translations FROM m GROUP BY key),
+l AS (SELECT * FROM lex JOIN tr USING (key)),
+tok AS (SELECT doc_id, generate_subscripts(k, 1) AS pos, unnest(k) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}ʿʾ''’-]+') AS k FROM documents)),
+tk AS (SELECT *, replace(lower(token), 'ß', 'ss') AS tkey FROM tok),
+ex AS (SELECT doc_id, pos, 0 AS nth, token, key, surface, translations, 'exact' AS match FROM tk JOIN l ON tkey = key)"""
+_LEXICON_END = r"""
+h AS (SELECT doc_id, key, arg_min(struct_pack(pos := pos, nth := nth, line := token || '|' || surface || '|' || array_to_string(translations[:2], ',') || '|' || match), pos * 100000 + nth) AS h FROM hits GROUP BY ALL),
+n AS (SELECT doc_id, list(h.line ORDER BY h.pos, h.nth)[:80] AS lines FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(lines), 0)::INT AS n_entries, md5(coalesce(array_to_string(lines, ';'), '')) AS digest FROM documents d LEFT JOIN n USING (doc_id)"""
+TERMS_SQL = f"WITH {_LEXICON} SELECT key, surface, array_to_string(translations, ',') AS translations FROM l"
+EXACT_SQL = f"WITH {_LEXICON}, hits AS (SELECT * FROM ex), {_LEXICON_END}"
+SUBSTRING_SQL = f"""WITH {_LEXICON},
+un AS (SELECT DISTINCT tkey FROM tk WHERE tkey NOT IN (SELECT key FROM l) AND length(tkey) >= 3),
+fz AS (SELECT tkey, row_number() OVER (PARTITION BY tkey ORDER BY length(key) DESC, key) AS nth, key, surface, translations FROM
+  (SELECT tkey, substr(tkey, s, n) AS key FROM (SELECT tkey, s, unnest(range(3, 11)) AS n FROM (SELECT tkey, unnest(range(1, length(tkey) - 1)) AS s FROM un)) WHERE s + n - 1 <= length(tkey) GROUP BY ALL) JOIN l USING (key)),
+hits AS (SELECT * FROM ex UNION ALL SELECT doc_id, pos, nth, token, key, surface, translations, 'fuzzy' FROM tk JOIN fz USING (tkey)), {_LEXICON_END}"""
+
+
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt with three examples for every item, and its budget."""
+    index = Index(corpus(spark, sf_dir).withColumn("type", F.lit("phrase")), asked(spark, sf_dir), "bm25")
+    lists = prompts.examples_of(index.examples("similarity", 3))
+    found = index.queries.join(lists, "query_id")
+    text = prompts.prompt(F.col("examples"), F.col("text"), F.lit("chg"), F.lit("en"))
+    found = found.select("query_id", text.alias("prompt"), normalize.request_budget("text", 100, 150).alias("max_tokens"))
+    return found.select("query_id", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"), "max_tokens", normalize.empty_retry_budget("max_tokens", 100, 150).alias("retry_max_tokens"))
+
+
+PROMPT_SQL = f"""WITH {_BM25},
+x AS (SELECT query_id, string_agg('Chagatai: ' || trim(text, E' \\t\\r\\n') || E'\\nEnglish: ' || source || E'\\n\\n', '' ORDER BY rank) AS shown FROM r JOIN documents ON row_id = doc_id WHERE rank <= 3 GROUP BY query_id),
+p AS (SELECT item_id AS query_id, E'Task: Translate the following Chagatai texts to English.\\nOutput only the translation. Do not explain anything.\\n\\nExamples:\\n' || shown || E'Now translate:\\nChagatai: ' || text || E'\\nEnglish:' AS prompt,
+  least(greatest(100, floor(length(text) / 3.0)::INT + 1), 150) AS max_tokens FROM benchmark JOIN x ON query_id = item_id)
+SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS digest, max_tokens::INT AS max_tokens, least(150, greatest(2 * max_tokens, 100))::INT AS retry_max_tokens FROM p"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a user as a prediction of the turn that follows."""
+    c = _table(spark, sf_dir, "conversations")
+    one = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prediction"))
+    two = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reference"))
+    kinds = F.array(*map(F.lit, ("random", "similarity", "graph_ppr")))
+    return one.join(two, ["conv_id", "turn"]).select("conv_id", "turn", "prediction", "reference", F.lit("model").alias("model"), F.lit("en").alias("target_lang"), F.get(kinds, (F.col("conv_id") % 3).cast("int")).alias("strategy"), (F.col("conv_id") % 2 * 4 + 4).cast("int").alias("k"))
+
+
+_PREDICTIONS = r"""
+p0 AS (SELECT u.conv_id, a.turn, u.text AS prediction, a.text AS reference, 'model' AS model, 'en' AS target_lang,
+  CASE u.conv_id % 3 WHEN 0 THEN 'random' WHEN 1 THEN 'similarity' ELSE 'graph_ppr' END AS strategy, (u.conv_id % 2 * 4 + 4)::INT AS k
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+p AS (SELECT row_number() OVER () AS i, * REPLACE (trim(coalesce(prediction, ''), E' \t\r\n') AS prediction, trim(coalesce(reference, ''), E' \t\r\n') AS reference) FROM p0)"""
+
+
+def format_and_empties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.evaluate(predictions(spark, sf_dir), which=())
+    return got.select(*metrics.GROUP, F.round("format_error_rate", SHOWN).alias("format_error_rate"), "empty_prediction_count", "empty_reference_count", "n")
+
+
+FORMAT_SQL = f"""WITH {_PREDICTIONS} SELECT model, target_lang, strategy, k,
+  round(avg(CASE WHEN regexp_matches(lower(prediction), 'translation:|explanation:|here is|the translation is|```|source:|target:') THEN 100.0::DOUBLE ELSE 0 END), 6) AS format_error_rate,
+  count(*) FILTER (WHERE prediction = '') AS empty_prediction_count, count(*) FILTER (WHERE reference = '') AS empty_reference_count, count(*) AS n FROM p GROUP BY ALL"""
+
+
+def bleu_by_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.evaluate(predictions(spark, sf_dir), which=("bleu",))
+    return got.select(*metrics.GROUP, F.round("BLEU", SHOWN).alias("bleu"))
+
+
+def _apart(side: str) -> str:
+    """The tokenisation of the score in SQL."""
+    t = f"replace(replace(replace({side}, '<skipped>', ''), E'-\\n', ''), E'\\n', ' ')"
+    for name, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        t = f"replace({t}, '{name}', '{char}')"
+    t = f"' ' || {t} || ' '"
+    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+    return rf"list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '')"
+
+
+def _counted(orders: int, tokens: str) -> str:
+    """Matches and totals of n-grams by experiment, in SQL; ``tokens`` makes rows i, n, hyp and ref lists of n-grams."""
+    return f"""{tokens},
+g AS (SELECT i, n, 0 AS side, unnest(hyp) AS g FROM grams UNION ALL SELECT i, n, 1, unnest(ref) FROM grams),
+gc AS (SELECT i, n, g, count(*) FILTER (WHERE side = 0) AS h, count(*) FILTER (WHERE side = 1) AS r FROM g GROUP BY ALL),
+ro AS (SELECT i, n, sum(h) AS hyp, sum(r) AS ref, sum(least(h, r)) AS match FROM gc GROUP BY ALL),
+st AS (SELECT model, target_lang, strategy, k, o.n, coalesce(sum(hyp), 0)::DOUBLE AS hyp, coalesce(sum(ref), 0)::DOUBLE AS ref, coalesce(sum(CASE WHEN ref > 0 THEN hyp END), 0)::DOUBLE AS hyp_with_ref, coalesce(sum(match), 0)::DOUBLE AS match
+  FROM p CROSS JOIN (SELECT unnest(range(1, {orders + 1})) AS n) o LEFT JOIN ro ON ro.i = p.i AND ro.n = o.n GROUP BY ALL)"""
+
+
+_GRAM = "list_transform(range(1, len({0}) - n + 2), lambda j: array_to_string({0}[j:j + n - 1], chr(1)))"
+BLEU_SQL = f"""WITH {_PREDICTIONS},
+tk AS (SELECT i, n, {_apart("prediction")} AS a, {_apart("reference")} AS b FROM p, (SELECT unnest(range(1, 5)) AS n)),
+{_counted(4, f"grams AS (SELECT i, n, {_GRAM.format('a')} AS hyp, {_GRAM.format('b')} AS ref FROM tk)")},
+sm AS (SELECT *, 2 ** sum(CASE WHEN match = 0 AND hyp > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY model, target_lang, strategy, k ORDER BY n) AS smooth FROM st),
+x AS (SELECT model, target_lang, strategy, k, sum(match) AS any_match, sum(hyp) FILTER (WHERE n = 1) AS c, sum(ref) FILTER (WHERE n = 1) AS r, min(hyp) AS least_total,
+  sum(ln(CASE WHEN match > 0 THEN 100 * match / hyp ELSE 100 / (smooth * greatest(hyp, 1)) END)) / 4 AS logs FROM sm GROUP BY ALL)
+SELECT model, target_lang, strategy, k, round(CASE WHEN any_match > 0 AND least_total > 0 THEN CASE WHEN c >= r THEN 1 ELSE exp(1 - r / c) END * exp(logs) ELSE 0 END, 6) AS bleu FROM x"""
+
+
+def chrf_by_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = metrics.evaluate(predictions(spark, sf_dir), which=("chrf",))
+    return got.select(*metrics.GROUP, F.round("chrF", SHOWN).alias("chrf"))
+
+
+_PUNCTUATION = r"""'[!-/:-@\[-`{-~]'"""
+_SPLIT = "flatten(list_transform(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(right(w, 1), {1}) THEN [left(w, -1), right(w, 1)] WHEN length(w) > 1 AND regexp_matches(left(w, 1), {1}) THEN [left(w, 1), substr(w, 2)] ELSE [w] END))"
+CHRF_SQL = f"""WITH {_PREDICTIONS},
+ch AS (SELECT i, n, regexp_replace(prediction, '\\s+', '', 'g') AS a, regexp_replace(reference, '\\s+', '', 'g') AS b FROM p, (SELECT unnest(range(1, 7)) AS n)),
+wd AS (SELECT i, n, {_SPLIT.format("prediction", _PUNCTUATION)} AS a, {_SPLIT.format("reference", _PUNCTUATION)} AS b FROM p, (SELECT unnest(range(1, 3)) AS n)),
+{_counted(8, f"grams AS (SELECT i, n, list_transform(range(1, length(a) - n + 2), lambda j: substr(a, j, n)) AS hyp, list_transform(range(1, length(b) - n + 2), lambda j: substr(b, j, n)) AS ref FROM ch UNION ALL SELECT i, n + 6, {_GRAM.format('a')}, {_GRAM.format('b')} FROM wd)")},
+x AS (SELECT model, target_lang, strategy, k, avg(match / hyp_with_ref) FILTER (WHERE hyp_with_ref > 0 AND ref > 0) AS pr, avg(match / ref) FILTER (WHERE hyp_with_ref > 0 AND ref > 0) AS re FROM st GROUP BY ALL)
+SELECT model, target_lang, strategy, k, round(coalesce(100 * 5 * pr * re / nullif(4 * pr + re, 0), 0), 6) AS chrf FROM x"""
+
+
+def outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = predictions(spark, sf_dir).withColumn("error", F.when(F.col("conv_id") % 5 == 0, F.lit("failed")))
+    return normalize.outcome_flags(df).select("conv_id", "turn", "exact_match", "empty_prediction", "has_error", T.score_id("conv_id", "turn", "strategy").alias("score_id"))
+
+
+FLAGS_SQL = f"""WITH {_PREDICTIONS} SELECT conv_id, turn, prediction = reference AS exact_match, prediction = '' AS empty_prediction, conv_id % 5 = 0 AS has_error,
+  left(sha256(conv_id || ':' || turn || ':' || strategy), 32) AS score_id FROM p"""
+
+
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work left when every third key has a result."""
+    tests = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("test_index"))
+    work = model_calls.grid(tests, [1, 4, 8], ["random", "similarity"])
+    done = work.where((F.col("test_index") + F.col("k")) % 3 == 0)
+    return model_calls.pending(work, done).select(*model_calls.KEY)
+
+
+PENDING_SQL = "SELECT strategy, k::INT AS k, item_id::INT AS test_index FROM benchmark, (SELECT unnest([1, 4, 8]) AS k), (SELECT unnest(['random', 'similarity']) AS strategy) WHERE (item_id + k) % 3 <> 0"
+
+
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.value_counts(corpus(spark, sf_dir), ("source_lang", "target_text"))
+
+
+COUNTS_SQL = "SELECT 'source_lang' AS \"column\", lang AS value, count(*) AS count FROM documents GROUP BY lang UNION ALL SELECT 'target_text', source, count(*) FROM documents GROUP BY source"
+
+
+def data_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = corpus(spark, sf_dir).withColumn("type", F.lit("phrase"))
+    return spark.range(1).select(F.lit(sinks.plain_fingerprint(df)).alias("fingerprint"))
+
+
+FINGERPRINT_SQL = r"""SELECT left(sha256(count(*)::VARCHAR || string_agg(text || chr(0) || source || chr(0) || 'en' || chr(0) || 'phrase' || chr(0) || chr(10), '' ORDER BY doc_id)), 16) AS fingerprint FROM documents"""
+
+
+def induced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an aligner, some without score, some unreadable, above the threshold."""
+    p = _table(spark, sf_dir, "part")
+    score = F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 11 == 0, "\tnone").otherwise(F.concat(F.lit("\t"), (F.col("p_size") / 50.0).cast("string")))
+    lines = p.select(F.concat("p_brand", F.lit("-"), "p_partkey", F.lit("\t"), "p_type", score).alias("value"))
+    return induction.parse_pairs(lines)
+
+
+PAIRS_SQL = """SELECT p_brand || '-' || p_partkey AS source_text, p_type AS target_text, CASE WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN 1.0::DOUBLE ELSE p_size / 50.0::DOUBLE END AS score
+FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0 OR p_size / 50.0::DOUBLE >= 0.6"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
+        dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
+        prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
+    )
+}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "clean_normalize": CLEAN_SQL,
+    "type_and_length": TYPE_SQL,
+    "bm25_topk": BM25_SQL,
+    "graph_features": FEATURES_SQL,
+    "graph_rows": ROWS_SQL,
+    "graph_common_topk": COMMON_SQL,
+    "dense_topk": DENSE_SQL,
+    "normalized_scores": NORMALIZED_SQL,
+    "stratified_sample": SAMPLE_SQL,
+    "lexicon_terms": TERMS_SQL,
+    "lexicon_exact": EXACT_SQL,
+    "lexicon_substring": SUBSTRING_SQL,
+    "prompt_render": PROMPT_SQL,
+    "format_and_empties": FORMAT_SQL,
+    "bleu_by_experiment": BLEU_SQL,
+    "chrf_by_experiment": CHRF_SQL,
+    "outcome_flags": FLAGS_SQL,
+    "resume_pending": PENDING_SQL,
+    "manifest_counts": COUNTS_SQL,
+    "data_fingerprint": FINGERPRINT_SQL,
+    "induced_pairs": PAIRS_SQL,
+}
