@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
+from demosift.sources.storage import stored
 
 from . import rank
 
@@ -20,6 +21,7 @@ def postings(corpus: DataFrame, text: str = "source_text", row_id: str = "row_id
     tokens = corpus.select(F.col(row_id).alias("row_id"), T.bm25_tokens(text).alias("tokens"))
     sizes = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
     terms = tokens.select("row_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("row_id", "length", "term").agg(F.count("*").alias("tf"))
+    terms = stored(terms, "terms")
     idf = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
     idf = idf.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))

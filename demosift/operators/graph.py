@@ -20,7 +20,7 @@ from demosift.sources.storage import stored
 WEIGHTS = {"token": 3.0, "bigram": 2.2, "suffix3": 1.2, "type": 1.0, "suffix4": 0.9, "length": 0.8, "prefix3": 0.6}
 STEPS, RESTART = 8, 0.35
 #: Edges of a graph that is walked as arrays in each worker; above, the walk is relational.
-ARRAY_EDGES = 4_000_000
+ARRAY_EDGES = 16_000_000
 
 
 def _feature(kind: str, value: Column) -> Column:
@@ -56,16 +56,17 @@ def raw_features(df: DataFrame, id_col: str, text: str, type_col: str | None = "
 
 def build(corpus: DataFrame, text: str = "source_text", normalised: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges ``row_id, feature, weight, p_s_given_f, p_f_given_s`` and ``feature, df, idf``."""
-    raw = raw_features(corpus, "row_id", text, normalised=normalised)
+    raw = stored(raw_features(corpus, "row_id", text, normalised=normalised), "row-features")
     rows = corpus.agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
-    idf = raw.groupBy("feature").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))
-    idf = idf.select("feature", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    edges = raw.join(idf, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"))
-    share = lambda total: F.col("weight") / F.when(F.col(total) == 0, F.lit(1.0)).otherwise(F.col(total))
-    of_feature = edges.groupBy("feature").agg(F.sum("weight").alias("feature_total"))
-    of_row = edges.groupBy("row_id").agg(F.sum("weight").alias("row_total"))
-    edges = edges.join(of_feature, "feature").join(of_row, "row_id")
-    return edges.select("row_id", "feature", "weight", share("feature_total").alias("p_s_given_f"), share("row_total").alias("p_f_given_s")), idf
+    known = raw.groupBy("feature").agg(F.count("*").alias("df"), F.sum("raw").alias("raw_total")).crossJoin(F.broadcast(rows))
+    known = known.select("feature", "df", "raw_total", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    # a feature's weights share its idf, so its total comes with the document frequency; a row's total needs
+    # one more shuffle, by row, and a row is no larger than its text
+    edges = raw.join(known, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"), (F.col("raw_total") * F.col("idf")).alias("feature_total"))
+    share = lambda total: F.col("weight") / F.when(total == 0, F.lit(1.0)).otherwise(total)
+    of_row = F.sum("weight").over(Window.partitionBy("row_id"))
+    edges = edges.select("row_id", "feature", "weight", share(F.col("feature_total")).alias("p_s_given_f"), share(of_row).alias("p_f_given_s"))
+    return edges, known.select("feature", "df", "idf")
 
 
 def query_features(queries: DataFrame, idf: DataFrame, text: str = "text", normalised: bool = False) -> DataFrame:
@@ -116,31 +117,62 @@ def _walk_tables(edges: DataFrame, start: DataFrame, steps: int, alpha: float) -
     raise AssertionError("at least one step is walked")
 
 
+#: Queries that are walked together in a task, and edges that are multiplied at a time.
+TOGETHER, CHUNK = 8, 500_000
+
+
+class _Side:
+    """Edges sorted by their target: sums of source values times weights, for several queries at once."""
+
+    def __init__(self, target: np.ndarray, source: np.ndarray, share: np.ndarray, n: int):
+        order = np.argsort(target, kind="stable")
+        self.source, self.share, self.n = source[order].astype(np.int32), share[order], n
+        sorted_target = target[order]
+        self.begins = np.flatnonzero(np.concatenate([[True], sorted_target[1:] != sorted_target[:-1]])) if len(order) else np.zeros(0, np.int64)
+        self.targets = sorted_target[self.begins]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, values.shape[1]))
+        first = 0
+        while first < len(self.begins):
+            last = max(first + 1, int(np.searchsorted(self.begins, self.begins[first] + CHUNK)))
+            a, b = self.begins[first], self.begins[last] if last < len(self.begins) else len(self.source)
+            part = values[self.source[a:b]] * self.share[a:b, None]
+            out[self.targets[first:last]] = np.add.reduceat(part, self.begins[first:last] - a, axis=0)
+            first = last
+        return out
+
+
 def _walk_arrays(edges: DataFrame, start: DataFrame, steps: int, alpha: float) -> DataFrame:
     spark = edges.sparkSession
     table = edges.select("row_id", "feature", "p_s_given_f", "p_f_given_s").toArrow()
     rows, at_row = np.unique(table.column("row_id").to_numpy(), return_inverse=True)
     features = table.column("feature").combine_chunks().dictionary_encode()
     at_feature, names = features.indices.to_numpy(), features.dictionary
-    down, up = table.column("p_s_given_f").to_numpy(), table.column("p_f_given_s").to_numpy()
-    shared = spark.sparkContext.broadcast((rows, at_row.astype(np.int32), at_feature.astype(np.int32), names, down, up))
+    to_rows = _Side(at_row, at_feature, table.column("p_s_given_f").to_numpy(), len(rows))
+    to_features = _Side(at_feature, at_row, table.column("p_f_given_s").to_numpy(), len(names))
+    shared = spark.sparkContext.broadcast((rows, names, to_rows, to_features))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, at_row, at_feature, names, down, up = shared.value
+        rows, names, to_rows, to_features = shared.value
         number = {n: i for i, n in enumerate(names.to_pylist())}
         for batch in batches:
-            for query, found, weight in zip(batch["query_id"], batch["features"], batch["masses"], strict=True):
-                first = np.zeros(len(number))
-                first[[number[f] for f in found]] = weight
+            for begin in range(0, len(batch), TOGETHER):
+                part = batch.iloc[begin : begin + TOGETHER]
+                first = np.zeros((len(number), len(part)))
+                for j, (found, weight) in enumerate(zip(part["features"], part["masses"], strict=True)):
+                    first[[number[f] for f in found], j] = weight
                 mass = first
                 for step in range(steps):
-                    score = np.bincount(at_row, mass[at_feature] * down, len(rows))
+                    score = to_rows.sums(mass)
                     if step < steps - 1:
-                        mass = (1 - alpha) * np.bincount(at_feature, score[at_row] * up, len(number)) + alpha * first
-                hit = np.flatnonzero(score > 0)
-                yield pd.DataFrame({"query_id": query, "row_id": rows[hit], "score": score[hit]})
+                        mass = (1 - alpha) * to_features.sums(score) + alpha * first
+                for j, query in enumerate(part["query_id"]):
+                    hit = np.flatnonzero(score[:, j] > 0)
+                    yield pd.DataFrame({"query_id": query, "row_id": rows[hit], "score": score[hit, j]})
 
     kind = start.schema["query_id"].dataType.simpleString()
     row_kind = edges.schema["row_id"].dataType.simpleString()
     packed = start.groupBy("query_id").agg(F.collect_list("feature").alias("features"), F.collect_list("mass").alias("masses"))
-    return packed.mapInPandas(walk, f"query_id {kind}, row_id {row_kind}, score double")
+    tasks = spark.sparkContext.defaultParallelism
+    return packed.repartition(tasks, "query_id").mapInPandas(walk, f"query_id {kind}, row_id {row_kind}, score double")
