@@ -136,7 +136,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     dealt = asked.repartition(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)))
     query_blocks = _pack(dealt, QUERIES, "query").drop("number").withColumn("block", F.spark_partition_id() % blocks)
     query_blocks = query_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = row_blocks.hint("shuffle_hash").join(query_blocks, ["dim", "block", "salt"])
+    # a task's hash table holds query blocks, which are of bounded size
+    met = row_blocks.join(query_blocks.hint("shuffle_hash"), ["dim", "block", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}

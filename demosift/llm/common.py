@@ -27,14 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -51,10 +43,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit("")).cast("binary")
-
-
 def trained_on(doc_id: str = "doc_id") -> Column:
     """Whether labels of a row may be learnt from; the other fifth is held out."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 != 0
