@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -40,6 +41,26 @@ class Failover:
         raise last
 
 
+class HttpClient:
+    """A server that answers chat requests at ``<base>/chat/completions``; made inside a task, so it pickles."""
+
+    def __init__(self, base: str, key: str = "", timeout: float = 120.0):
+        self.url, self.key, self.timeout = f"{base.rstrip('/')}/chat/completions", key, timeout
+
+    def create(self, **request: Any) -> dict:
+        body = {**{k: v for k, v in request.items() if k != "extra_body"}, **(request.get("extra_body") or {})}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as answer:
+            found = json.load(answer)
+        choice = found["choices"][0]
+        return {"content": choice["message"].get("content"), "finish_reason": choice.get("finish_reason"), "usage": found.get("usage")}
+
+
+def http_pool(base: str, keys: list[str]) -> Failover:
+    """One client for each key, with failover."""
+    return Failover([HttpClient(base, k) for k in keys or [""]])
+
+
 def call(client: Any, request: dict, max_retries: int = 3, delay: float = 1.0, empty_retries: int = 2, empty_max_tokens: int | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[str, dict | None, dict]:
     """Output, usage and how it came: errors are retried with doubling delays, empty outputs with more tokens."""
     request, attempts = dict(request), 0

@@ -61,6 +61,7 @@ class Settings:
     na_values: str = "pandas"
     run_name: str | None = None
     resume: bool = False
+    save_prompts: bool = True
 
     def validate(self) -> Settings:
         chosen = set(self.strategies)
@@ -182,15 +183,33 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, s: Settings, fol
     found = model_calls.map_calls(work, make_client, s.workers, max_retries=s.api_retries, delay=s.retry_delay, empty_retries=s.empty_retries)
     constants = {"source_lang": s.source_lang, "target_lang": s.target_lang, "retrieval_backend": s.retrieval_backend, "prompt_mode": s.prompt_mode, "embedding_model": s.embedding_model, "model": s.model, "temperature": s.temperature}
     found = found.withColumns({n: F.lit(v) for n, v in constants.items()})
-    # a run without work would leave a folder without a schema
     sinks.append_records(found, at)
     predictions = latest(spark.read.parquet(at))
+    if s.save_prompts:
+        for name, df in records(predictions).items():
+            df.write.mode("overwrite").json(paths[name].removesuffix(".jsonl"))
     sinks.write_status(paths["status"], status="evaluating", **predictions.transform(model_calls.run_counts).first().asDict())
     summary = metrics.evaluate(predictions)
     sinks.write_status(paths["status"], status="finished", **predictions.transform(model_calls.run_counts).first().asDict())
     return {"predictions": predictions, "summary": summary, "paths": paths}
 
 
+def records(predictions: DataFrame) -> dict[str, DataFrame]:
+    """What a run keeps beside its predictions: prompts, requests with their outcome, retrieved examples."""
+    common = [c for c in ("test_index", "id", "source_text", "reference", "source_lang", "target_lang", "type", "strategy", "k", "retrieval_backend", "prompt_mode", "embedding_model") if c in predictions.columns]
+    hints = [c for c in ("input_lexicon_entries",) if c in predictions.columns]
+    fields = [c for c in ("source_text", "target_text", "target_lang", "type") if c in predictions.schema["examples"].dataType.elementType.names]
+    shown = F.transform("examples", lambda e: F.struct(*[e[c].alias(c) for c in fields])).alias("retrieved_examples")
+    info = F.struct("finish_reason", F.col("llm_attempts").alias("attempts"), "empty_retries", F.col("response_max_tokens").alias("max_tokens")).alias("response_info")
+    usage = F.struct("prompt_tokens", "completion_tokens", "total_tokens").alias("usage")
+    message = "struct<model:string,temperature:double,max_tokens:int,messages:array<struct<role:string,content:string>>,extra_body:struct<enable_thinking:boolean>>"
+    return {
+        "prompts": predictions.select(*common, "max_tokens", "prompt", shown, *hints),
+        "requests": predictions.select(*common, F.from_json("request", message).alias("request_payload"), "prediction", "error", usage, info),
+        "retrieved_examples": predictions.select(*common, shown, *hints),
+    }
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
