@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .fm_index import FMIndex
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 8
 #: Windows of a segment, distinct segments of a key, words of a shard, at most or so.
 LONGEST, HOT, SHARD = 64, 2000, 400_000
 CACHED = 500_000
