@@ -68,13 +68,13 @@ class FMIndex:
         rank[ends] = np.arange(count)
         symbols = np.where(inside, rank - count + 1, 0)
         self.ranks = {1: rank}
-        depth, order = 1, np.argsort(rank, kind="stable")
+        depth, order = 1, np.zeros(0, np.int64)
         while total:
-            shifted = np.zeros(total, np.int64)
-            shifted[:-depth] = rank[depth:] + 1
-            both = rank * (max(total, len(self.ids) + count) + 2) + shifted
-            order = np.argsort(both, kind="stable")
-            new = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
+            both = rank * (max(total, len(self.ids) + count) + 2)
+            both[:-depth] += rank[depth:] + 1
+            order = np.argsort(both)  # equal ones get one rank, so their order is free
+            both = both[order]
+            new = np.concatenate([[0], np.cumsum(both[1:] != both[:-1])])
             rank = np.empty(total, np.int64)
             rank[order] = new
             depth *= 2
@@ -120,6 +120,24 @@ class FMIndex:
             out[0][at], out[1][at], out[2][at] = length[:n], lo[:n], hi[:n]
         return out
 
+    def own_windows(self, patterns: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for patterns that the index holds: none ever stops to match, so only the begins of
+        intervals are followed, half the ranks.  Lengths, and begins of the intervals."""
+        sizes = np.array([len(p) for p in patterns], np.int64)
+        flat = np.array([self.ids[w] + 1 for p in patterns for w in p], np.int64)
+        stops = np.cumsum(sizes)
+        order = np.argsort(-sizes, kind="stable")
+        lo, by_size = np.zeros(len(order), np.int64), np.sort(sizes)
+        lengths, begins = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        shorter = self.groups(self.window - 1)[0] if self.window > 1 else np.zeros(self.total, np.int64)
+        for step in range(int(sizes.max(initial=0))):
+            n = len(order) - int(np.searchsorted(by_size, step, side="right"))
+            at = stops[order[:n]] - 1 - step
+            before = shorter[lo[:n]] if step >= self.window else lo[:n]
+            lo[:n] = self.first[flat[at]] + self.wavelet.rank(flat[at], before)
+            lengths[at], begins[at] = min(step + 1, self.window), lo[:n]
+        return lengths, begins
+
     def _extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> None:
         """Adds a word to the left of each match, in place, shortening the match at its right as needed."""
         full = np.flatnonzero(length == self.window)

@@ -195,7 +195,7 @@ def repeated(contents: list[bytes], places: np.ndarray, window: int) -> list[lis
     """
     sequences = [c.split(b" ") for c in contents]
     index = FMIndex(sequences, window)
-    lengths, lo, _ = index.statistics(sequences)
+    lengths, lo = index.own_windows(sequences)
     sizes = np.array([len(s) for s in sequences], np.int64)
     segment = np.repeat(np.arange(len(sizes)), sizes)
     own = places[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -82,5 +82,15 @@ def test_matching_statistics():
                 at += 1
 
 
+def test_own_windows_follow_the_statistics():
+    rng = random.Random(6)
+    texts = [[bytes([rng.choice(b"abc")]) for _ in range(rng.randrange(1, 40))] for _ in range(25)]
+    for window in (1, 2, 5, 20):
+        index = FMIndex(texts, window)
+        lengths, lo, _ = index.statistics(texts)
+        own, begins = index.own_windows(texts)
+        assert own.tolist() == lengths.tolist() and begins.tolist() == lo.tolist()
+
+
 def test_intervals():
     assert intervals(np.array([0, 3, 3, 1, 0, 0, 3, 0, 0]), 3) == [(1, 5), (6, 9)]
