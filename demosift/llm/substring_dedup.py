@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -133,7 +133,7 @@ def _keyed(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, f"key long, id {kind}, n int")
 
 
-_SEGMENT = pa.struct([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("content", pa.binary())])
+_SEGMENT = (("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))
 
 
 def _recut(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
@@ -143,26 +143,33 @@ def _recut(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
+                told: list[list] = [[] for _ in _SEGMENT]
+                stops = [0]
                 for text, shared in zip(part.column(1), part.column(2), strict=True):
                     words = (text.as_py() or b"").split()
-                    body, told = b" ".join(words), []
+                    body = b" ".join(words)
                     if shared.is_valid:
-                        of = set(shared.as_py())
-                        for key, at, n in zip(*(x.tolist() for x in segments(words, window, gram)), strict=True):
-                            if (key := _signed(key)) in of:
-                                content = b" ".join(words[at : at + n + window - 1])
-                                h1, h2 = _digest(content)
-                                told.append({"key": key, "at": at, "n": n, "h1": h1, "h2": h2, "content": content})
+                        keys, starts, counts = segments(words, window, gram)
+                        keys = keys.view(np.int64)
+                        found = np.flatnonzero(np.isin(keys, shared.values.to_numpy()))
+                        # where each word begins in the body, to take segments out of it
+                        places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                        ends = starts + counts + window - 1
+                        digests = [_digest(body[x:y]) for x, y in zip(places[starts[found]].tolist(), (places[ends[found]] - 1).tolist(), strict=True)]
+                        for column, values in zip(told, (keys[found].tolist(), starts[found].tolist(), counts[found].tolist(), [d[0] for d in digests], [d[1] for d in digests]), strict=True):
+                            column += values
+                    any_found = len(told[0]) > stops[-1]
+                    stops.append(len(told[0]))
                     out[0].append(len(words))
                     out[1].append(_signed(xxhash.xxh3_64_intdigest(body)))
-                    out[2].append(None if told else hashlib.sha256(body).hexdigest())
-                    out[3].append(body if told else None)
-                    out[4].append(told or None)
-                cols = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(_SEGMENT)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "words", "h", "kept", "body", "segments"])
+                    out[2].append(None if any_found else hashlib.sha256(body).hexdigest())
+                    out[3].append(body if any_found else None)
+                cols = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                rows = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(told, _SEGMENT, strict=True)], [n for n, _ in _SEGMENT])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows)], ["id", "words", "h", "kept", "body", "segments"])
 
-    return rows.mapInArrow(run, f"id {kind}, words long, h long, kept string, body binary, segments array<struct<key:long,at:int,n:int,h1:long,h2:long,content:binary>>")
+    return rows.mapInArrow(run, f"id {kind}, words long, h long, kept string, body binary, segments array<struct<key:long,at:int,n:int,h1:long,h2:long>>")
 
 
 def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
@@ -188,6 +195,19 @@ def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
     return rows.select("id", "h", "at", "n", "content").mapInArrow(run, f"id {kind}, h long, key long, at int, h1 long, h2 long, content binary, n int")
 
 
+def _contents(docs: DataFrame, window: int) -> DataFrame:
+    """The segments of documents, each with its words, cut inside the document's row."""
+
+    def cut(words: Column) -> Column:
+        return F.transform(
+            "segments",
+            lambda s: F.struct(*[s[n].alias(n) for n, _ in _SEGMENT], F.array_join(F.slice(words, s["at"] + 1, s["n"] + window - 1), " ").cast("binary").alias("content")),
+        )
+
+    words = F.split(F.col("body").cast("string"), " ")
+    return docs.select("id", "h", F.explode(F.transform(F.array(words), cut)[0]).alias("s")).select("id", "h", "s.*")
+
+
 def repeated(contents: list[bytes], places: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each distinct segment, word intervals covered by windows that occur earlier in another place.
 
@@ -220,7 +240,9 @@ def repeated(contents: list[bytes], places: np.ndarray, window: int) -> list[lis
 
 
 def _search(rows: DataFrame, window: int) -> DataFrame:
-    """``key, h1, h2, spans`` of distinct segments, shard by shard."""
+    """Distinct segments' keys, first places and ``spans``, shard by shard."""
+    passed = ("key", "h1", "h2", "first_id", "first_h", "first_at")
+    kind = rows.schema["first_id"].dataType.simpleString()
 
     def run(shard: pa.Table) -> pa.Table:
         ids, hs, ats = (shard.column(c).to_pylist() for c in ("first_id", "first_h", "first_at"))
@@ -228,9 +250,9 @@ def _search(rows: DataFrame, window: int) -> DataFrame:
         places = np.array([(order[i, h] << 31) + at for i, h, at in zip(ids, hs, ats, strict=True)], np.int64)
         found = repeated(shard.column("content").to_pylist(), places, window)
         spans = pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.table([*(shard.column(c) for c in ("key", "h1", "h2")), spans], ["key", "h1", "h2", "spans"])
+        return pa.table([*(shard.column(c) for c in passed), spans], [*passed, "spans"])
 
-    return rows.groupBy("shard").applyInArrow(run, "key long, h1 long, h2 long, spans array<struct<a:int,b:int>>")
+    return rows.groupBy("shard").applyInArrow(run, f"key long, h1 long, h2 long, first_id {kind}, first_h long, first_at int, spans array<struct<a:int,b:int>>")
 
 
 def _finish(rows: DataFrame, kind: str) -> DataFrame:
@@ -262,20 +284,23 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(_recut(marked, kind, window, gram), "recut")
 
     place = ["key", "h1", "h2"]
-    found = docs.where("body IS NOT NULL").select("id", "h", F.explode("segments").alias("s")).select("id", "h", "s.*")
-    wide = found.select(*place).distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
+    told = docs.where("body IS NOT NULL")
+    found = told.select("id", "h", F.explode("segments").alias("s")).select("id", "h", "s.*")
+    # only keys that occur that often can have so many distinct segments
+    often = found.groupBy("key").count().where(F.col("count") > hot).select("key")
+    wide = found.select(*place).join(often, "key", "left_semi").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
     wide = stored(wide, "wide-keys")
-    single = stored(_single(found.join(wide, "key", "left_semi"), kind, window), "single-windows")
-    names = ["id", "h", "key", "at", "n", "h1", "h2", "content"]
+    whole = _contents(told, window)
+    single = stored(_single(whole.join(wide, "key", "left_semi"), kind, window), "single-windows")
+    names = ["id", "h", "key", "at", "n", "h1", "h2"]
     occurrences = found.join(wide, "key", "left_anti").select(names).unionByName(single.select(names))
-    distinct = occurrences.groupBy(*place).agg(F.min(F.struct("id", "h", "at")).alias("first"), F.first("content").alias("content"), F.first("n").alias("n"))
-    distinct = stored(distinct.select(*place, "n", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.at").alias("first_at"), "content"), "segments")
-    total = distinct.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
+    full = whole.join(wide, "key", "left_anti").select(*names, "content").unionByName(single.select(*names, "content"))
+    total = occurrences.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    spans = stored(_search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window), "spans")
-
-    first = distinct.drop("content", "n").join(spans, place)
-    hits = occurrences.drop("content").join(first, place)
+    distinct = full.groupBy(*place).agg(F.min(F.struct("id", "h", "at")).alias("first"), F.first("content").alias("content"))
+    distinct = distinct.select(*place, F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.at").alias("first_at"), "content")
+    first = stored(_search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window), "spans")
+    hits = occurrences.join(first, place)
     same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")) & (F.col("at") == F.col("first_at"))
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).cast("int").alias("b")))
     cut = F.transform(F.when(same, F.col("spans")).otherwise(whole), lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
