@@ -6,6 +6,7 @@ import sentencepiece
 
 import corpus_pipeline
 from demosift.llm import mixing, toxicity
+from demosift.llm.common import stored
 
 from .test_secrets import base
 from .test_simhash import brute_components, brute_print
@@ -17,15 +18,15 @@ def test_stages_against_brute_force(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     before = rows(docs)
     stages = dict(corpus_pipeline.STAGES)
-    frame = stages["toxicity"](spark, docs, sf_dir).localCheckpoint()
+    frame = stored(stages["toxicity"](spark, docs, sf_dir), "test")
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()}
     assert rows(frame) == [r for r in before if scores[r[0]] < 0.5] != before
     before = rows(frame)
-    frame = stages["simhash_near_dedup"](spark, frame, sf_dir).localCheckpoint()
+    frame = stored(stages["simhash_near_dedup"](spark, frame, sf_dir), "test")
     found = brute_components({r[0]: brute_print(r[1]) for r in before})
     assert rows(frame) == [r for r in before if found[r[0]] == r[0]] != before
     before = rows(frame)
-    frame = stages["secret_scans"](spark, frame, sf_dir).localCheckpoint()
+    frame = stored(stages["secret_scans"](spark, frame, sf_dir), "test")
     after = rows(frame)
     assert [r[0] for r in after] == [r[0] for r in before]
     for old, new in zip(before, after, strict=True):
@@ -33,7 +34,7 @@ def test_stages_against_brute_force(spark):
         assert not base(new[1]) and new[4] == (len(new[1]) if old != new else old[4])
     before = after
     taken = {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
-    frame = stages["mixing"](spark, frame, sf_dir).localCheckpoint()
+    frame = stored(stages["mixing"](spark, frame, sf_dir), "test")
     after = rows(frame)
     assert Counter(r[0] for r in after) == Counter({i: n for i, n in taken.items() if n})
     assert set(after) <= set(before) and frame.columns == docs.columns
@@ -46,9 +47,9 @@ def test_stages_against_brute_force(spark):
 
 def test_edge_cases(spark, documents, sf_dir):
     rows = [(None, None, None), (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "A B C", None), (5, "password=abcdefgh x")]
-    for docs in (documents(rows), documents(rows).limit(0), documents(rows).selectExpr("*", "1 AS id", "2 AS fp", "3 AS copies")):
+    for docs in (documents(rows), documents(rows).limit(0), documents(rows).selectExpr("*", "1 AS id", "2 AS fp", "3 AS copies"), documents(rows).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars")):
         columns = docs.columns
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, sf_dir).localCheckpoint()
+            docs = stored(stage(spark, docs, sf_dir), "test")
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
