@@ -145,23 +145,23 @@ class _Side:
 
 def _walk_arrays(edges: DataFrame, start: DataFrame, steps: int, alpha: float) -> DataFrame:
     spark = edges.sparkSession
-    table = edges.select("row_id", "feature", "p_s_given_f", "p_f_given_s").toArrow()
+    # numbers in place of names, so that no strings leave the executors
+    numbers = stored(edges.select("feature").distinct().withColumn("number", F.monotonically_increasing_id()), "feature-numbers")
+    table = edges.join(numbers, "feature").select("row_id", "number", "p_s_given_f", "p_f_given_s").toArrow()
     rows, at_row = np.unique(table.column("row_id").to_numpy(), return_inverse=True)
-    features = table.column("feature").combine_chunks().dictionary_encode()
-    at_feature, names = features.indices.to_numpy(), features.dictionary
+    known, at_feature = np.unique(table.column("number").to_numpy(), return_inverse=True)
     to_rows = _Side(at_row, at_feature, table.column("p_s_given_f").to_numpy(), len(rows))
-    to_features = _Side(at_feature, at_row, table.column("p_f_given_s").to_numpy(), len(names))
-    shared = spark.sparkContext.broadcast((rows, names, to_rows, to_features))
+    to_features = _Side(at_feature, at_row, table.column("p_f_given_s").to_numpy(), len(known))
+    shared = spark.sparkContext.broadcast((rows, known, to_rows, to_features))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, names, to_rows, to_features = shared.value
-        number = {n: i for i, n in enumerate(names.to_pylist())}
+        rows, known, to_rows, to_features = shared.value
         for batch in batches:
             for begin in range(0, len(batch), TOGETHER):
                 part = batch.iloc[begin : begin + TOGETHER]
-                first = np.zeros((len(number), len(part)))
+                first = np.zeros((len(known), len(part)))
                 for j, (found, weight) in enumerate(zip(part["features"], part["masses"], strict=True)):
-                    first[[number[f] for f in found], j] = weight
+                    first[np.searchsorted(known, found), j] = weight
                 mass = first
                 for step in range(steps):
                     score = to_rows.sums(mass)
@@ -173,6 +173,6 @@ def _walk_arrays(edges: DataFrame, start: DataFrame, steps: int, alpha: float) -
 
     kind = start.schema["query_id"].dataType.simpleString()
     row_kind = edges.schema["row_id"].dataType.simpleString()
-    packed = start.groupBy("query_id").agg(F.collect_list("feature").alias("features"), F.collect_list("mass").alias("masses"))
+    packed = start.join(numbers, "feature").groupBy("query_id").agg(F.collect_list("number").alias("features"), F.collect_list("mass").alias("masses"))
     tasks = spark.sparkContext.defaultParallelism
     return packed.repartition(tasks, "query_id").mapInPandas(walk, f"query_id {kind}, row_id {row_kind}, score double")
