@@ -53,9 +53,11 @@ class FMIndex:
 
     def __init__(self, sequences: list[list[bytes]], window: int):
         self.window = window
-        self.ids: dict[bytes, int] = {}
-        sizes = np.array([len(s) for s in sequences], np.int64)
-        words = np.array([self.ids.setdefault(w, len(self.ids)) for s in sequences for w in s], np.int64)
+        flat = [w for s in sequences for w in s]
+        self.ids = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        words = np.fromiter(map(self.ids.__getitem__, flat), np.int64, len(flat))
+        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        self.symbols, self.sizes = words + 1, sizes
         count = len(sequences)
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         total = int(sizes.sum()) + count
@@ -120,17 +122,15 @@ class FMIndex:
             out[0][at], out[1][at], out[2][at] = length[:n], lo[:n], hi[:n]
         return out
 
-    def own_windows(self, patterns: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for patterns that the index holds: none ever stops to match, so only the begins of
+    def own_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the index's own sequences: none ever stops to match, so only the begins of
         intervals are followed, half the ranks.  Lengths, and begins of the intervals."""
-        sizes = np.array([len(p) for p in patterns], np.int64)
-        flat = np.array([self.ids[w] + 1 for p in patterns for w in p], np.int64)
-        stops = np.cumsum(sizes)
-        order = np.argsort(-sizes, kind="stable")
-        lo, by_size = np.zeros(len(order), np.int64), np.sort(sizes)
+        stops, flat = np.cumsum(self.sizes), self.symbols
+        order = np.argsort(-self.sizes, kind="stable")
+        lo, by_size = np.zeros(len(order), np.int64), np.sort(self.sizes)
         lengths, begins = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
         shorter = self.groups(self.window - 1)[0] if self.window > 1 else np.zeros(self.total, np.int64)
-        for step in range(int(sizes.max(initial=0))):
+        for step in range(int(self.sizes.max(initial=0))):
             n = len(order) - int(np.searchsorted(by_size, step, side="right"))
             at = stops[order[:n]] - 1 - step
             before = shorter[lo[:n]] if step >= self.window else lo[:n]

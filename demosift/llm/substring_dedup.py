@@ -32,7 +32,7 @@ from .fm_index import FMIndex
 
 WINDOW, GRAM = 20, 8
 #: Windows of a segment, distinct segments of a key, words of a shard, at most or so.
-LONGEST, HOT, SHARD = 64, 2000, 400_000
+LONGEST, HOT, SHARD = 64, 2000, 150_000
 CACHED = 500_000
 _ODD = np.random.default_rng(5).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -215,8 +215,8 @@ def repeated(contents: list[bytes], places: np.ndarray, window: int) -> list[lis
     """
     sequences = [c.split(b" ") for c in contents]
     index = FMIndex(sequences, window)
-    lengths, lo = index.own_windows(sequences)
-    sizes = np.array([len(s) for s in sequences], np.int64)
+    lengths, lo = index.own_windows()
+    sizes = index.sizes
     segment = np.repeat(np.arange(len(sizes)), sizes)
     own = places[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at_text = np.full(index.total, np.iinfo(np.int64).max)
