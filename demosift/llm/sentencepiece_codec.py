@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 
 SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED_CHUNKS, CACHED_LENGTH = 500_000, 40
+#: Chunks of a generation of the cache, of which there are two, and the longest one that is kept.
+CACHED_CHUNKS, CACHED_LENGTH = 150_000, 40
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -158,6 +159,7 @@ class Codec:
         mark, line = re.escape(SPACE_MARK), "\n" if m.newline_alone else ""
         self.chunk = re.compile(f"{mark}*[^{mark}{line}]+|{mark}+|\n" if m.cuts else r"(?s).+")
         self.cache: dict[str, tuple[bytes, bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
         self.surface = [self._surface(i) for i in range(len(m.pieces))]
 
     # ------------------------------------------------------------------ normalisation
@@ -312,12 +314,19 @@ class Codec:
         return ids, lens
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes, str]:
+        if (known := self.cache.get(chunk)) is not None:
+            return known
+        if (known := self.older.get(chunk)) is not None:
+            return self._keep(chunk, known)
         ids, lens = self._ids(chunk)
         out = array("i", ids).tobytes(), array("i", lens).tobytes(), ",".join(map(str, ids))
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self.cache) >= CACHED_CHUNKS:
-                self.cache.clear()
-            self.cache[chunk] = out
+        return self._keep(chunk, out) if len(chunk) <= CACHED_LENGTH else out
+
+    def _keep(self, chunk: str, out: tuple[bytes, bytes, str]) -> tuple[bytes, bytes, str]:
+        """Into the younger generation, which becomes the older one when it is full."""
+        if len(self.cache) >= CACHED_CHUNKS:
+            self.cache, self.older = {}, self.cache
+        self.cache[chunk] = out
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
