@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ BITS, BEGINNINGS = 18, (4, 5, 6)
 PER_CLASS, LONGEST = 2000, 12_000
 #: A feature marks tokens if so many toxic documents have it, and so many times the share of clean ones.
 LEAST_DOCS, TIMES = 4, 6.0
-CACHED = 500_000
+CACHED = 300_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -86,13 +86,15 @@ class Lattice:
         o, n = self.offsets, self.active
         if len(n) < 2:
             return np.zeros(3)
-        left = np.concatenate([np.arange(o[s - 1], o[s - 1] + n[s]) for s in range(1, len(n))])
-        right = np.arange(o[1], o[-1])
-        a, u = forward[left], (e + backward)[right]
-        logs = np.stack([np.zeros_like(a), t[0] + u, t[1] + a, t[2] + a + u])
-        logs -= logs.max(axis=0)
-        p = np.exp(logs)
-        return (p / p.sum(axis=0))[1:].sum(axis=1)
+        out, own = np.zeros(3), np.zeros(3)
+        for s in range(1, len(n)):
+            a, u = forward[o[s - 1] : o[s - 1] + n[s]], e[o[s] : o[s + 1]] + backward[o[s] : o[s + 1]]
+            top = np.maximum(np.maximum(0, t[0] + u), np.maximum(t[1] + a, t[2] + a + u))
+            p = [np.exp(x - top) for x in (t[0] + u, t[1] + a, t[2] + a + u)]
+            total = np.exp(-top) + p[0] + p[1] + p[2]
+            own[:] = [np.sum(x / total) for x in p]
+            out += own
+        return out
 
     def moved(self, labels: np.ndarray) -> np.ndarray:
         y = np.empty_like(labels)
@@ -169,29 +171,35 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, steps: int = 40
     of, lengths, y = [], np.zeros(n, np.int64), np.array([y for _, y in rows])
     for i, (text, _) in enumerate(rows):
         at = [words.setdefault(w, len(words)) for w in text.encode().split()]
-        of.append(np.array(at, np.int64))
+        of.append(np.array(at, np.int32))
         lengths[i] = len(at)
-    found = [word_features(w) for w in words]
-    counts = [Counter(), Counter()]
+    # words and their features as flat arrays: one entry for each pair
+    per_word, flat = array("i"), array("i")
+    for w in words:
+        features = word_features(w)
+        per_word.append(len(features))
+        flat.extend(features)
+    many, col = np.frombuffer(per_word, np.int32) if words else np.zeros(0, np.int32), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+    row, begin = np.repeat(np.arange(len(words), dtype=np.int32), many), np.cumsum(many) - many
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for at, label in zip(of, y, strict=True):
-        counts[label].update({f for w in set(at.tolist()) for f in found[w]})
-    toxic, clean = counts[1], counts[0]
-    telling = {f for f, c in toxic.items() if c >= LEAST_DOCS and c / ones >= TIMES * (clean[f] + 0.5) / (n - ones + 1)}
-    marked = np.array([bool(telling.intersection(f)) for f in found])
-    token = np.concatenate(of) if of else np.zeros(0, np.int64)
+        own = np.unique(at)
+        if len(own):
+            spread = np.repeat(begin[own], many[own]) + np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+            counts[label, np.unique(col[spread])] += 1
+    telling = (counts[1] >= LEAST_DOCS) & (counts[1] / ones >= TIMES * (counts[0] + 0.5) / (n - ones + 1))
+    marked = np.bincount(row, telling[col], len(words)) > 0
+    token = np.concatenate(of) if of else np.zeros(0, np.int32)
     lattice = Lattice(lengths)
     labels = (marked[token] & (y[lattice.doc] == 1)).astype(np.int64)
-    # one row of the incidence of words and features for each pair
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    col = np.array([f for fs in found for f in fs], np.int64)
     weights, bias, t = np.zeros(1 << BITS), -4.0, np.zeros(3)
     seen_w, seen_b, seen_t = np.full(1 << BITS, 1e-8), 1e-8, np.full(3, 1e-8)
-    wanted, moved = np.bincount(token, labels, len(found)), lattice.moved(labels)
+    wanted, moved = np.bincount(token, labels, len(words)), lattice.moved(labels)
     for _ in range(steps):
-        emission = (bias + np.bincount(row, weights[col], len(found)))[token]
+        emission = (bias + np.bincount(row, weights[col], len(words)))[token]
         e, forward, backward = lattice.messages(emission, t)
         p = _sigmoid((forward + backward)[lattice.at])
-        miss = wanted - np.bincount(token, p, len(found))
+        miss = wanted - np.bincount(token, p, len(words))
         gw = np.bincount(col, miss[row], 1 << BITS) - l2 * weights * n
         gb, gt = miss.sum(), moved - lattice.pairs(e, forward, backward, t) - l2 * t * n
         seen_w += gw * gw
