@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}

@@ -311,3 +311,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = docs.where("body IS NULL").select("id", "words", F.lit(0).cast("long").alias("removed"), "kept", F.lit(None).cast("binary").alias("text"))
     out = rest.unionByName(_finish(changed, kind))
     return out.select(F.col("id").alias(id_col), F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256"), F.col("text").cast("string").alias("text"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+v AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER f) AS g, count(*) OVER f AS n FROM x
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM v WHERE n = 20),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE nth > 1),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -25,6 +25,15 @@ def brute(docs, window=20):
     return out
 
 
+def test_sql_matches_brute_force():
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view documents as from '/root/testdata/sf0.001/documents.parquet'")
+    docs = con.sql("select doc_id, text from documents").fetchall()
+    assert {r[0]: r[1:] for r in con.sql(substring_dedup.ORACLE_SQL).fetchall()} == brute(docs)
+
+
 def test_query_matches_brute_force(spark):
     data = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
