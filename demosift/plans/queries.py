@@ -218,16 +218,17 @@ def random_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.random_rows(asked(spark, sf_dir), corpus(spark, sf_dir).count(), 8, 42, position="query_id")
 
 
-def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's short words as a dictionary: each means the items it stands in, in order."""
+def _dictionary(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """The benchmark's short words, or every word, as a dictionary: each means the items it stands in, in order."""
     words = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.lexicon_tokens("text")).alias("at", "word"))
-    words = words.where(F.length("word").between(3, 5)).select((F.col("item_id") * 1_000_000 + F.col("at")).alias("row_id"), F.col("word").alias("source_text"), F.concat(F.lit("t"), "item_id").alias("target_text"), F.lit("chg").alias("source_lang"), F.lit("en").alias("target_lang"), F.lit("word").alias("type"))
+    words = words if every else words.where(F.length("word").between(3, 5))
+    words = words.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("row_id"), F.col("word").alias("source_text"), F.concat(F.lit("t"), "item_id").alias("target_text"), F.lit("chg").alias("source_lang"), F.lit("en").alias("target_lang"), F.lit("word").alias("type"))
     return lexicon.build(words, "chg", "en")
 
 
-def _entries(spark: SparkSession, sf_dir: str, fuzzy: str | None) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str, fuzzy: str | None, every: bool = False) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    found = lexicon.lookup(d, _dictionary(spark, sf_dir), "doc_id", "text", fuzzy)
+    found = lexicon.lookup(d, _dictionary(spark, sf_dir, every), "doc_id", "text", fuzzy)
     line = lambda e: F.concat_ws("|", e["query"], e["source"], F.array_join(e["translations"], ","), e["match"])
     return found.select("doc_id", F.size("entries").alias("n_entries"), F.md5(F.array_join(F.transform("entries", line), ";").cast("binary")).alias("digest"))
 
@@ -249,6 +250,23 @@ def lexicon_maxmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir, "max_matching")
 
 
+def lexicon_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lexicon_terms``, of the dictionary of every benchmark word."""
+    return _dictionary(spark, sf_dir, True).select("key", "surface", F.array_join("translations", ",").alias("translations"))
+
+
+def lexicon_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, None, True)
+
+
+def lexicon_substring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, "substring", True)
+
+
+def lexicon_maxmatch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir, "max_matching", True)
+
+
 _LEXICON = r"""
 w AS (SELECT item_id, generate_subscripts(k, 1) AS pos, unnest(k) AS word FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}ʿʾ''’-]+') AS k FROM benchmark)),
 c AS (SELECT replace(lower(word), 'ß', 'ss') AS key, word, 't' || item_id AS target, item_id * 1000000 + pos AS o FROM w WHERE length(word) BETWEEN 3 AND 5),
@@ -270,6 +288,10 @@ un AS (SELECT DISTINCT tkey FROM tk WHERE tkey NOT IN (SELECT key FROM l) AND le
 fz AS (SELECT tkey, row_number() OVER (PARTITION BY tkey ORDER BY length(key) DESC, key) AS nth, key, surface, translations FROM
   (SELECT tkey, substr(tkey, s, n) AS key FROM (SELECT tkey, s, unnest(range(3, 11)) AS n FROM (SELECT tkey, unnest(range(1, length(tkey) - 1)) AS s FROM un)) WHERE s + n - 1 <= length(tkey) GROUP BY ALL) JOIN l USING (key)),
 hits AS (SELECT * FROM ex UNION ALL SELECT doc_id, pos, nth, token, key, surface, translations, 'fuzzy' FROM tk JOIN fz USING (tkey)), {_LEXICON_END}"""
+# the same over every word of the benchmark; parts are as long as the longest key
+_SHORT = " WHERE length(word) BETWEEN 3 AND 5"
+TERMS_ALL_SQL, EXACT_ALL_SQL = TERMS_SQL.replace(_SHORT, ""), EXACT_SQL.replace(_SHORT, "")
+SUBSTRING_ALL_SQL = SUBSTRING_SQL.replace(_SHORT, "").replace("range(3, 11)", "range(3, (SELECT max(length(key)) FROM l) + 1)")
 
 
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
         dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
+        lexicon_terms_all, lexicon_exact_all, lexicon_substring_all, lexicon_maxmatch_all,
         prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
     )
 }
@@ -435,6 +458,9 @@ ORACLES: dict[str, str] = {
     "lexicon_terms": TERMS_SQL,
     "lexicon_exact": EXACT_SQL,
     "lexicon_substring": SUBSTRING_SQL,
+    "lexicon_terms_all": TERMS_ALL_SQL,
+    "lexicon_exact_all": EXACT_ALL_SQL,
+    "lexicon_substring_all": SUBSTRING_ALL_SQL,
     "prompt_render": PROMPT_SQL,
     "format_and_empties": FORMAT_SQL,
     "bleu_by_experiment": BLEU_SQL,
