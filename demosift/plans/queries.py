@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
@@ -41,21 +41,32 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", "row_id", F.col("rank").cast("int").alias("rank"), (F.round("score", SHOWN) + 0.0).alias("score"))
 
 
-def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alternative names and codes brought to the canonical schema, cleaned."""
+def _cleaned(spark: SparkSession, sf_dir: str, target: Column) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     codes = {"en": "eng_Latn", "de": "deu_Latn", "fr": "chg_Arab", "es": "uzb_Cyrl"}
-    raw = d.select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("src_text"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("tgt_text"), F.lit("kaz_Xxxx").alias("src_lang"), normalize._map(codes)[F.col("lang")].alias("tgt_lang"))
+    raw = d.select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("src_text"), target.alias("tgt_text"), F.lit("kaz_Xxxx").alias("src_lang"), normalize._map(codes)[F.col("lang")].alias("tgt_lang"))
     out = normalize.clean(normalize.normalize_schema(raw))
     return out.select("doc_id", "source_lang", "target_lang", "type", F.length("source_text").alias("n_chars"), F.md5(F.col("source_text").cast("binary")).alias("digest"))
 
 
+def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternative names and codes brought to the canonical schema, cleaned; every seventh row has no target."""
+    return _cleaned(spark, sf_dir, F.when(F.col("doc_id") % 7 != 0, F.col("source")))
+
+
+def clean_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``clean_normalize``, with the target of every row."""
+    return _cleaned(spark, sf_dir, F.col("source"))
+
+
 CLEAN_SQL = r"""
 SELECT doc_id, 'kk' AS source_lang, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'chg' WHEN 'es' THEN 'uz' END AS target_lang,
   CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_ʿʾ''-]+'), lambda t: t <> '')) = 1 THEN 'word' ELSE 'phrase' END AS type,
   length(trim(text, E' \t\r\n'))::INT AS n_chars, md5(trim(text, E' \t\r\n')) AS digest
 FROM documents WHERE doc_id % 7 <> 0 AND trim(text, E' \t\r\n') <> ''"""
 
+CLEAN_ALL_SQL = CLEAN_SQL.replace("doc_id % 7 <> 0", "source IS NOT NULL AND trim(source, E' \\t\\r\\n') <> ''")
+
 
 def type_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph tokens, type and length bucket of every text, from a stated length for some."""
@@ -438,7 +449,7 @@ FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0 OR p_size / 50.0::DOUBLE >= 0.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
+        clean_normalize, clean_normalize_all, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
         dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
         lexicon_terms_all, lexicon_exact_all, lexicon_substring_all, lexicon_maxmatch_all,
         prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
@@ -447,6 +458,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "clean_normalize": CLEAN_SQL,
+    "clean_normalize_all": CLEAN_ALL_SQL,
     "type_and_length": TYPE_SQL,
     "bm25_topk": BM25_SQL,
     "graph_features": FEATURES_SQL,
