@@ -4,9 +4,9 @@ A document's windows of ``WINDOW`` words are gathered into segments: runs of win
 smallest hashed gram (their key).  Equal windows have equal keys, so all occurrences of a window meet in
 the shard of its key, whatever the number of shards.  Segments whose key occurs once in the corpus
 hold no repeated window and are dropped after counting keys; equal segments are collapsed to one row with
-the first place they occur at.  A shard indexes its distinct segments and streams them through the index:
-the interval of each window, found by backward search, names the earliest place among all its
-occurrences.  A window is repeated if that is not its own place.
+the first place they occur at.  A shard indexes its distinct segments and follows each of their windows by
+backward search to the begin of its interval; the suffix array names the earliest place in the interval.
+A window is repeated if that is not its own place.
 
 A key with very many distinct segments (a line in a third of all texts, each time between other words)
 is cut into single windows, whose keys are hashes of the whole window, before it is dealt to shards.
