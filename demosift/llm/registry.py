@@ -22,7 +22,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("text")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), texts=False).drop("text")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

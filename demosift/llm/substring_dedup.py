@@ -136,14 +136,17 @@ def _keyed(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
 _SEGMENT = (("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))
 
 
-def _recut(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """Of documents with the keys that others share: digests, and if any key is shared, words and segments."""
+def _recut(rows: DataFrame, kind: str, window: int, gram: int, texts: bool) -> DataFrame:
+    """Of documents with the keys that others share: digests, and if any key is shared, words and segments.
+
+    The words of other documents stand in ``whole``, if texts are wanted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 told: list[list] = [[] for _ in _SEGMENT]
                 stops = [0]
                 for text, shared in zip(part.column(1), part.column(2), strict=True):
@@ -165,11 +168,12 @@ def _recut(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
                     out[1].append(_signed(xxhash.xxh3_64_intdigest(body)))
                     out[2].append(None if any_found else hashlib.sha256(body).hexdigest())
                     out[3].append(body if any_found else None)
-                cols = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                    out[4].append(body if texts and not any_found else None)
+                cols = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)]
                 rows = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(told, _SEGMENT, strict=True)], [n for n, _ in _SEGMENT])
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows)], ["id", "words", "h", "kept", "body", "segments"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rows)], ["id", "words", "h", "kept", "body", "whole", "segments"])
 
-    return rows.mapInArrow(run, f"id {kind}, words long, h long, kept string, body binary, segments array<struct<key:long,at:int,n:int,h1:long,h2:long>>")
+    return rows.mapInArrow(run, f"id {kind}, words long, h long, kept string, body binary, whole binary, segments array<struct<key:long,at:int,n:int,h1:long,h2:long>>")
 
 
 def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
@@ -273,15 +277,18 @@ def _finish(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, words long, removed long, kept string, text binary")
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD) -> DataFrame:
-    """``id, n_words, n_removed, kept_sha256, text``: the text is null where nothing was found to repeat."""
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD, texts: bool = True) -> DataFrame:
+    """``id, n_words, n_removed, kept_sha256, text``: the kept words of every document, one space between two.
+
+    Without ``texts`` the text is null where no key is shared, and those words are not stored.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").cast("binary").alias("text"))
     keys = stored(_keyed(rows, kind, window, gram), "keys")
     shared = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     of = keys.join(shared, "key", "left_semi").groupBy(F.col("id").alias("of")).agg(F.collect_list("key").alias("keys"))
     marked = rows.join(of, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "keys")
-    docs = stored(_recut(marked, kind, window, gram), "recut")
+    docs = stored(_recut(marked, kind, window, gram, texts), "recut")
 
     place = ["key", "h1", "h2"]
     told = docs.where("body IS NOT NULL")
@@ -308,7 +315,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = hits.groupBy("of", "of_h").agg(F.flatten(F.collect_list("cut")).alias("cut"))
     changed = docs.where("body IS NOT NULL").select("id", "h", "words", "body")
     changed = changed.join(hits, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left").select("id", "words", "body", "cut")
-    rest = docs.where("body IS NULL").select("id", "words", F.lit(0).cast("long").alias("removed"), "kept", F.lit(None).cast("binary").alias("text"))
+    rest = docs.where("body IS NULL").select("id", "words", F.lit(0).cast("long").alias("removed"), "kept", F.col("whole").alias("text"))
     out = rest.unionByName(_finish(changed, kind))
     return out.select(F.col("id").alias(id_col), F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256"), F.col("text").cast("string").alias("text"))
 

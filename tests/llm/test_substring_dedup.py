@@ -69,6 +69,16 @@ def test_repeated_and_null_ids(spark, documents):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_text_of_every_document(spark, documents):
+    text = " ".join(f"w{i}" for i in range(25))
+    df = documents([(None, "no\tcopy"), (1, text), (1, "own  words"), (2, f"x {text} y"), (3, None)])
+    got = {(r.doc_id, r.n_words): r.text for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {(None, 2): "no copy", (1, 25): text, (1, 2): "own words", (2, 27): "x y", (3, 0): ""}
+    for r in substring_dedup.substring_dedup(df).collect():
+        assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+    assert sum(r.text is None for r in substring_dedup.substring_dedup(df, texts=False).collect()) == 3
+
+
 def test_matching_statistics():
     rng = random.Random(4)
     texts = [[bytes([rng.choice(b"abc")]) for _ in range(rng.randrange(1, 60))] for _ in range(30)]
