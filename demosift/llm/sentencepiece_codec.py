@@ -414,11 +414,15 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``encode`` gives, as digests: the arrays stay in the Python worker."""
+def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", arrays: bool = False) -> DataFrame:
+    """What ``encode`` gives, as digests: the arrays stay in the Python worker, or stand beside the digests."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string()]
+    if arrays:
+        names += ["ids", "begins", "ends"]
+        types += [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
@@ -430,11 +434,12 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
                     pieces, begins, ends, joined = c.encode_joined(t or "")
                     decoded = c.decode(pieces.tolist())
                     spans = np.stack([begins, ends], 1).astype("<i8").tobytes()
-                    rows.append((len(pieces), hexed(joined.encode()), hexed(decoded.encode("utf-8", "surrogatepass")), hexed(spans)))
-                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
+                    rows.append((len(pieces), hexed(joined.encode()), hexed(decoded.encode("utf-8", "surrogatepass")), hexed(spans), *((pieces, begins, ends) if arrays else ())))
+                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names)
 
-    out = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    more = ", ids array<int>, begins array<bigint>, ends array<bigint>" if arrays else ""
+    out = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string{more}")
     return out.withColumnRenamed("id", id_col)
 
 
