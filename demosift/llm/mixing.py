@@ -55,15 +55,17 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_col: str | None = None) -> DataFrame:
     """``id, size, source_size, target, taken, copies``: what the mix takes of every row.
 
     ``taken`` counts words, repeats included, the last document of a budget in part; ``copies`` counts
-    whole documents, where that last one is taken if half of it is.
+    whole documents, where that last one is taken if half of it is.  A column that numbers the rows is
+    passed through, so that repeated and null ids can be told apart, and orders rows that are else alike.
     """
     spark = df.sparkSession
-    base = df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"))
-    base = base.select("id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), quality_weight().alias("weight"))
+    number = [] if row_col is None else ["row_number"]
+    base = df.select(*[df[row_col].alias(c) for c in number], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"))
+    base = base.select(*number, "id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), quality_weight().alias("weight"))
     base = base.withColumn("key", key("id", "weight", seed)).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int"))
     base = stored(base.drop("weight"), "mix")
     sizes = [(r[0], r[1]) for r in base.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()]
@@ -81,11 +83,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     bins = bins.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     bins = bins.withColumnsRenamed({"source": "of", "bin": "in_bin"})
     found = base.join(bins, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("in_bin")))
-    inside = Window.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("key", "id", "size", *number).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("budget") - F.col("offset") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0).cast("long"), F.least("size", left))
     chosen = (left > 0) & (2 * part >= F.col("size"))
-    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + chosen.cast("long")).alias("copies"))
+    return found.select(*[F.col(c).alias(row_col) for c in number], F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + chosen.cast("long")).alias("copies"))
 
 
 ORACLE_SQL = r"""

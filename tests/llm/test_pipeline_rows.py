@@ -1,12 +1,15 @@
 """Stages of the pipeline row by row: tokens, repeated and null ids."""
 
 import hashlib
+import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
+from demosift.llm import mixing
 
 
 def test_pipeline_ends_in_tokens(spark, documents, sf_dir):
@@ -21,3 +24,20 @@ def test_pipeline_ends_in_tokens(spark, documents, sf_dir):
         spans = np.array([r.begins, r.ends], "<i8").T
         assert hashlib.sha256(np.ascontiguousarray(spans).tobytes()).hexdigest() == r.spans_sha256
         assert all(0 <= a <= b <= len(text.encode()) for a, b in zip(r.begins, r.ends, strict=True))
+
+
+def test_mix_decides_for_each_row(spark, documents, sf_dir):
+    rng = random.Random(5)
+    rows = [(rng.choice((None, i, i % 7)), f"t{i} " + "w " * rng.randrange(30), rng.choice("aaab")) for i in range(300)]
+    docs = documents(rows).selectExpr("*", "1 AS n", "2 AS row", "3 AS copies")
+    got = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    copies = Counter(r.text for r in got.collect())
+    numbered = docs.selectExpr("int(substr(text, 2, instr(text, ' ') - 2)) AS at", "doc_id", "text", "source")
+    want = {rows[r["at"]][1]: r.copies for r in mixing.mix(numbered, row_col="at").collect()}
+    # rows of one key and size are alike
+    alike = lambda of: sorted((str(i), s, t.count(" "), of[t]) for i, t, s in rows)
+    assert alike(copies) == alike(want)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    for source, target in mixing.targets(list(sizes.items())).items():
+        assert abs(sum(len(t.split()) * copies[t] for _, t, s in rows if s == source) - target) <= 31
