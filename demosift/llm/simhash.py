@@ -15,7 +15,7 @@ never names a component; columns other than the two named are ignored; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(df[id_col].alias("id"), df[text_col].cast("string").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
+def _print_of(width: int) -> Callable[[Column], Column]:
+    """The fingerprint as a column."""
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts)).view(np.int64))
+
+    return run
+
+
 def _split(rest: Column, bits: int, parts: int) -> list[tuple[Column, Column]]:
     """For each of the equal blocks of the lowest bits: the block, and the other bits closed up."""
     n, out = bits // parts, []
@@ -159,12 +169,17 @@ def links(values: DataFrame, most: int = 3, hot: int = HOT_KEY) -> DataFrame:
     return dealt.select("fp", "key").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, hot: int = HOT_KEY) -> DataFrame:
-    """``id, fp, component``: the smallest id that near-duplicate links reach from a row."""
+def _linked(df: DataFrame, id_col: str, text_col: str, width: int, most: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``id, fp`` of all rows, ``fp, first`` of distinct fingerprints, ``fp, root, first`` of those with a link."""
     prints = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     labels = stored(components(links(classes, most, hot)), "roots")
-    known = labels.join(classes, labels["node"] == classes["fp"]).select("fp", "root", "first")
+    return prints, classes, labels.join(classes, labels["node"] == classes["fp"]).select("fp", "root", "first")
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, hot: int = HOT_KEY) -> DataFrame:
+    """``id, fp, component``: the smallest id that near-duplicate links reach from a row."""
+    prints, classes, known = _linked(df, id_col, text_col, width, most, hot)
     least = known.groupBy("root").agg(F.min("first").alias("component"))
     linked = known.join(least, "root").select("fp", "component")
     # stored, so that the last join reads two plain tables and its hot fingerprints can be split
@@ -177,11 +192,16 @@ def hexed(fp: str = "fp") -> Column:
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay: one of each component, the one with the smallest id.
+    """The rows of ``df`` that stay: one of each component, the one with the smallest id and then fingerprint.
 
     Rows without id cannot be chosen or compared by id; they stay.
     """
-    found = near_components(df, id_col, text_col, width, most)
-    keep = found.where(F.col(id_col) == F.col("component")).select(id_col)
-    kept = df.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    _, classes, known = _linked(df, id_col, text_col, width, most, HOT_KEY)
+    named = F.when(F.col("first").isNotNull(), F.struct("first", "fp"))
+    linked = known.groupBy("root").agg(F.min(named).alias("least")).select("least.first", "least.fp")
+    alone = classes.join(known.select("fp"), "fp", "left_anti").select("first", "fp")
+    keep = stored(linked.unionByName(alone).where("first IS NOT NULL"), "kept")
+    text = F.coalesce(df[text_col].cast("string").cast("binary"), F.lit(b""))
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), _print_of(width)(text).alias("print"))
+    kept = rows.join(keep, (F.col("id") == F.col("first")) & (F.col("print") == F.col("fp")), "left_semi").dropDuplicates(["id", "print"])
+    return kept.select("row.*").unionByName(df.where(F.col(id_col).isNull()))

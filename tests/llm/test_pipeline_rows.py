@@ -9,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from demosift.llm import mixing
+from demosift.llm import mixing, simhash
 
 
 def test_pipeline_ends_in_tokens(spark, documents, sf_dir):
@@ -41,3 +41,13 @@ def test_mix_decides_for_each_row(spark, documents, sf_dir):
     sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
     for source, target in mixing.targets(list(sizes.items())).items():
         assert abs(sum(len(t.split()) * copies[t] for _, t, s in rows if s == source) - target) <= 31
+
+
+def test_near_dedup_keeps_texts_that_share_an_id(spark, documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b.upper()), (7, b), (7, c), (2, c), (9, a), (None, a), (None, "d")]
+    df = documents(rows).selectExpr("*", "1 AS id", "2 AS fp", "3 AS first", "4 AS row")
+    kept = simhash.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == [(0, a), (0, "d"), (2, c), (5, a), (5, b)]
+    assert simhash.near_dedup(df.limit(0)).count() == 0
