@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
-import math
 import re
 import struct
 from array import array
@@ -23,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks of a generation of the cache, of which there are two, and the longest one that is kept.
-CACHED_CHUNKS, CACHED_LENGTH = 150_000, 40
+CACHED_CHUNKS, CACHED_LENGTH = 60_000, 40
+#: Characters of the texts that are encoded at a time; one longer text goes alone.
+SLICE = 1 << 20
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -149,18 +150,150 @@ class Model:
         self.cuts = not self.suffix_space and not self.user and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in long)
         self.newline_alone = not any("\n" in p for p in self.mergeable)
         self.unused = {p for p, i in self.ids.items() if self.types[i] == UNUSED}
+        #: What a piece covers follows from its id and its neighbours, and merges have no exceptions.
+        self.plain = self.byte_fallback and not self.user and not self.unused
+
+
+class Pairs:
+    """A hash table from two symbols to the symbol they merge to, looked up for arrays of pairs."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
+        keys = self._key(left, right)
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.merged = np.full(size, -1), np.full(size, -1, np.int32)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[at] < 0
+            slots, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slots], self.merged[slots] = keys[todo[put]], merged[todo[put]]
+            left_over = np.ones(len(todo), bool)
+            left_over[put] = False
+            todo, at = todo[left_over], (at[left_over] + 1) % size
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << 32 | right
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged symbol of each pair, or -1."""
+        shape = left.shape
+        keys = self._key(left, right).ravel()
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.merged[at], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.keys)
+            there = self.keys[at[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.merged[at[todo[hit]]]
+            todo = todo[~hit & (there >= 0)]
+        return out.reshape(shape)
+
+
+class Merger:
+    """Merges many short chunks at once.
+
+    Chunks of like length are the rows of a matrix of symbols.  A step merges the best pair of every row
+    (the leftmost of equal ones), so all rows lose one symbol and the matrix stays a rectangle; rows
+    without a pair are done.  A symbol is a piece's id, or, for a character without one, the number of
+    pieces plus its code point.
+    """
+
+    PAD, NEVER = np.int32(0x7FFFFFF0), np.int32(0x7FFFFFF1)
+
+    def __init__(self, model: Model):
+        self.count, parts = len(model.pieces), set(model.mergeable)
+        self.of_char = np.arange(0x110000, dtype=np.int32) + np.int32(self.count)
+        for piece, i in model.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        symbol = lambda p: int(self.of_char[ord(p)]) if len(p) == 1 else model.ids[p]
+        made = []
+        for piece in model.mergeable:
+            for cut in range(1, len(piece)):
+                a, b = piece[:cut], piece[cut:]
+                if (len(a) == 1 or a in parts) and (len(b) == 1 or b in parts):
+                    made.append((symbol(a), symbol(b), model.ids[piece]))
+        left, right, merged = np.array(made, np.int32).reshape(-1, 3).T
+        self.pairs = Pairs(left, right, merged)
+        scores = np.array(model.scores)
+        self.rank = np.append(np.unique(-scores, return_inverse=True)[1].astype(np.int32), self.NEVER)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return self.rank[self.pairs.find(left, right)]
+
+    def merge(self, chunks: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of chunks, their symbols (a matrix), and how many of a row's symbols count."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbols = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.cumsum(sizes) - sizes
+        widths = -(-sizes // 4) * 4
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            column = np.arange(width)
+            inside = column < sizes[own, None]
+            rows = np.where(inside, symbols[np.minimum(begins[own, None] + column, len(symbols) - 1)], self.PAD)
+            yield from self._steps(own, rows, width - sizes[own])
+
+    def _steps(self, own: np.ndarray, rows: np.ndarray, pads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ranks = self._ranks(rows[:, :-1], rows[:, 1:]) if rows.shape[1] > 1 else np.zeros((len(rows), 0), np.int32)
+        while len(rows):
+            n, width = rows.shape
+            at = ranks.argmin(axis=1) if width > 1 else np.zeros(n, np.int64)
+            going = ranks[np.arange(n), at] < self.NEVER if width > 1 else np.zeros(n, bool)
+            if not going.all():
+                done = ~going
+                yield own[done], rows[done], width - pads[done]
+                own, rows, ranks, pads, at = own[going], rows[going], ranks[going], pads[going], at[going]
+                n = len(rows)
+            if not n:
+                return
+            line = np.arange(n)
+            rows[line, at] = self.pairs.find(rows[line, at], rows[line, at + 1])
+            keep = np.ones((n, width), bool)
+            keep[line, at + 1] = False
+            rows = rows[keep].reshape(n, width - 1)
+            keep = np.ones((n, width - 1), bool)
+            keep[line, at] = False
+            ranks = ranks[keep].reshape(n, width - 2)
+            # the pairs on both sides of the merged one are new
+            after, before = np.flatnonzero(at < width - 2), np.flatnonzero(at > 0)
+            if len(after):
+                ranks[after, at[after]] = self._ranks(rows[after, at[after]], rows[after, at[after] + 1])
+            if len(before):
+                ranks[before, at[before] - 1] = self._ranks(rows[before, at[before] - 1], rows[before, at[before]])
 
 
 class Codec:
-    """Encodes and decodes; keeps a bounded cache of the pieces of short chunks."""
+    """Encodes and decodes; keeps a bounded cache of the pieces of short chunks.
+
+    Pieces are those of a chunk as 32-bit ids.  Where what they cover does not follow from the ids, a
+    second table of the same size holds the normalised bytes of each.
+    """
 
     def __init__(self, blob: bytes):
         self.model = m = Model(blob)
         mark, line = re.escape(SPACE_MARK), "\n" if m.newline_alone else ""
         self.chunk = re.compile(f"{mark}*[^{mark}{line}]+|{mark}+|\n" if m.cuts else r"(?s).+")
-        self.cache: dict[str, tuple[bytes, bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.covers: dict[str, bytes] = {}
         self.surface = [self._surface(i) for i in range(len(m.pieces))]
+        self.names = list(map(str, range(len(m.pieces))))
+        self.merger = Merger(m) if m.plain else None
+        # bytes of each piece in the normalised text and, without a map and with marks for spaces only, in the source
+        self.lengths = np.array([1 if t == BYTE else n for t, n in zip(m.types, m.lengths, strict=True)], np.int64)
+        self.source_lengths = self.lengths - 2 * np.array([p.count(SPACE_MARK) for p in m.pieces])
+        self.byte = np.full(len(m.pieces), -1, np.int16)
+        for value, i in m.byte_ids.items():
+            self.byte[i] = value
+        self.escapes_only = m.plain and not m.charmap.units and not m.remove_extra and m.escape and not m.suffix_space
 
     # ------------------------------------------------------------------ normalisation
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -168,8 +301,6 @@ class Codec:
         m, raw = self.model, text.encode("utf-8", "surrogatepass")
         if not raw:
             return "", np.zeros(1, np.int64)
-        if not m.charmap.units and not m.remove_extra and m.escape and not m.suffix_space and not m.user:
-            return self._escaped(text, raw)
         mark = SPACE_MARK if m.escape else " "
         out: list[str] = []
         origin: list[int] = []
@@ -219,20 +350,11 @@ class Codec:
         n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
         return raw[at : at + n], n
 
-    def _escaped(self, text: str, raw: bytes) -> tuple[str, np.ndarray]:
-        """The same without a map: only spaces turn into marks."""
-        spaces = np.frombuffer(raw, np.uint8) == 32
-        origin = np.repeat(np.arange(len(raw)), np.where(spaces, 3, 1))
-        head = [0, 0, 0] if self.model.dummy_prefix else []
-        mark = SPACE_MARK if self.model.dummy_prefix else ""
-        return mark + text.replace(" ", SPACE_MARK), np.concatenate([np.array(head, np.int64), origin, [len(raw)]])
-
     # ------------------------------------------------------------------ merging
     def _merge(self, chunk: str) -> list[str]:
         m = self.model
         if not m.user:
-            symbols = list(chunk)
-            out = self._scan(symbols) if len(symbols) <= 40 else self._heap(symbols, [False] * len(symbols))
+            out = self._heap(list(chunk), [False] * len(chunk))
         else:
             symbols, frozen, at = [], [], 0
             while at < len(chunk):
@@ -243,20 +365,6 @@ class Codec:
             out = self._heap(symbols, frozen)
         return out if not m.unused else [x for p in out for x in self._split_unused(p)]
 
-    def _scan(self, s: list[str]) -> list[str]:
-        """Few symbols: look for the best pair again after every merge."""
-        score, none = self.model.mergeable.get, -math.inf
-        best = [score(a + b, none) for a, b in itertools.pairwise(s)]
-        while best and (top := max(best)) > none:
-            at = best.index(top)
-            s[at : at + 2] = [s[at] + s[at + 1]]
-            del best[at]
-            if at:
-                best[at - 1] = score(s[at - 1] + s[at], none)
-            if at < len(best):
-                best[at] = score(s[at] + s[at + 1], none)
-        return s
-
     def _heap(self, s: list[str], frozen: list[bool]) -> list[str]:
         score, n = self.model.mergeable.get, len(s)
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
@@ -313,35 +421,85 @@ class Codec:
             joins = i is None and not m.byte_fallback
         return ids, lens
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes, str]:
-        if (known := self.cache.get(chunk)) is not None:
-            return known
-        if (known := self.older.get(chunk)) is not None:
-            return self._keep(chunk, known)
-        ids, lens = self._ids(chunk)
-        out = array("i", ids).tobytes(), array("i", lens).tobytes(), ",".join(map(str, ids))
-        return self._keep(chunk, out) if len(chunk) <= CACHED_LENGTH else out
-
-    def _keep(self, chunk: str, out: tuple[bytes, bytes, str]) -> tuple[bytes, bytes, str]:
-        """Into the younger generation, which becomes the older one when it is full."""
+    def _learn(self, chunks: list[list[str]]) -> list[str]:
+        """Puts all chunks into the cache; returns those too long to stay there."""
         if len(self.cache) >= CACHED_CHUNKS:
             self.cache, self.older = {}, self.cache
-        self.cache[chunk] = out
+            self.covers = {c: x for c, x in self.covers.items() if c in self.older}
+        new, short, long = set().union(*chunks).difference(self.cache), [], []
+        for c in new:
+            if (known := self.older.get(c)) is not None:
+                self.cache[c] = known
+            elif len(c) > CACHED_LENGTH:
+                long.append(c)
+            else:
+                short.append(c)
+        if self.merger is None:
+            long, short = [*long, *short], []
+        for c in long:
+            ids, lens = self._ids(c)
+            self.cache[c] = array("i", ids).tobytes()
+            if not self.model.plain:
+                self.covers[c] = array("i", lens).tobytes()
+        if short:
+            for own, rows, counts in self.merger.merge(short):
+                self._put([short[i] for i in own.tolist()], rows, counts)
+        return [c for c in long if len(c) > CACHED_LENGTH]
+
+    def _put(self, chunks: list[str], rows: np.ndarray, counts: np.ndarray) -> None:
+        raw, step, cache = rows.astype(np.int32).tobytes(), 4 * rows.shape[1], self.cache
+        for c, at, n in zip(chunks, range(0, len(raw), step), (4 * counts).tolist(), strict=True):
+            cache[c] = raw[at : at + n]
+        # characters without a piece fall back to their bytes
+        missing = (rows >= self.merger.count) & (np.arange(rows.shape[1]) < counts[:, None])
+        for i in np.flatnonzero(missing.any(axis=1)).tolist():
+            ids: list[int] = []
+            for x in rows[i, : counts[i]].tolist():
+                ids += [x] if x < self.merger.count else [self.model.byte_ids[b] for b in chr(x - self.merger.count).encode("utf-8", "surrogatepass")]
+            cache[chunks[i]] = array("i", ids).tobytes()
+
+    def _covered(self, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Bytes that each piece covers; of a character in bytes only the last one covers it."""
+        out, byte = lengths[ids], self.byte[ids]
+        wide = byte >= 0x80
+        if wide.any():
+            begins = np.flatnonzero(byte >= 0xC0)
+            middle = wide & (byte < 0xC0)
+            ends = np.flatnonzero(middle & ~np.append(middle[1:], False))
+            out[wide] = 0
+            out[ends] = ends - begins + 1
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every text ids, and begin and end of each piece in bytes of the source text."""
+        m, origins = self.model, []
+        easy = [self.escapes_only and SPACE_MARK not in t for t in texts]
+        head = SPACE_MARK if m.dummy_prefix else ""
+        chunks = []
+        for t, simple in zip(texts, easy, strict=True):
+            normal, origin = (head + t.replace(" ", SPACE_MARK) if t else "", None) if simple else self.normalise(t)
+            origins.append(origin)
+            chunks.append(self.chunk.findall(normal))
+        long = self._learn(chunks)
+        get, out = self.cache.__getitem__, []
+        for own, origin in zip(chunks, origins, strict=True):
+            ids = np.frombuffer(b"".join(map(get, own)), np.int32)
+            if origin is None:
+                stop = np.cumsum(self._covered(self.source_lengths, ids))
+                stop -= len(head)
+                begin = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+                out.append((ids, begin, stop))
+                continue
+            lens = self._covered(self.lengths, ids) if m.plain else np.frombuffer(b"".join(map(self.covers.__getitem__, own)), np.int32)
+            stop = np.cumsum(lens, dtype=np.int64)
+            out.append((ids, origin[stop - lens], origin[stop]))
+        for c in long:
+            del self.cache[c]
+            self.covers.pop(c, None)
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and begin and end of each piece in bytes of the source text."""
-        return self.encode_joined(text)[:3]
-
-    def encode_joined(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """The same, and the ids as decimal numbers joined by commas."""
-        normalised, origin = self.normalise(text)
-        get, make = self.cache.get, self._chunk
-        rows = [get(c) or make(c) for c in self.chunk.findall(normalised)]
-        ids = np.frombuffer(b"".join([r[0] for r in rows]), np.int32)
-        lens = np.frombuffer(b"".join([r[1] for r in rows]), np.int32)
-        stop = np.cumsum(lens, dtype=np.int64)
-        return ids, origin[stop - lens], origin[stop], ",".join([r[2] for r in rows])
+        return self.encode_many([text])[0]
 
     # ------------------------------------------------------------------ decoding
     def _surface(self, i: int) -> bytes:
@@ -406,7 +564,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         c = codec(shared.value)
         for batch in batches:
             for ids, texts in _slices(batch):
-                rows = [c.encode(t or "") for t in texts]
+                rows = c.encode_many([t or "" for t in texts])
                 cols = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids, *cols, pa.array([c.decode(r[0].tolist()) for r in rows], pa.string())], ["id", "ids", "begins", "ends", "decoded"])
 
@@ -430,9 +588,9 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
         for batch in batches:
             for ids, texts in _slices(batch):
                 rows = []
-                for t in texts:
-                    pieces, begins, ends, joined = c.encode_joined(t or "")
-                    decoded = c.decode(pieces.tolist())
+                for pieces, begins, ends in c.encode_many([t or "" for t in texts]):
+                    listed = pieces.tolist()
+                    joined, decoded = ",".join(map(c.names.__getitem__, listed)), c.decode(listed)
                     spans = np.stack([begins, ends], 1).astype("<i8").tobytes()
                     rows.append((len(pieces), hexed(joined.encode()), hexed(decoded.encode("utf-8", "surrogatepass")), hexed(spans), *((pieces, begins, ends) if arrays else ())))
                 cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
@@ -444,10 +602,14 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """A few rows at a time, so that what is held besides the batch stays small."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
+    """A few rows at a time, fewer where texts are long, so that what is held besides the batch stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows]), SLICE, side="right")))
+        part = batch.slice(at, n)
         yield part.column(0), part.column(1).to_pylist()
+        at += n
 
 
 def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
