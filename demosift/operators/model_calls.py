@@ -61,31 +61,39 @@ def http_pool(base: str, keys: list[str]) -> Failover:
     return Failover([HttpClient(base, k) for k in keys or [""]])
 
 
+def waits(times: int, delay: float) -> list[float]:
+    """Seconds to wait before each repetition: doubling, none where the delay is none."""
+    return [max(0.0, delay) * 2**n for n in range(max(0, times))]
+
+
+def reached(client: Any, request: dict, schedule: list[float], sleep: Callable[[float], None]) -> tuple[dict, int]:
+    """An answer, and how many tries it took; the error of the last try is the caller's."""
+    for tries, wait in enumerate(schedule, 1):
+        try:
+            return client.create(**request), tries
+        except Exception:
+            sleep(wait)
+    return client.create(**request), len(schedule) + 1
+
+
 def call(client: Any, request: dict, max_retries: int = 3, delay: float = 1.0, empty_retries: int = 2, empty_max_tokens: int | None = None, sleep: Callable[[float], None] = time.sleep) -> tuple[str, dict | None, dict]:
-    """Output, usage and how it came: errors are retried with doubling delays, empty outputs with more tokens."""
-    request, attempts = dict(request), 0
-    max_retries, delay, empty_retries = max(0, max_retries), max(0.0, delay), max(0, empty_retries)
-    for empty in range(empty_retries + 1):
-        for attempt in range(max_retries + 1):
-            attempts += 1
-            try:
-                answer = client.create(**request)
-                break
-            except Exception:
-                if attempt == max_retries:
-                    raise
-                sleep(delay * 2**attempt)
+    """Output, usage and how it came.
+
+    Errors are met by the same request after a while, empty outputs by one that allows more tokens.
+    """
+    on_error, on_empty = waits(max_retries, delay), waits(empty_retries, delay)
+    bigger = request if empty_max_tokens is None else {**request, "max_tokens": max(int(request.get("max_tokens") or 0), int(empty_max_tokens))}
+    output, attempts, empty = "", 0, -1
+    while not output and empty < len(on_empty):
+        empty += 1
+        if empty and on_empty[empty - 1] > 0:
+            sleep(on_empty[empty - 1])
+        sent = bigger if empty else request
+        answer, tries = reached(client, sent, on_error, sleep)
+        attempts += tries
         output = (answer.get("content") or "").strip()
-        info = {"finish_reason": answer.get("finish_reason"), "attempts": attempts, "empty_retries": empty, "max_tokens": request.get("max_tokens")}
-        if hasattr(client, "active"):
-            info |= {"api_key_index": client.active + 1, "api_key_count": client.key_count}
-        if output or empty == empty_retries:
-            return output, answer.get("usage"), info
-        if empty_max_tokens is not None:
-            request["max_tokens"] = max(int(request.get("max_tokens") or 0), int(empty_max_tokens))
-        if delay > 0:
-            sleep(delay * 2**empty)
-    raise AssertionError("the last try returns")
+    pool = {"api_key_index": client.active + 1, "api_key_count": client.key_count} if hasattr(client, "active") else {}
+    return output, answer.get("usage"), {"finish_reason": answer.get("finish_reason"), "attempts": attempts, "empty_retries": empty, "max_tokens": sent.get("max_tokens"), **pool}
 
 
 def map_calls(work: DataFrame, make_client: Callable[[], Any], parallel: int | None = None, **options: Any) -> DataFrame:

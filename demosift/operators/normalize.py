@@ -46,7 +46,7 @@ def normalize_schema(df: DataFrame, normalised: bool = False) -> DataFrame:
 def require(df: DataFrame, columns: tuple[str, ...] = REQUIRED) -> None:
     for c in columns:
         if c not in df.columns:
-            raise ValueError(f"Missing required column: {c}")
+            raise ValueError(f"the table lacks the column {c}")
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def split_pairs(train: DataFrame, test: DataFrame, target_lang: str, only_senten
 def word_pairs(df: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing lexicon columns: {', '.join(missing)}")
+        raise ValueError(f"a dictionary needs the columns {', '.join(missing)}")
     return df.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang) & (F.col("type") == "word"))
 
 

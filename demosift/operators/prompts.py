@@ -41,7 +41,7 @@ def prompt(examples: Column, text: Column, source_lang: Column, target_lang: Col
     """A prompt from ordered examples (``source_text, target_text`` and, with hints, ``entries``)."""
     mode = mode.strip().lower()
     if mode not in MODES:
-        raise ValueError(f"Unknown prompt mode: {mode}")
+        raise ValueError(f"no prompt mode is called {mode}")
     source, target = T.source_name(source_lang), T.target_name(target_lang)
     task = F.concat(F.lit("Task: Translate the following "), source, F.lit(" texts to "), target, F.lit(".\n"))
     said = lambda name, value: F.concat(name, F.lit(": "), value)

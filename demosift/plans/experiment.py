@@ -17,6 +17,21 @@ from .retrieval import BACKENDS, GRAPH_STRATEGIES, PROMPT_MODES, STRATEGIES, Ind
 
 #: States of a run that did not end, and what a restart makes of them.
 UNFINISHED, INTERRUPTED = ("queued", "running", "evaluating"), "interrupted"
+#: Strategies that rank by no score.
+UNRANKED = ("zero", "static", "random")
+#: Least and largest value of numbers, and of the numbers in a list.
+BOUNDS: dict[str, tuple[float, float | None]] = {
+    "k_list": (0, None),
+    "candidate_n": (1, None),
+    "max_examples": (1, None),
+    "sample_fraction": (0, 1),
+    "lexicon_top_n": (1, None),
+    "lexicon_max_entries": (1, None),
+    "bli_threshold": (0, None),
+    "max_tokens": (1, None),
+    "api_retries": (0, None),
+    "empty_retries": (0, None),
+}
 
 
 @dataclass
@@ -64,39 +79,52 @@ class Settings:
     save_prompts: bool = True
 
     def validate(self) -> Settings:
-        chosen = set(self.strategies)
-        graphs = chosen & set(GRAPH_STRATEGIES)
-        beside_graphs = chosen - set(GRAPH_STRATEGIES) - {"random", "zero", "static"}
-        unknown = sorted(chosen - set(STRATEGIES))
-        rules = [
-            (not chosen, "At least one strategy is required."),
-            (unknown, f"Unknown strategies: {', '.join(unknown)}"),
-            (not self.k_list, "At least one k value is required."),
-            (any(k < 0 for k in self.k_list), "k values must be non-negative integers."),
-            (0 in self.k_list and chosen != {"zero"}, "k = 0 is only supported with the strategy zero."),
-            (self.max_examples is not None and self.max_examples < 1, "max_examples must be positive when provided."),
-            (self.retrieval_backend not in BACKENDS, f"Unknown retrieval backend: {self.retrieval_backend}"),
-            ("static" in chosen and not self.static_examples_path, "The strategy static requires static_examples_path."),
-            (self.static_examples_path and chosen != {"static"}, "static_examples_path is only supported with static."),
-            (self.prompt_mode not in PROMPT_MODES, f"Unknown prompt mode: {self.prompt_mode}"),
-            (self.lexicon_top_n < 1, "lexicon_top_n must be positive."),
-            (self.lexicon_max_entries < 1, "lexicon_max_entries must be positive."),
-            (self.bli_threshold < 0, "bli_threshold cannot be negative."),
-            (self.enable_bli and self.prompt_mode != "dipmt_plus", "enable_bli requires the prompt mode dipmt_plus."),
-            (graphs and self.retrieval_backend != "graph", f"Graph strategies require the graph backend: {', '.join(sorted(graphs))}"),
-            (self.retrieval_backend == "graph" and beside_graphs, f"The graph backend supports random, zero, static and graph strategies only: {', '.join(sorted(beside_graphs))}"),
-            (self.max_tokens < 1, "max_tokens must be positive."),
-            (self.max_tokens_cap < self.max_tokens, "max_tokens_cap must be at least max_tokens."),
-            (self.empty_retries < 0, "empty_retries cannot be negative."),
-            (self.api_retries < 0, "api_retries cannot be negative."),
-            (self.candidate_n < 1, "candidate_n must be positive."),
-            (self.sample_fraction is not None and not 0 < self.sample_fraction <= 1, "sample_fraction must lie in (0, 1]."),
-        ]
-        for broken, text in rules:
-            if broken:
-                raise ValueError(text)
+        """The settings themselves, or one error that names all that is wrong with them."""
+        found = [*self._out_of_range(), *self._unnamed(), *self._at_odds()]
+        if found:
+            raise ValueError("; ".join(found))
         return self
 
+    def _out_of_range(self) -> list[str]:
+        """Numbers beside their bounds; settings without a value are not looked at."""
+        out = []
+        for name, (least, most) in BOUNDS.items():
+            value = getattr(self, name)
+            for one in value if isinstance(value, list) else [value]:
+                if one is not None and not (one >= least and (most is None or one <= most)):
+                    out.append(f"{name}: {one} is not {f'at least {least}' if most is None else f'between {least} and {most}'}")
+        if self.sample_fraction == 0:
+            out.append("sample_fraction: a sample of nothing")
+        if self.max_tokens_cap < self.max_tokens:
+            out.append(f"max_tokens_cap: {self.max_tokens_cap} is below max_tokens, {self.max_tokens}")
+        return out
+
+    def _unnamed(self) -> list[str]:
+        """Names that mean nothing here, and lists that are empty."""
+        out = [f"{name}: empty" for name in ("strategies", "k_list") if not getattr(self, name)]
+        for name, known in (("strategies", STRATEGIES), ("retrieval_backend", BACKENDS), ("prompt_mode", PROMPT_MODES)):
+            value = getattr(self, name)
+            out += [f"{name}: {x!r} is none of {'/'.join(known)}" for x in (value if isinstance(value, list) else [value]) if x not in known]
+        return out
+
+    def _at_odds(self) -> list[str]:
+        """Settings that do not go together."""
+        chosen, out = set(self.strategies) & set(STRATEGIES), []
+        on_graph = self.retrieval_backend == "graph"
+        for strategy in sorted(chosen):
+            # strategies that rank by nothing go with every backend
+            if strategy not in UNRANKED and on_graph != (strategy in GRAPH_STRATEGIES):
+                out.append(f"{strategy} cannot be had from the backend {self.retrieval_backend}")
+        if 0 in self.k_list and chosen != {"zero"}:
+            out.append("no examples (k 0) go with zero alone")
+        if "static" in chosen and not self.static_examples_path:
+            out.append("static has no file of examples (static_examples_path)")
+        if self.static_examples_path and chosen != {"static"}:
+            out.append("a file of examples (static_examples_path) serves static and nothing beside it")
+        if self.enable_bli and self.prompt_mode != "dipmt_plus":
+            out.append("induced pairs (enable_bli) show only in the prompt mode dipmt_plus")
+        return out
+
 
 def prepare(train: DataFrame, test: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Filtered and sampled corpora with dense row ids; test rows are named by their place."""
@@ -107,7 +135,7 @@ def prepare(train: DataFrame, test: DataFrame, s: Settings) -> tuple[DataFrame,
         test = test.orderBy("row_id").limit(s.max_examples)
     for name, df in (("train", train), ("test", test)):
         if df.isEmpty():
-            raise ValueError(f"No {name} rows are left after filtering.")
+            raise ValueError(f"the {name} corpus is empty once filtered and sampled")
     return train, test
 
 
@@ -174,7 +202,7 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, s: Settings, fol
     if not s.resume:
         sinks.remove([at, *[p for n, p in paths.items() if n != "base_name"]])
     lex_stats = lexicon.stats(lex).first().asDict() if lex is not None else None
-    sinks.write_json(paths["manifest"], sinks.manifest(args, s.model, train, test, sinks.plain_fingerprint(train), paths, lex_stats))
+    sinks.write_json(paths["manifest"], sinks.manifest(args, s.model, train, test, sinks.fingerprint(train), paths, lex_stats))
     sinks.write_status(paths["status"], status="running")
     work = work_items(index, test, lex, s)
     done = _existing(spark, at)
