@@ -37,6 +37,23 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """Null where nothing but ASCII stands: such texts need no Unicode tables and stay in the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), text)
+
+
+def normal(text: Column | str) -> Column:
+    """Compatibility-normalised."""
+    t = _column(text)
+    return F.coalesce(nfkc(_beyond_ascii(t)), t)
+
+
+def folded(text: Column | str) -> Column:
+    """Compatibility-normalised and case-folded."""
+    t = _column(text)
+    return F.coalesce(nfkc_folded(_beyond_ascii(t)), F.lower(t))
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends; of every kind, where ``trim`` knows one."""
     return F.regexp_replace(_column(text), WHITE_ENDS, "")
@@ -53,7 +70,7 @@ def bm25_tokens(text: Column | str) -> Column:
 
 def graph_text(text: Column | str, normalised: bool = False) -> Column:
     """Compatibility-normalised unless it is known to be, stripped, lowered, white space collapsed."""
-    t = _column(text) if normalised else nfkc(_column(text))
+    t = _column(text) if normalised else normal(text)
     return F.regexp_replace(F.lower(strip(t)), WHITE, " ")
 
 
@@ -64,13 +81,13 @@ def graph_tokens(text: Column | str, normalised: bool = False) -> Column:
 
 def lexicon_tokens(text: Column | str, normalised: bool = False) -> Column:
     """Maximal runs of token characters, case kept."""
-    t = _column(text) if normalised else nfkc(_column(text))
+    t = _column(text) if normalised else normal(text)
     return F.coalesce(F.regexp_extract_all(t, F.lit(f"([{LEXICON_CHARS}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def lexicon_key(text: Column | str) -> Column:
     """Folded and reduced to token characters, so the parts of a compound concatenate."""
-    return F.regexp_replace(nfkc_folded(_column(text)), f"[^{LEXICON_CHARS}]", "")
+    return F.regexp_replace(folded(text), f"[^{LEXICON_CHARS}]", "")
 
 
 def length_bucket(value: Column | None, tokens: Column) -> Column:

@@ -16,18 +16,30 @@ from . import rank
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(corpus: DataFrame, text: str = "source_text", row_id: str = "row_id") -> DataFrame:
-    """``row_id, term, weight``: what one occurrence of a term in a query adds to a row's score."""
+def terms_of(queries: DataFrame, text: str = "text") -> DataFrame:
+    """``term``: all that queries ask for."""
+    return queries.select(F.explode(T.bm25_tokens(text)).alias("term")).distinct()
+
+
+def postings(corpus: DataFrame, text: str = "source_text", row_id: str = "row_id", terms: DataFrame | None = None) -> DataFrame:
+    """``row_id, term, weight``: what one occurrence of a term in a query adds to a row's score.
+
+    Document frequencies are counted over all terms, by partial sums; occurrences in a row are counted,
+    and kept, only for ``terms``, if these are given.
+    """
     tokens = corpus.select(F.col(row_id).alias("row_id"), T.bm25_tokens(text).alias("tokens"))
     sizes = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    terms = tokens.select("row_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("row_id", "length", "term").agg(F.count("*").alias("tf"))
-    terms = stored(terms, "terms")
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
+    df = stored(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    found = tokens.select("row_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+    found = found.groupBy("row_id", "length", "term").agg(F.count("*").alias("tf"))
+    idf = df.crossJoin(F.broadcast(sizes))
     idf = idf.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = idf.crossJoin(F.broadcast(floor)).select("term", "mean_length", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
-    return terms.join(idf, "term").select("row_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
+    return found.join(idf, "term").select("row_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
 def scores(index: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
@@ -38,5 +50,5 @@ def scores(index: DataFrame, queries: DataFrame, text: str = "text") -> DataFram
 
 def similarity(corpus: DataFrame, queries: DataFrame, k: int = 8, text: str = "source_text") -> DataFrame:
     """The best ``k`` rows of each query, rows that share no term included with score zero."""
-    found = scores(postings(corpus, text), queries)
+    found = scores(postings(corpus, text, terms=terms_of(queries)), queries)
     return rank.top_k(rank.complete(found, queries, corpus, k), k)

@@ -13,6 +13,8 @@ from demosift.functions import text as T
 
 #: Query vectors that are sent to all tasks at once, in bytes; more are searched block by block.
 QUERY_BYTES = 32_000_000
+#: Queries that are scored at a time inside a task.
+TOGETHER = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,20 +22,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """``query_id, row_id, score`` of every query and row; ``vectors`` and ``asked`` hold ``embedding``."""
-    q = asked.select("query_id", F.col("embedding").alias("asked"))
-    return vectors.select("row_id", "embedding").crossJoin(F.broadcast(q)).select("query_id", "row_id", dot(F.col("embedding"), F.col("asked")).alias("score"))
-
-
-def similarity(vectors: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
-    """The best ``k`` rows of each query.
+def _blocks(vectors: DataFrame, asked: DataFrame, value: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``query_id, row_id, score`` of the pairs that ``value`` picks out of every batch of rows.
 
-    Each task keeps its own best ``k`` for a query before anything is shuffled, so what moves is queries
-    times tasks times ``k``, not queries times rows.  Queries go out in blocks of bounded size.
+    Queries go out in blocks of bounded size; ``value`` takes the rows' ids and a matrix of scores (queries
+    by rows) and gives, for every query, places of rows.
     """
-    from .rank import DIGITS, top_k
-
     dim = asked.select(F.max(F.size("embedding"))).first()[0] or 1
     blocks = max(1, -(-asked.count() * dim * 8 // QUERY_BYTES))
     row_kind, kind = vectors.schema["row_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
@@ -44,21 +38,39 @@ def similarity(vectors: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
             continue
         shared = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), np.array(part["embedding"].tolist(), float)))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, queries = shared.value
             for batch in batches:
                 if not len(batch):
                     continue
                 rows, matrix = batch["row_id"].to_numpy(), np.array(batch["embedding"].tolist(), float)
-                value = queries @ matrix.T
-                order = np.lexsort((np.broadcast_to(-rows, value.shape), -np.round(value, DIGITS)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "row_id": rows[order].ravel(), "score": np.take_along_axis(value, order, 1).ravel()})
+                for at in range(0, len(ids), TOGETHER):
+                    score = queries[at : at + TOGETHER] @ matrix.T
+                    order = value(rows, score)
+                    yield pd.DataFrame({"query_id": np.repeat(ids[at : at + TOGETHER], order.shape[1]), "row_id": rows[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
 
-        one = vectors.select("row_id", "embedding").mapInPandas(best, f"query_id {kind}, row_id {row_kind}, score double")
+        one = vectors.select("row_id", "embedding").mapInPandas(scored, f"query_id {kind}, row_id {row_kind}, score double")
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return asked.select("query_id").limit(0).crossJoin(vectors.select("row_id").limit(0)).select("query_id", "row_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return top_k(found, k)
+        return asked.select("query_id").limit(0).crossJoin(vectors.select("row_id").limit(0)).select("query_id", "row_id", F.lit(0.0).alias("score"))
+    return found
+
+
+def scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, row_id, score`` of every query and row; ``vectors`` and ``asked`` hold ``embedding``."""
+    return _blocks(vectors, asked, lambda rows, score: np.broadcast_to(np.arange(len(rows)), score.shape))
+
+
+def similarity(vectors: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
+    """The best ``k`` rows of each query.
+
+    Each batch keeps its own best ``k`` for a query before anything is shuffled, so what moves is queries
+    times batches times ``k``, not queries times rows.
+    """
+    from .rank import DIGITS, top_k
+
+    best = lambda rows, score: np.lexsort((np.broadcast_to(-rows, score.shape), -np.round(score, DIGITS)), axis=1)[:, :k]
+    return top_k(_blocks(vectors, asked, best), k)
 
 
 def encode(df: DataFrame, id_col: str, text: str, encoder: Callable[[list[str]], np.ndarray], model: str, query: bool) -> DataFrame:
@@ -76,7 +88,6 @@ def encode(df: DataFrame, id_col: str, text: str, encoder: Callable[[list[str]],
 
 def cached(spark: SparkSession, path: str, corpus: DataFrame, fingerprint: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Vectors stored at ``path``, valid if the corpus' fingerprint and number of rows are those they were made for."""
-    from py4j.protocol import Py4JJavaError
     from pyspark.errors import AnalysisException
 
     at = f"{path.rstrip('/')}/{fingerprint}"
@@ -84,7 +95,7 @@ def cached(spark: SparkSession, path: str, corpus: DataFrame, fingerprint: str,
         found = spark.read.parquet(at)
         if found.count() == corpus.count():
             return found
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException:
         pass
     make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)

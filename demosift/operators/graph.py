@@ -49,24 +49,40 @@ def raw_features(df: DataFrame, id_col: str, text: str, type_col: str | None = "
     optional = lambda c: F.col(c) if c and c in df.columns else None
     kind, length = optional(type_col), optional(length_col)
     columns = {"tokens": T.graph_tokens(text, normalised)} | {n: c for n, c in (("kind", kind), ("stated", length)) if c is not None}
-    rows = df.select(id_col, *[c.alias(n) for n, c in columns.items()])
+    # rows are dealt by id before their features are made, so that counting these moves nothing more
+    rows = df.repartition(id_col).select(id_col, *[c.alias(n) for n, c in columns.items()])
     found = row_features(F.col("tokens"), F.col("kind") if kind is not None else None, F.col("stated") if length is not None else None)
     return rows.select(id_col, F.explode(found).alias("f")).groupBy(id_col, F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("raw"))
 
 
-def build(corpus: DataFrame, text: str = "source_text", normalised: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Edges ``row_id, feature, weight, p_s_given_f, p_f_given_s`` and ``feature, df, idf``."""
+def known_features(corpus: DataFrame, text: str = "source_text", normalised: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``row_id, feature, raw`` of all rows, stored, and ``feature, df, raw_total, idf``."""
     raw = stored(raw_features(corpus, "row_id", text, normalised=normalised), "row-features")
     rows = corpus.agg(F.greatest(F.lit(1), F.count("*")).alias("n"))
     known = raw.groupBy("feature").agg(F.count("*").alias("df"), F.sum("raw").alias("raw_total")).crossJoin(F.broadcast(rows))
     known = known.select("feature", "df", "raw_total", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return raw, known
+
+
+def weights(raw: DataFrame, known: DataFrame) -> DataFrame:
+    """``row_id, feature, weight``: edges without the shares that only a walk needs."""
+    return raw.join(known, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"))
+
+
+def build(corpus: DataFrame, text: str = "source_text", normalised: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges ``row_id, feature, weight, p_s_given_f, p_f_given_s`` and ``feature, df, idf``."""
+    raw, known = known_features(corpus, text, normalised)
+    return shares(raw, known), known.select("feature", "df", "idf")
+
+
+def shares(raw: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges with their shares in their feature's and their row's weight."""
     # a feature's weights share its idf, so its total comes with the document frequency; a row's total needs
     # one more shuffle, by row, and a row is no larger than its text
     edges = raw.join(known, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"), (F.col("raw_total") * F.col("idf")).alias("feature_total"))
     share = lambda total: F.col("weight") / F.when(total == 0, F.lit(1.0)).otherwise(total)
     of_row = F.sum("weight").over(Window.partitionBy("row_id"))
-    edges = edges.select("row_id", "feature", "weight", share(F.col("feature_total")).alias("p_s_given_f"), share(of_row).alias("p_f_given_s"))
-    return edges, known.select("feature", "df", "idf")
+    return edges.select("row_id", "feature", "weight", share(F.col("feature_total")).alias("p_s_given_f"), share(of_row).alias("p_f_given_s"))
 
 
 def query_features(queries: DataFrame, idf: DataFrame, text: str = "text", normalised: bool = False) -> DataFrame:

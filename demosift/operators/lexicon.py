@@ -2,7 +2,7 @@
 
 A lexicon is a table ``key, surface, translations``.  Exact and substring lookups are joins; the greedy
 match of compounds is a scan over characters and runs in Arrow batches against the keys of the
-lexicon, whose number is checked before they are sent out.
+lexicon, whose number is checked before they are sent out; with more keys it is a join too.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from demosift.functions import text as T
 
+from demosift.sources.storage import stored
+
 from .normalize import word_pairs
 
 TOP_N, MAX_ENTRIES, MIN_CHARS = 2, 80, 3
-#: Keys that are sent to every task for greedy matching, at most.
+#: Keys that are sent to every task for greedy matching, at most; more are joined.
 MOST_KEYS = 2_000_000
-#: Characters of the longest key that substring lookup makes pieces for.
 HIT = "struct<query:string,source:string,translations:array<string>,match:string>"
 
 
@@ -51,8 +53,19 @@ def stats(lexicon: DataFrame) -> DataFrame:
 
 def _token_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, at, token, key`` of every token with a key."""
-    tokens = df.select(F.col(id_col).alias("id"), F.posexplode(T.lexicon_tokens(text)).alias("at", "token"))
-    return tokens.withColumn("key", T.lexicon_key("token")).where("key <> ''")
+    pairs = F.posexplode(F.arrays_zip("tokens", "keys")).alias("at", "t")
+    return _tokens_and_keys(df, id_col, text).select("id", pairs).select("id", "at", F.col("t.tokens").alias("token"), F.col("t.keys").alias("key")).where("key <> ''")
+
+
+def _tokens_and_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, tokens, keys``.
+
+    Folding does not change which characters make up a token's key, so the keys of a row are made at once.
+    """
+    rows = df.select(F.col(id_col).alias("id"), T.lexicon_tokens(text).alias("tokens"))
+    folded = F.split(T.folded(F.array_join("tokens", "\n")), "\n")
+    keys = F.transform(folded, lambda t: F.regexp_replace(t, f"[^{T.LEXICON_CHARS}]", ""))
+    return rows.select("id", "tokens", F.when(F.size("tokens") > 0, keys).otherwise(F.array().cast("array<string>")).alias("keys"))
 
 
 def _collected(hits: DataFrame, df: DataFrame, id_col: str, top_n: int, max_entries: int) -> DataFrame:
@@ -65,19 +78,30 @@ def _collected(hits: DataFrame, df: DataFrame, id_col: str, top_n: int, max_entr
     return rows.select(F.col("id").alias(id_col), F.coalesce("entries", F.array().cast(f"array<{HIT}>")).alias("entries"))
 
 
-def lookup_joined(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, substring: bool = False, top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id, entries``: exact matches, and on demand all keys inside tokens that match none, longest first."""
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def _greedy(keys: pd.Series, parts: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([greedy_parts(k, set(p), int(n)) for k, p, n in zip(keys, parts, least, strict=True)])
+
+
+def lookup_joined(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str | None = None, top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``id, entries``: exact matches and, in tokens that match none, on demand, ``substring``: all keys, longest
+    first, or ``greedy``: the keys that greedy matching takes.  No key is sent to all tasks."""
     top_n, max_entries, min_chars = max(1, top_n), max(1, max_entries), max(1, min_chars)
-    tokens = _token_keys(df, id_col, text)
+    tokens = stored(_token_keys(df, id_col, text), "tokens") if fuzzy else _token_keys(df, id_col, text)
     exact = tokens.join(lexicon, "key").select("id", "at", F.lit(0).alias("nth"), "token", "key", "surface", "translations", F.lit("exact").alias("match"))
-    if not substring:
+    if fuzzy is None:
         return _collected(exact, df, id_col, top_n, max_entries)
     # each distinct unknown key is cut once, however many tokens have it
     unknown = tokens.select("key").distinct().join(lexicon, "key", "left_anti").where(F.length("key") >= min_chars)
     starts = F.sequence(F.lit(1), F.length("key") - min_chars + 1)
     pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(min_chars), F.length("key") - s + 1), lambda n: F.col("key").substr(s, n))))
     cut = unknown.select(F.col("key").alias("whole"), F.explode(F.array_distinct(pieces)).alias("key")).join(lexicon, "key")
-    lists = cut.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("size"), "key", "surface", "translations"))).alias("parts"))
+    if fuzzy == "greedy":
+        taken = cut.groupBy("whole").agg(F.collect_set("key").alias("parts")).select("whole", F.posexplode(_greedy("whole", "parts", F.lit(min_chars))).alias("size", "key"))
+        cut = cut.join(taken, ["whole", "key"])
+    else:
+        cut = cut.withColumn("size", -F.length("key"))
+    lists = cut.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("size", "key", "surface", "translations"))).alias("parts"))
     fuzzy = tokens.select("id", "at", "token", F.col("key").alias("whole")).join(lists, "whole").select("id", "at", "token", F.posexplode("parts").alias("nth", "part"))
     fuzzy = fuzzy.select("id", "at", "nth", "token", "part.key", "part.surface", "part.translations", F.lit("fuzzy").alias("match"))
     return _collected(exact.unionByName(fuzzy), df, id_col, top_n, max_entries)
@@ -104,10 +128,10 @@ def greedy_parts(key: str, known: dict | set, min_chars: int = MIN_CHARS, longes
 def lookup(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str | None = "max_matching", top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``id, entries``.  ``fuzzy``: None, ``substring``, or anything else for greedy matching."""
     if fuzzy is None or fuzzy.strip().lower() == "substring":
-        return lookup_joined(df, lexicon, id_col, text, fuzzy is not None, top_n, max_entries, min_chars)
+        return lookup_joined(df, lexicon, id_col, text, fuzzy and "substring", top_n, max_entries, min_chars)
     top_n, max_entries, min_chars = max(1, top_n), max(1, max_entries), max(1, min_chars)
-    if (n := lexicon.count()) > MOST_KEYS:
-        raise ValueError(f"{n} keys are too many to send to every task; use exact or substring lookup")
+    if lexicon.count() > MOST_KEYS:
+        return lookup_joined(df, lexicon.where(F.size("translations") > 0), id_col, text, "greedy", top_n, max_entries, min_chars)
     known = {r.key: (r.surface, list(r.translations[:top_n])) for r in lexicon.where(F.size("translations") > 0).toLocalIterator()}
     shared = df.sparkSession.sparkContext.broadcast(known)
 
@@ -138,12 +162,7 @@ def lookup(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str
             yield pd.DataFrame({id_col: batch["id"], "entries": out})
 
     kind = df.schema[id_col].dataType.simpleString()
-    tokens = df.select(F.col(id_col).alias("id"), T.lexicon_tokens(text).alias("tokens"))
-    # folding does not change which characters make up a token's key, so keys can be made of the whole list at once
-    joined = T.nfkc_folded(F.array_join("tokens", "\n"))
-    keys = F.transform(F.split(joined, "\n"), lambda t: F.regexp_replace(t, f"[^{T.LEXICON_CHARS}]", ""))
-    tokens = tokens.select("id", "tokens", F.when(F.size("tokens") > 0, keys).otherwise(F.array().cast("array<string>")).alias("keys"))
-    return tokens.mapInPandas(run, f"{id_col} {kind}, entries array<{HIT}>")
+    return _tokens_and_keys(df, id_col, text).mapInPandas(run, f"{id_col} {kind}, entries array<{HIT}>")
 
 
 def entry_column(entries: Column) -> Column:

@@ -42,12 +42,6 @@ def complete(scores: DataFrame, queries: DataFrame, rows: DataFrame, k: int) ->
     return scores.select("query_id", "row_id", "score").unionByName(absent.withColumn("score", F.lit(0.0)))
 
 
-def fill(scores: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """A score for every query and row, zero where none is given: what min-max scaling is defined over."""
-    grid = queries.select("query_id").crossJoin(rows.select("row_id"))
-    return grid.join(scores, ["query_id", "row_id"], "left").select("query_id", "row_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def normalized(score: Column, low: Column, high: Column) -> Column:
     """Min-max scaled; a constant (up to a billionth) becomes zero."""
     flat = F.abs(high - low) <= F.lit(1e-9) * F.greatest(F.abs(high), F.abs(low))
@@ -66,13 +60,28 @@ def normalize(scores: DataFrame, total_rows: int | None = None) -> DataFrame:
     return scores.join(ends, "query_id").select("query_id", "row_id", normalized(F.col("score"), F.col("low"), F.col("high")).alias("score"))
 
 
-def blend(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of scaled scores that cover every query and row each."""
-    out: DataFrame | None = None
+def blend(parts: dict[str, DataFrame], weights: dict[str, float], total_rows: int) -> DataFrame:
+    """Weighted sum of scaled scores, of every pair that some part scores.
+
+    A pair that a part leaves out counts there as zero before scaling, which makes one value for a query: these
+    values are summed for the query, and a scored pair adds by how much it differs from its part's.  ``total_rows``:
+    how many rows there are.  A query without any score in a part gets nothing from it.
+    """
+    pairs: DataFrame | None = None
+    bases: DataFrame | None = None
     for name, weight in weights.items():
-        part = normalize(parts[name]).select("query_id", "row_id", (F.col("score") * weight).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("query_id", "row_id").agg(F.sum("score").alias("score"))
+        part = parts[name]
+        ends = part.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
+        partial = F.col("n") < total_rows
+        ends = ends.withColumns({"low": F.when(partial, F.least("low", F.lit(0.0))).otherwise(F.col("low")), "high": F.when(partial, F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))})
+        ends = ends.withColumn("absent", F.when(partial, normalized(F.lit(0.0), F.col("low"), F.col("high")) * weight).otherwise(F.lit(0.0)))
+        scaled = normalized(F.col("score"), F.col("low"), F.col("high")) * weight
+        one = part.join(ends, "query_id").select("query_id", "row_id", (scaled - F.col("absent")).alias("score"))
+        base = ends.select("query_id", "absent")
+        pairs, bases = (one, base) if pairs is None else (pairs.unionByName(one), bases.unionByName(base))
+    bases = bases.groupBy("query_id").agg(F.sum("absent").alias("base"))
+    found = pairs.groupBy("query_id", "row_id").agg(F.sum("score").alias("score"))
+    return found.join(bases, "query_id").select("query_id", "row_id", (F.col("score") + F.col("base")).alias("score"))
 
 
 def with_rows(ranked: DataFrame, corpus: DataFrame) -> DataFrame:

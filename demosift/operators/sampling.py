@@ -10,20 +10,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of the hash that name a bin.
+BIN_BITS = 14
+
+
 def sample_fraction(df: DataFrame, fraction: float | None, seed: int, row_id: str = "row_id") -> DataFrame:
     """The same fraction of every type, at least one row, rounded half to even; by a hash of the row id.
 
-    Counts are aggregated and joined back, and the choice is a rank below them, so equal seeds choose
-    equal rows at any partitioning.
+    Rows fall into bins of the hash; whole bins are taken as long as they fit, and only rows of the bin where
+    the wanted number is reached are ranked, so no type is sorted in one task.  Equal seeds choose equal rows
+    at any partitioning.
     """
     if fraction is None or fraction >= 1:
         return df
-    counts = df.groupBy("type").count()
-    wanted = F.least(F.col("count"), F.greatest(F.lit(1), F.bround(F.col("count") * F.lit(float(fraction)), 0).cast("long")))
-    counts = counts.select(F.col("type").alias("of_type"), wanted.alias("wanted"))
-    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.xxhash64(F.lit(seed), row_id), row_id))
-    found = df.withColumn("sample_rank", rank).join(F.broadcast(counts), F.col("type").eqNullSafe(F.col("of_type")))
-    return found.where(F.col("sample_rank") <= F.col("wanted")).select(df.columns)
+    draw = F.xxhash64(F.lit(seed), row_id)
+    rows = df.withColumn("sample_bin", F.shiftright(draw, 64 - BIN_BITS))
+    bins = rows.groupBy(F.col("type").alias("of_type"), F.col("sample_bin").alias("of_bin")).agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("of_type").orderBy("of_bin").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy("of_type"))
+    wanted = F.least(total, F.greatest(F.lit(1), F.bround(total * F.lit(float(fraction)), 0).cast("long")))
+    bins = bins.select("of_type", "of_bin", "n", (wanted - F.sum("n").over(up_to) + F.col("n")).alias("room")).where("room > 0")
+    found = rows.join(bins, F.col("type").eqNullSafe(F.col("of_type")) & (F.col("sample_bin") == F.col("of_bin")))
+    whole = found.where("n <= room").select(df.columns)
+    rank = F.row_number().over(Window.partitionBy("type", "sample_bin").orderBy(draw, row_id))
+    return whole.unionByName(found.where("n > room").withColumn("sample_rank", rank).where("sample_rank <= room").select(df.columns))
 
 
 def sample_pair(train: DataFrame, test: DataFrame, fraction: float | None, seed: int) -> tuple[DataFrame, DataFrame]:

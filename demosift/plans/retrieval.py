@@ -25,7 +25,7 @@ PROMPT_MODES = ("standard", "dipmt_plus")
 class Index:
     def __init__(self, corpus: DataFrame, queries: DataFrame, backend: str = "bm25", vectors: DataFrame | None = None, asked: DataFrame | None = None, static: DataFrame | None = None, seed: int = 42, candidate_n: int = 40, ppr_steps: int = graph.STEPS, restart_prob: float = graph.RESTART, normalised: bool = False):
         if backend not in BACKENDS:
-            raise ValueError(f"Unknown retrieval backend: {backend}")
+            raise ValueError(f"no backend is called {backend}")
         self.corpus, self.queries, self.backend = corpus, queries, backend
         self._vectors, self._asked, self.static = vectors, asked, static
         self.seed, self.candidate_n, self.ppr_steps, self.restart_prob = seed, candidate_n, ppr_steps, restart_prob
@@ -39,16 +39,21 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return stored(bm25.postings(self.corpus), "postings")
+        """Of the queries' terms."""
+        return stored(bm25.postings(self.corpus, terms=bm25.terms_of(self.queries)), "postings")
+
+    @cached_property
+    def features(self) -> tuple[DataFrame, DataFrame]:
+        raw, known = graph.known_features(self.corpus, normalised=self.normalised)
+        return raw, stored(known, "known-features")
 
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        edges, idf = graph.build(self.corpus, normalised=self.normalised)
-        return stored(edges, "edges"), idf
+        return stored(graph.shares(*self.features), "edges"), self.features[1].select("feature", "df", "idf")
 
     @cached_property
     def asked_features(self) -> DataFrame:
-        return stored(graph.query_features(self.queries, self.graph[1], normalised=self.normalised), "query-features")
+        return stored(graph.query_features(self.queries, self.features[1].select("feature", "idf"), normalised=self.normalised), "query-features")
 
     @cached_property
     def dense_scores(self) -> DataFrame:
@@ -60,7 +65,7 @@ class Index:
 
     @cached_property
     def common_scores(self) -> DataFrame:
-        return stored(graph.common_scores(self.graph[0], self.asked_features), "common")
+        return stored(graph.common_scores(graph.weights(*self.features), self.asked_features), "common")
 
     @cached_property
     def ppr_scores(self) -> DataFrame:
@@ -68,10 +73,9 @@ class Index:
         return stored(graph.ppr_scores(self.graph[0], self.asked_features, self.ppr_steps, self.restart_prob), "ppr")
 
     def blended(self, name: str) -> DataFrame:
-        full = lambda s: rank.fill(s, self.queries, self.corpus)
-        parts = {"dense": lambda: full(self.dense_scores), "graph_ppr": lambda: full(self.ppr_scores), "graph_common": lambda: full(self.common_scores), "bm25": lambda: full(self.bm25_scores)}
+        parts = {"dense": lambda: self.dense_scores, "graph_ppr": lambda: self.ppr_scores, "graph_common": lambda: self.common_scores, "bm25": lambda: self.bm25_scores}
         weights = rank.BLENDS[name]
-        return rank.blend({n: parts[n]() for n in weights}, weights)
+        return rank.blend({n: parts[n]() for n in weights}, weights, self.corpus.count())
 
     def _completed(self, scores: DataFrame, k: int) -> DataFrame:
         return rank.top_k(rank.complete(scores, self.queries, self.corpus, k), k)
@@ -92,7 +96,7 @@ class Index:
         """``query_id, row_id, score, rank`` of any strategy; the score is null where nothing is scored."""
         strategy = strategy.strip().lower()
         if strategy not in STRATEGIES:
-            raise ValueError(f"Unknown strategy: {strategy}")
+            raise ValueError(f"no strategy is called {strategy}")
         none = F.lit(None).cast("double")
         if strategy == "zero":
             return self.queries.select("query_id").limit(0).crossJoin(self.corpus.select("row_id").limit(0)).select("query_id", "row_id", none.alias("score"), F.lit(0).alias("rank"))
@@ -107,7 +111,7 @@ class Index:
             drawn = sampling.random_rows(self.queries, self.corpus.count(), k, self.seed, position=position)
             return drawn.select("query_id", F.col("place").alias("row_id"), none.alias("score"), "rank")
         if strategy in GRAPH_STRATEGIES and self.backend != "graph":
-            raise ValueError(f"Graph strategies require the graph backend: {strategy}")
+            raise ValueError(f"{strategy} needs the backend graph")
         if strategy == "diversity":
             candidates = self.ranked("similarity", max(self.candidate_n, k) if self.backend == "bm25" else self.candidate_n)
             if self.backend == "dense":

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from demosift.functions import text as T
 
 FINGERPRINTED = ("source_text", "target_text", "target_lang", "type")
+#: Row ids of a range that is hashed at a time, as a power of two.
+TREE_BITS = 12
 OUTPUTS = {"predictions": "csv", "prompts": "jsonl", "requests": "jsonl", "retrieved_examples": "jsonl", "manifest": "json", "status": "json"}
 
 
@@ -68,15 +70,18 @@ def value_counts(df: DataFrame, columns: tuple[str, ...] = ("target_lang", "type
 def fingerprint(df: DataFrame, row_id: str = "row_id") -> str:
     """16 hex digits that change with any row, value or order.
 
-    Rows are hashed in the tasks; their digests, in order, are hashed on the driver as they arrive, so
-    neither side holds the table.  For the exact digest of small tables see ``plain_fingerprint``.
+    Rows are hashed, then digests of ranges of row ids, in order, then digests of ranges of ranges, and so
+    on up a tree; no task holds more than a range.  For the exact digest of small tables see
+    ``plain_fingerprint``.
     """
-    import hashlib
-
-    whole = hashlib.sha256(str(df.count()).encode())
-    for r in df.orderBy(row_id).select(F.sha2(_row_text().cast("binary"), 256).alias("h")).toLocalIterator():
-        whole.update(bytes.fromhex(r.h))
-    return whole.hexdigest()[:16]
+    level = df.select(F.col(row_id).cast("long").alias("at"), F.sha2(_row_text().cast("binary"), 256).alias("h"))
+    up = lambda x: x.groupBy(F.shiftright("at", TREE_BITS).alias("at")).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda s: F.concat_ws(":", s["at"].cast("string"), s["h"]))).cast("binary"), 256).alias("h"))
+    # the least and largest id tell how many levels there are
+    low, high = df.agg(F.min(row_id), F.max(row_id)).first()
+    while low is not None and low != high:
+        level, low, high = up(level), low >> TREE_BITS, high >> TREE_BITS
+    top = level.first()
+    return top.h[:16] if top else plain_fingerprint(df, row_id)
 
 
 def _row_text() -> F.Column:

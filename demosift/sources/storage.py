@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by the cluster; a local one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else f"file://{os.path.join(tempfile.gettempdir(), 'demosift-checkpoints')}"
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'demosift-checkpoints')}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from demosift.operators import normalize
 
 # fixed values: cells that count as missing, and the language columns of a wide dictionary
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 WIDE_TARGETS = {"en": "English (eng_Latn)", "kk": "Kazakh (kaz_Cyrl)", "ru": "Russian (rus_Cyrl)", "uz": "Uzbek (uzn_Latn)", "tr": "Turkish (tur_Latn)"}
+#: Row ids of a range that is numbered at a time, as a power of two.
+RANGE_BITS = 16
 WIDE_SOURCES = ("source_text", "Chagatai Latin (chg_Latn)")
 PREDICTION_COLUMNS = ("prediction", "reference", "target_lang", "strategy", "k", "model")
 
@@ -27,7 +28,7 @@ def split_path(folder: str, split: str) -> str:
     for path in tried:
         if os.path.exists(path):
             return path
-    raise FileNotFoundError(f"Could not find data file for split '{split}'. Tried: {', '.join(tried)}")
+    raise FileNotFoundError(f"no table for the split {split}: neither {' nor '.join(tried)} exists")
 
 
 def optional_path(path: str | None, folder: str | None = None) -> str | None:
@@ -54,8 +55,7 @@ def read_csv(spark: SparkSession, path: str, na_values: str = "pandas", numbered
     df = df.select(*[F.when(F.col(f"`{c}`").isin(*missing), None).otherwise(F.col(f"`{c}`")).alias(c) for c in names])
     if not numbered:
         return df
-    schema = S.StructType([S.StructField("row_id", S.LongType()), *df.schema.fields])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    return renumbered(df.select(F.monotonically_increasing_id().alias("row_id"), *names))
 
 
 def read_corpus(spark: SparkSession, path: str, na_values: str = "pandas") -> DataFrame:
@@ -63,11 +63,18 @@ def read_corpus(spark: SparkSession, path: str, na_values: str = "pandas") -> Da
 
 
 def renumbered(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Dense row ids in the old order, as filters leave gaps; two passes, no global sort in one task."""
-    kept = df.orderBy(row_id)
-    schema = S.StructType([S.StructField(row_id, S.LongType()), *[f for f in kept.schema.fields if f.name != row_id]])
-    names = [f.name for f in schema.fields[1:]]
-    return df.sparkSession.createDataFrame(kept.select(*names).rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    """Dense row ids in the old order, as filters leave gaps.
+
+    Rows are counted by ranges of their id, the counts are summed up, and rows are numbered inside a range.
+    """
+    names = [c for c in df.columns if c != row_id]
+    ranged = df.withColumn("id_range", F.shiftright(F.col(row_id).cast("long"), RANGE_BITS))
+    before = Window.orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(F.col("id_range").alias("of_range")).agg(F.count("*").alias("n"))
+    counts = counts.select("of_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    found = ranged.join(counts, F.col("id_range") == F.col("of_range"))
+    place = F.row_number().over(Window.partitionBy("id_range").orderBy(row_id))
+    return found.select((F.col("offset") + place - 1).cast("long").alias(row_id), *[F.col(f"`{c}`") for c in names])
 
 
 def read_split(spark: SparkSession, folder: str, split: str, na_values: str = "pandas") -> DataFrame:
@@ -81,10 +88,10 @@ def as_dictionary(df: DataFrame, source_lang: str, target_lang: str) -> DataFram
         return normalize.clean(df)
     target = WIDE_TARGETS.get(target_lang)
     if target not in df.columns:
-        raise ValueError(f"Dictionary file is not in long schema and has no supported wide column for target_lang={target_lang}.")
+        raise ValueError(f"the dictionary names no column for {target_lang}, and it lacks columns of a corpus")
     source = next((c for c in WIDE_SOURCES if c in df.columns), None)
     if source is None:
-        raise ValueError("Wide dictionary file has no source text column.")
+        raise ValueError("the wide dictionary lacks a column of source words")
     ids = ["row_id"] if "row_id" in df.columns else []
     pairs = df.select(*ids, F.col(f"`{source}`").alias("source_text"), F.col(f"`{target}`").alias("target_text"), F.lit(source_lang).alias("source_lang"), F.lit(target_lang).alias("target_lang"), F.lit("word").alias("type"))
     return normalize.clean(pairs)
@@ -109,7 +116,7 @@ def read_static_examples(spark: SparkSession, path: str, target_lang: str, sourc
     df = normalize.clean(normalize.normalize_schema(read_csv(spark, path, na_values)))
     df = normalize.select_pairs(df, target_lang, only_sentences).where(F.col("source_lang") == source_lang)
     if df.isEmpty():
-        raise ValueError("Static examples file has no rows after filtering. Check source_lang, target_lang and only_sentences.")
+        raise ValueError(f"none of the fixed examples goes from {source_lang} to {target_lang}")
     return renumbered(df)
 
 
@@ -118,7 +125,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path, numbered=False)
     missing = [c for c in PREDICTION_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required column: {missing[0]}")
+        raise ValueError(f"predictions lack the column {missing[0]}")
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("prediction", "reference")}).withColumn("k", F.col("k").try_cast("double").cast("int"))
 
 

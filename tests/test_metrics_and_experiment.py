@@ -47,7 +47,7 @@ def test_evaluation(spark):
     assert same.BLEU == pytest.approx(100) and same.chrF == pytest.approx(100)
     assert (empty.BLEU, empty.chrF, empty.BERTScore, empty.empty_prediction_count, empty.empty_reference_count, empty.n) == (0.0, 0.0, None, 1, 1, 1)
     assert 0 < got["s", 1].chrF < 100
-    with pytest.raises(ValueError, match="Missing required column: k"):
+    with pytest.raises(ValueError, match="lack(s)? the column k"):
         metrics.evaluate(spark.createDataFrame(ROWS, SCHEMA).drop("k"))
 
 
@@ -88,10 +88,13 @@ class Echo:
 
 
 def test_validation():
-    for bad in ({"strategies": ["x"]}, {"strategies": []}, {"k_list": [0]}, {"strategies": ["graph_ppr"]}, {"retrieval_backend": "graph"}, {"strategies": ["static"]}, {"enable_bli": True}, {"max_tokens_cap": 1}, {"sample_fraction": 1.5}, {"k_list": [-1]}, {"max_tokens": 0}, {"prompt_mode": "x"}):
+    for bad in ({"strategies": ["x"]}, {"strategies": []}, {"k_list": [0]}, {"strategies": ["graph_ppr"]}, {"retrieval_backend": "graph"}, {"strategies": ["static"]}, {"enable_bli": True}, {"max_tokens_cap": 1}, {"sample_fraction": 1.5}, {"k_list": [-1]}, {"max_tokens": 0}, {"prompt_mode": "x"}, {"sample_fraction": 0.0}, {"max_examples": 0}, {"bli_threshold": -0.1}, {"static_examples_path": "p"}, {"strategies": ["graph_ppr", "similarity"], "retrieval_backend": "graph"}):
         with pytest.raises(ValueError):
             experiment.Settings(**bad).validate()
     experiment.Settings(strategies=["zero"], k_list=[0]).validate()
+    experiment.Settings(strategies=["graph_ppr", "random", "zero"], retrieval_backend="graph", sample_fraction=1.0).validate()
+    with pytest.raises(ValueError, match="max_tokens.*strategies"):  # all that is wrong at once
+        experiment.Settings(strategies=["x"], max_tokens=0).validate()
 
 
 @pytest.mark.parametrize("mode", ["standard", "dipmt_plus"])

@@ -68,9 +68,9 @@ def test_graph_strategies(spark, train, asked):
     assert ranked(index.retrieve("graph_common", 3)) == [(0, 0.130130), (1, 0.128238), (2, 0.0)]
     assert ranked(index.retrieve("graph_ppr", 3)) == [(1, 0.504490), (0, 0.495510), (2, 0.0)]
     assert [r.type for r in index.examples("graph_common", 2).collect()] == ["phrase", "phrase"]
-    with pytest.raises(ValueError, match="Unknown strategy"):
+    with pytest.raises(ValueError, match="no strategy"):
         index.retrieve("nope", 1)
-    with pytest.raises(ValueError, match="graph backend"):
+    with pytest.raises(ValueError, match="backend graph"):
         Index(train, asked, "bm25").retrieve("graph_ppr", 1)
 
 
