@@ -32,7 +32,8 @@ def postings(corpus: DataFrame, text: str = "source_text", row_id: str = "row_id
     df = stored(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
     found = tokens.select("row_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     if terms is not None:
-        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+        # stored, so that the planner knows how small they are
+        found = found.join(stored(terms.select("term").distinct(), "asked-terms"), "term", "left_semi")
     found = found.groupBy("row_id", "length", "term").agg(F.count("*").alias("tf"))
     idf = df.crossJoin(F.broadcast(sizes))
     idf = idf.select("term", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -50,5 +51,6 @@ def scores(index: DataFrame, queries: DataFrame, text: str = "text") -> DataFram
 
 def similarity(corpus: DataFrame, queries: DataFrame, k: int = 8, text: str = "source_text") -> DataFrame:
     """The best ``k`` rows of each query, rows that share no term included with score zero."""
-    found = scores(postings(corpus, text, terms=terms_of(queries)), queries)
+    # ranked and completed from one table
+    found = stored(scores(postings(corpus, text, terms=terms_of(queries)), queries), "bm25-scores")
     return rank.top_k(rank.complete(found, queries, corpus, k), k)

@@ -57,11 +57,11 @@ class Index:
 
     @cached_property
     def dense_scores(self) -> DataFrame:
-        return dense.scores(self.vectors, self._asked)
+        return stored(dense.scores(self.vectors, self._asked), "dense-scores")
 
     @cached_property
     def bm25_scores(self) -> DataFrame:
-        return bm25.scores(self.postings, self.queries)
+        return stored(bm25.scores(self.postings, self.queries), "bm25-scores")
 
     @cached_property
     def common_scores(self) -> DataFrame:
