@@ -4,9 +4,10 @@ A document's windows of ``WINDOW`` words are gathered into segments: runs of win
 smallest hashed gram (their key).  Equal windows have equal keys, so all occurrences of a window meet in
 the shard of its key, whatever the number of shards.  Segments whose key occurs once in the corpus
 hold no repeated window and are dropped after counting keys; equal segments are collapsed to one row with
-the first place they occur at.  A shard indexes its distinct segments and follows each of their windows by
-backward search to the begin of its interval; the suffix array names the earliest place in the interval.
-A window is repeated if that is not its own place.
+the first place they occur at.  A shard indexes its distinct segments and streams them through the index:
+backward search over the wavelet matrix gives matching statistics, the occurrences of matches as long as a
+window are located from sampled places, and a window whose earliest occurrence is not its own is
+repeated.  Intervals are reported from the statistics of these.
 
 A key with very many distinct segments (a line in a third of all texts, each time between other words)
 is cut into single windows, whose keys are hashes of the whole window, before it is dealt to shards.
@@ -19,44 +20,70 @@ documents shorter than a window lose nothing; other columns are ignored; an empt
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .fm_index import FMIndex
+from .fm_index import FMIndex, intervals
 
 WINDOW, GRAM = 20, 8
 #: Windows of a segment, distinct segments of a key, words of a shard, at most or so.
 LONGEST, HOT, SHARD = 64, 2000, 150_000
-CACHED = 500_000
+#: Bytes of text whose words are hashed at a time; intervals that are located at a time.
+SLICE, LOCATED = 1 << 20, 1 << 16
+#: Of so many documents one is looked at for keys that very many share; such keys are no more than that.
+SAMPLED, MOST_HOT = 64, 50_000
 _ODD = np.random.default_rng(5).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Words(dict):
-    """Word to 64-bit hash; bounded."""
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: Powers of an odd number and of its inverse, as long as any slice of texts so far.
+_BASE, _powers = 0x9E3779B97F4A7C15, [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        out = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = out
-        return out
 
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
 
-_words = Words()
 
+def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of texts that lie one behind the other, and how many come before each text.
 
-def _grams(words: list[bytes], gram: int) -> np.ndarray:
-    """A mixed rolling hash of every gram."""
-    n = len(words)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    m = n - gram + 1
+    A word's polynomial is the difference of two prefix sums over bytes, moved to the power zero.
+    """
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    letter, cut = ~_SPACES[flat], np.zeros(len(flat) + 1, bool)
+    cut[offsets] = True
+    begins = np.flatnonzero(letter & np.concatenate([[True], ~letter[:-1]]) | letter & cut[:-1])
+    ends = np.flatnonzero(letter & np.concatenate([~letter[1:], [True]]) | letter & cut[1:]) + 1
+    up, down = _power_tables(len(flat))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
+        h = (sums[ends] - sums[begins]) * down[begins]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h, np.searchsorted(begins, offsets)
+
+
+def _grams(h: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed rolling hash of every gram of words."""
+    m = len(h) - gram + 1
     g = h[:m] * _ODD[0]
     for j in range(1, gram):
         g += h[j : j + m] * _ODD[j]
@@ -66,24 +93,24 @@ def _grams(words: list[bytes], gram: int) -> np.ndarray:
     return g
 
 
-def keys_of(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a document, and how often the gram of each occurs in it.
+def keys_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a document, and how often the gram of each occurs in it, from its words' hashes.
 
     A gram can occur twice in one segment, where a text repeats itself, so grams are counted, not segments.
     """
-    if len(words) < window:
+    if len(h) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = _grams(words, gram)
-    keys = np.unique(_cut(g, len(words), window, gram)[0])
+    g = _grams(h, gram)
+    keys = np.unique(_cut(g, len(h), window, gram)[0])
     g.sort()
     return keys, np.searchsorted(g, keys, side="right") - np.searchsorted(g, keys)
 
 
-def segments(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, first words and numbers of windows of a document's segments."""
-    if len(words) < window:
+    if len(h) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _cut(_grams(words, gram), len(words), window, gram)
+    return _cut(_grams(h, gram), len(h), window, gram)
 
 
 def _cut(g: np.ndarray, n: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +130,18 @@ def _cut(g: np.ndarray, n: int, window: int, gram: int) -> tuple[np.ndarray, np.
     return keys[starts], starts, counts
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ``SLICE`` bytes of text (column 1), their words' hashes and where each text's begin."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows]), SLICE, side="right")))
+        part = batch.slice(at, n)
+        flat = np.frombuffer(b"".join([x.as_py() or b"" for x in part.column(1)]), np.uint8)
+        yield part, *word_hashes(flat, np.concatenate([[0], np.cumsum(sizes[at : at + n])]))
+        at += n
+
+
 def _digest(content: bytes) -> tuple[int, int]:
     a = xxhash.xxh3_128_intdigest(content)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
@@ -114,23 +153,34 @@ def _signed(x: int) -> int:
 
 
 def _keyed(rows: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """``key, id, n``: how often each key occurs in a document."""
+    """``key, id, g, n``: how often each key occurs in a document; ``g`` is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                keys, counts, at = [], [], []
-                for i, x in enumerate(part.column(1)):
-                    k, c = keys_of((x.as_py() or b"").split(), window, gram)
-                    keys.append(k)
-                    counts.append(c)
-                    at.append(np.full(len(k), i))
-                if at:
-                    ids = part.column(0).take(pa.array(np.concatenate(at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids, pa.array(np.concatenate(counts).astype(np.int32))], ["key", "id", "n"])
+            for part, h, begins in _slices(batch, 1024):
+                found = [keys_of(h[a:b], window, gram) for a, b in itertools.pairwise(begins.tolist())]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
+                keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0).take(at), part.column(2).take(at), pa.array(counts.astype(np.int32))], ["key", "id", "g", "n"])
 
-    return rows.mapInArrow(run, f"key long, id {kind}, n int")
+    return rows.select("id", "text", "g").mapInArrow(run, f"key long, id {kind}, g long, n int")
+
+
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """``key, id, g`` of keys that occur twice at least.
+
+    Keys that many documents have would gather in one task each.  They show in a sample of documents by hash:
+    what occurs there several times is shared for certain and goes without a shuffle, all else is counted.
+    """
+    sample = keys.where(F.pmod(F.xxhash64("id", "g"), F.lit(SAMPLED)) == 0)
+    size = sample.count()
+    # so many keys can reach the bar, and no more
+    bar = max(16, -(-size // MOST_HOT))
+    hot = F.broadcast(stored(sample.groupBy("key").count().where(F.col("count") >= bar).select("key"), "hot-keys"))
+    rest = keys.join(hot, "key", "left_anti")
+    shared = rest.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
+    found = rest.join(shared, "key", "left_semi").select("key", "id", "g")
+    return found.unionByName(keys.join(hot, "key", "left_semi").select("key", "id", "g"))
 
 
 _SEGMENT = (("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))
@@ -144,16 +194,15 @@ def _recut(rows: DataFrame, kind: str, window: int, gram: int, texts: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part, h, begins in _slices(batch, 256):
                 out: list[list] = [[], [], [], [], []]
                 told: list[list] = [[] for _ in _SEGMENT]
                 stops = [0]
-                for text, shared in zip(part.column(1), part.column(2), strict=True):
+                for text, shared, first, last in zip(part.column(1), part.column(2), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                     words = (text.as_py() or b"").split()
                     body = b" ".join(words)
                     if shared.is_valid:
-                        keys, starts, counts = segments(words, window, gram)
+                        keys, starts, counts = segments(h[first:last], window, gram)
                         keys = keys.view(np.int64)
                         found = np.flatnonzero(np.isin(keys, shared.values.to_numpy()))
                         # where each word begins in the body, to take segments out of it
@@ -215,32 +264,35 @@ def _contents(docs: DataFrame, window: int) -> DataFrame:
 def repeated(contents: list[bytes], places: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each distinct segment, word intervals covered by windows that occur earlier in another place.
 
-    ``places`` orders the first words: the place of a segment's word is its own plus the word's number.
+    All segments are indexed, and then streamed through the index: matching statistics give every word's longest
+    match, up to a window, and the interval of its occurrences.  Occurrences of whole windows are located, and
+    a window whose earliest one is not its own is repeated.  ``places`` orders the first words: the place of a
+    segment's word is its own plus the word's number.
     """
     sequences = [c.split(b" ") for c in contents]
     index = FMIndex(sequences, window)
-    lengths, lo = index.own_windows()
-    sizes = index.sizes
-    segment = np.repeat(np.arange(len(sizes)), sizes)
-    own = places[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at_text = np.full(index.total, np.iinfo(np.int64).max)
-    at_text[np.arange(len(segment)) + segment] = own
-    begins, _ = index.groups(window)
-    starts = np.unique(begins)
-    earliest = np.minimum.reduceat(at_text[index.suffixes], starts)
-    full = lengths == window
-    late = np.zeros(len(segment), bool)
-    late[full] = earliest[np.searchsorted(starts, lo[full])] < own[full]
-    out: list[list[tuple[int, int]]] = [[] for _ in contents]
+    lengths, lo, hi = index.statistics(sequences)
+    sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
     base = np.cumsum(sizes) - sizes
-    for i in np.flatnonzero(late).tolist():
-        s = int(segment[i])
-        j = i - int(base[s])
-        if out[s] and j <= out[s][-1][1]:
-            out[s][-1] = out[s][-1][0], j + window
-        else:
-            out[s].append((j, j + window))
-    return out
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    own = places[segment] + np.arange(len(segment)) - base[segment]
+    several = np.flatnonzero((lengths >= window) & (hi - lo > 1))
+    if len(several):
+        begins, which = np.unique(lo[several], return_inverse=True)
+        counts = np.zeros(len(begins), np.int64)
+        counts[which] = (hi - lo)[several]
+        first = np.cumsum(counts) - counts
+        at_text = np.full(index.total, np.iinfo(np.int64).max)
+        at_text[np.arange(len(segment)) + segment] = own
+        earliest = np.full(len(begins), np.iinfo(np.int64).max)
+        for a in range(0, len(begins), LOCATED):
+            part = slice(a, a + LOCATED)
+            rows = np.repeat(begins[part] - (first[part] - first[a]), counts[part]) + np.arange(counts[part].sum())
+            earliest[part] = np.minimum.reduceat(at_text[index.locate(rows)], first[part] - first[a])
+        alone = earliest[which] == own[several]
+        lengths[several[alone]] = 0
+    lengths[(lengths >= window) & (hi - lo == 1)] = 0
+    return [intervals(lengths[a : a + n], window) for a, n in zip(base.tolist(), sizes.tolist(), strict=True)]
 
 
 def _search(rows: DataFrame, window: int) -> DataFrame:
@@ -284,10 +336,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").cast("binary").alias("text"))
+    rows = rows.withColumn("g", F.xxhash64("text"))
     keys = stored(_keyed(rows, kind, window, gram), "keys")
-    shared = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
-    of = keys.join(shared, "key", "left_semi").groupBy(F.col("id").alias("of")).agg(F.collect_list("key").alias("keys"))
-    marked = rows.join(of, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "keys")
+    # one list holds the keys of one text, however many rows repeat it or have no id
+    of = _shared_keys(keys).groupBy(F.col("id").alias("of"), F.col("g").alias("of_g")).agg(F.collect_set("key").alias("keys"))
+    marked = rows.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("g") == F.col("of_g")), "left").select("id", "text", "keys")
     docs = stored(_recut(marked, kind, window, gram, texts), "recut")
 
     place = ["key", "h1", "h2"]

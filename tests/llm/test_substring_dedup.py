@@ -101,14 +101,39 @@ def test_matching_statistics():
                 at += 1
 
 
-def test_own_windows_follow_the_statistics():
+def test_located_occurrences():
     rng = random.Random(6)
     texts = [[bytes([rng.choice(b"abc")]) for _ in range(rng.randrange(1, 40))] for _ in range(25)]
     for window in (1, 2, 5, 20):
         index = FMIndex(texts, window)
-        lengths, lo, _ = index.statistics(texts)
-        own, begins = index.own_windows()
-        assert own.tolist() == lengths.tolist() and begins.tolist() == lo.tolist()
+        lengths, lo, hi = index.statistics(texts)
+        at = 0
+        for t in texts:
+            for i in range(len(t)):
+                n = min(window, len(t) - i)
+                assert lengths[at] == n
+                found = set(index.locate(np.arange(lo[at], hi[at])).tolist())
+                want = {int(index.starts[k]) + j for k, u in enumerate(texts) for j in range(len(u) - n + 1) if u[j : j + n] == t[i : i + n]}
+                assert found == want
+                at += 1
+
+
+def test_word_hashes_follow_words():
+    texts = [b" a  bb a", b"", b"bb", b"\x0b a\tbb\r\n", b"abb", "é è".encode()]
+    h, begins = substring_dedup.word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    words = [w for t in texts for w in t.split()]
+    assert np.diff(begins).tolist() == [len(t.split()) for t in texts]
+    of = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(of.values())) == len(set(words))
+
+
+def test_keys_that_very_many_share(spark, documents, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, f"x{i} {text} y{i}") for i in range(80)] + [(None, text)] * 30
+    want = sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.substring_dedup(documents(docs)).collect())
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 2)
+    assert sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.substring_dedup(documents(docs)).collect()) == want
+    assert [n for _, n in want].count(30) == 80
 
 
 def test_intervals():
