@@ -347,7 +347,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = docs.where("body IS NOT NULL")
     found = told.select("id", "h", F.explode("segments").alias("s")).select("id", "h", "s.*")
     # only keys that occur that often can have so many distinct segments
-    often = found.groupBy("key").count().where(F.col("count") > hot).select("key")
+    # stored, so that the planner sees how few they are and need not deal all segments by key
+    often = stored(found.groupBy("key").count().where(F.col("count") > hot).select("key"), "often-keys")
     wide = found.select(*place).join(often, "key", "left_semi").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
     wide = stored(wide, "wide-keys")
     whole = _contents(told, window)
