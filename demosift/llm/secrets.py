@@ -9,7 +9,8 @@ order of position (running maxima of ends, running minima of starts from the oth
 pairs are made and a document with many parts costs a sort.
 
 Matches are found with the engine's regular expressions; positions follow from the lengths of the texts
-between them, summed in a window.  Rows meet only by document.
+between them, summed in a window.  Rows meet only by document, which goes by its place in the input: reading
+that must give the same rows in the same order again, as stored tables do.
 
 Defined results: a null text is empty; empty and spanless texts give zero counts and empty strings;
 repeated rows give repeated results; spans that touch or overlap are all reported; other columns are
@@ -49,9 +50,10 @@ def _found(text: Column, pattern: str, kind: int, when: Column, value: int | Non
 
 def _linked(df: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
     """``row`` (the carried struct) and the sorted ``spans`` of every row of ``df``."""
-    rows = df.select(carried.alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    # a number for every row, so that rows that repeat, or have no id, never meet
+    rows = df.select(carried.alias("row"), F.monotonically_increasing_id().alias("number"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     text = F.col("body")
-    rows = rows.select("row", "id", F.xxhash64(text).alias("h1"), F.crc32(text.cast("binary")).alias("h2"), "body", text.rlike(ASSIGN).alias("a"), text.contains("AKIA").alias("k"), text.rlike(HEX).alias("x"))
+    rows = rows.select("row", "number", "body", text.rlike(ASSIGN).alias("a"), text.contains("AKIA").alias("k"), text.rlike(HEX).alias("x"))
     linkable = (F.col("a") | F.col("x") | text.rlike(TOKEN)) & (F.col("k") | text.rlike(IDENT))
     rows = rows.withColumn("linkable", linkable)
     parts = F.concat(
@@ -63,11 +65,10 @@ def _linked(df: DataFrame, id_col: str, text_col: str, carried: Column) -> DataF
         _found(text, ENDPOINT, 5, F.col("linkable")),
     )
     own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("n"), F.lit(True).alias("holds")))
-    rows = rows.select("row", "id", "h1", "h2", F.explode(F.concat(own, parts)).alias("p"))
-    rows = rows.select(F.when(F.col("p.kind") < 0, F.col("row")).alias("row"), "id", "h1", "h2", "p.*")
-    key = ["id", "h1", "h2"]
+    rows = rows.select("row", "number", F.explode(F.concat(own, parts)).alias("p"))
+    rows = rows.select(F.when(F.col("p.kind") < 0, F.col("row")).alias("row"), "number", "p.*")
+    key = ["number"]
     rows = rows.repartition(partitions(df.sparkSession), *key)
-    rows = rows.groupBy(*key, "kind", "i", "gap", "n", "holds").agg(F.collect_list("row").alias("rows"))
     in_kind = Window.partitionBy(*key, "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(in_kind.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("start", F.col("end") - F.col("n"))
@@ -87,11 +88,10 @@ def _linked(df: DataFrame, id_col: str, text_col: str, carried: Column) -> DataF
         .when(F.col("kind") == 5, near("ident") & near("secret"))
         .otherwise(F.lit(False))
     )
-    rows = rows.select(*key, "rows", "kind", "start", "end", (strong | weak).alias("told"))
+    rows = rows.select(*key, "row", "kind", "start", "end", (strong | weak).alias("told"))
     rows = rows.withColumn("before", F.coalesce(F.max(F.when(F.col("told"), F.col("end"))).over(onward), F.lit(0)))
     span = F.when(F.col("told"), F.struct("start", "kind", "end", "before"))
-    found = rows.groupBy(*key).agg(F.flatten(F.collect_list("rows")).alias("rows"), F.sort_array(F.collect_list(span)).alias("spans"))
-    return found.select(F.explode("rows").alias("row"), "spans")
+    return rows.groupBy(*key).agg(F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
