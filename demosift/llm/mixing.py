@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-WEIGHTS, SHARE, CAP, BINS = (3, 1, 2), 1.5, 2, 4096
-#: Sources are collected to share out targets; beyond this number the mix refuses.
-MOST_SOURCES = 100_000
+#: BINS: of a key, for each factor of e; no bin holds more than 0.04 % of a source's documents.
+WEIGHTS, SHARE, CAP, BINS = (3, 1, 2), 1.5, 2, 1024
 JUNK = r"[0-9#$%&*|!<>{}=_~^@/]"
 
 
@@ -36,47 +35,48 @@ def key(doc_id: str = "doc_id", weight: str = "weight", seed: int = 1) -> Column
     return -F.log((draw + 0.5) / 2.0**52) / F.col(weight)
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> dict[str | None, float]:
-    """Words each source should give: weights repeat over the sources in code-point order, null last."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    of = [(name, size, weights[i % len(weights)]) for i, (name, size) in enumerate(order)]
-    total = share * sum(size for _, size in sizes)
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """``source, source_size, target`` of ``source, source_size``.
+
+    Weights repeat over the sources in code-point order, null last.  Sources in order of size for weight: as long as
+    one's cap lies below its share of what is left, it gives its cap; the rest share by weight.  One row
+    stands for a source, so the windows over all of them are small.
+    """
     if cap < share:
         raise ValueError("sources cannot give that many words")
-    out: dict[str | None, float] = {}
-    left, weight = total, sum(w for *_, w in of)
-    for name, size, w in sorted(of, key=lambda x: x[1] / x[2]):
-        if cap * size * weight <= left * w:
-            out[name] = float(cap * size)
-            left -= cap * size
-            weight -= w
-        else:
-            out[name] = left / weight * w
-    return out
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_col: str | None = None) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    of = sizes.withColumn("w", F.get(F.array(*map(F.lit, weights)), place % len(weights)).cast("double"))
+    all_, order = Window.partitionBy(), Window.orderBy(F.col("source_size") / F.col("w"), F.asc_nulls_last("source"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.sum("source_size").over(all_) * F.lit(float(share)) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    left = F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    of = of.select("source", "source_size", "w", rest.alias("rest"), left.alias("left"))
+    open_ = cap * F.col("source_size") * F.col("left") > F.col("rest") * F.col("w")
+    of = of.withColumn("level", F.max(F.when(open_, F.col("rest") / F.col("left"))).over(all_))
+    capped = F.col("level").isNull() | (cap * F.col("source_size") <= F.col("level") * F.col("w"))
+    return of.select("source", "source_size", F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, row_col: str | None = None, weight_col: str | None = None) -> DataFrame:
     """``id, size, source_size, target, taken, copies``: what the mix takes of every row.
 
     ``taken`` counts words, repeats included, the last document of a budget in part; ``copies`` counts
     whole documents, where that last one is taken if half of it is.  A column that numbers the rows is
     passed through, so that repeated and null ids can be told apart, and orders rows that are else alike.
+    ``weight_col``: a document's weight, such as a classifier's score, in place of ``quality_weight``; null and
+    NaN weigh one, and none weighs less than a thousandth.
     """
-    spark = df.sparkSession
     number = [] if row_col is None else ["row_number"]
-    base = df.select(*[df[row_col].alias(c) for c in number], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"))
-    base = base.select(*number, "id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), quality_weight().alias("weight"))
-    base = base.withColumn("key", key("id", "weight", seed)).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int"))
+    base = df.select(*[df[row_col].alias(c) for c in number], df[id_col].alias("id"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"), *[df[c].cast("double").alias("given") for c in [weight_col] if c])
+    weight = quality_weight() if weight_col is None else F.greatest(F.lit(0.001), F.coalesce(F.when(~F.isnan("given"), F.col("given")), F.lit(1.0)))
+    base = base.select(*number, "id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), weight.alias("weight"))
+    # bins of the key's logarithm: a weight only moves them, so they are as even for any weights
+    place = F.floor(F.log(F.greatest(F.col("key"), F.lit(1e-300))) * BINS).cast("int")
+    base = base.withColumn("key", key("id", "weight", seed)).withColumn("bin", place)
     base = stored(base.drop("weight"), "mix")
-    sizes = [(r[0], r[1]) for r in base.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()]
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = targets(sizes)
-    rows = []
-    for name, size in sizes:
-        epochs = int(goal[name] // size) if size else 0
-        rows.append((name, size, goal[name], epochs, int(goal[name]) - epochs * size))
-    plan = spark.createDataFrame(rows, "source string, source_size long, target double, epochs long, budget long")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(sizes).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("budget", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
     bins = base.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("offset", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))

@@ -5,9 +5,9 @@ versioned map assigns slots to shards so that bytes come out near equal.  Rebala
 as few slots as possible move, and no row is hashed again.  All row work is DataFrame expressions; only
 the slot table, whose size is fixed, reaches the driver.
 
-Defined results: a null text has no bytes (size 8, checksum 0); null ids hash like the empty string;
-repeated rows share a virtual slot and get places of their own; other columns are ignored; an empty
-table gives an empty one.
+Defined results: a null text has no bytes (size 8, checksum 0); rows without id are dealt by their place in the
+input, so that any number of them is spread; repeated rows share a virtual slot and get places of their own; other
+columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 
 SLOTS, PER_ROW = 4096, 8
 #: Rows of a slot are numbered inside cells of this many rows or so.
@@ -26,7 +26,8 @@ MOST_CELLS = 64
 
 
 def slot_of(id_col: str = "id", crc: str = "text_crc32", slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(crc)), F.lit(slots)).cast("int")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+    return F.pmod(F.xxhash64(name, F.col(crc)), F.lit(slots)).cast("int")
 
 
 def balanced(slot_bytes: list[int], shards: int) -> list[int]:
@@ -82,7 +83,22 @@ def _ints(values: list[int]) -> Column:
 def store_map(spark: SparkSession, path: str, version: int, shards: list[int], slot_bytes: list[int]) -> None:
     """Adds one version of the slot map to the table at ``path``."""
     found = spark.range(0, len(shards), 1, 1).select(F.lit(version).alias("version"), F.col("id").cast("int").alias("virtual_slot"), F.get(_ints(shards), F.col("id").cast("int")).cast("int").alias("shard"), F.get(_ints(slot_bytes), F.col("id").cast("int")).alias("bytes"))
-    found.drop("version").write.mode("overwrite").parquet(f"{path}/version={version}")
+    found.drop("version").write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def known_map(spark: SparkSession, path: str, slots: int) -> tuple[int, list[int]]:
+    """Number and shards of the latest version of a stored map; version 0 and no shards if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = load_map(spark, path).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, []
+    if len(rows) != slots:
+        raise ValueError(f"the stored map has {len(rows)} slots, not {slots}")
+    return rows[0].version, [r.shard for r in sorted(rows, key=lambda r: r.virtual_slot)]
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -102,15 +118,22 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots:
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """``id, size, text_crc32, virtual_slot, shard, place``: the place counts from 0 inside a shard.
 
-    The map is stored at ``map_path`` (by default below the shared folder) and read from there.
+    The map at ``map_path`` (by default a new one below the shared folder) is edited: its latest version, or else
+    one that deals out slots in turn, is rebalanced for the bytes found, and the edit is stored as the next
+    version, which rows are placed by.  No version is ever written twice.
     """
     spark = df.sparkSession
-    rows = sized(df, id_col, text_col, slots)
+    # stored: what a row without id is dealt by must not change between passes
+    rows = stored(sized(df, id_col, text_col, slots), "sizes")
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
     sizes, counts = ([totals.get(s, (0, 0))[k] for s in range(slots)] for k in (0, 1))
     path = map_path or scratch(spark, "slot-map")
-    store_map(spark, path, 1, balanced(sizes, shards), sizes)
-    slot_map = load_map(spark, path, 1).select("virtual_slot", "shard")
+    version, old = known_map(spark, path, slots)
+    if not old:
+        version, old = 1, [slot % shards for slot in range(slots)]
+        store_map(spark, path, version, old, [0] * slots)
+    store_map(spark, path, version + 1, rebalanced(old, sizes, shards), sizes)
+    slot_map = load_map(spark, path, version + 1).select("virtual_slot", "shard")
     cells = min(MOST_CELLS, max(1, -(-max(counts) // CELL)))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("text_crc32", "id"), F.lit(cells)).cast("int"))
     # slots x cells rows at most, and so below any broadcast limit
