@@ -13,19 +13,23 @@ def word_hash(w):
     return xxhash.xxh64_intdigest(w.encode(), 42)
 
 
-def gram_hash(hs):
-    """Spark's hash of several longs: each is hashed with the last result as seed."""
-    seed = 42
-    for h in hs:
-        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
-    return signed(seed)
+def rotated(x, by):
+    return (x << by | x >> 64 - by) % 2**64
+
+
+def gram_hash(hs, k):
+    """Each word's hash, rotated by how many words of the gram follow."""
+    out = 0
+    for h in [*hs, *[0] * (k - len(hs))]:
+        out = rotated(out, 1) ^ h
+    return signed(out)
 
 
 def brute(text, k=winnowing.K, window=winnowing.WINDOW):
     hs = [word_hash(w.decode()) for w in (text or "").encode().split()]
     if not hs:
         return []
-    grams = [gram_hash(hs[i : i + k]) >> 30 for i in range(max(1, len(hs) - k + 1))]
+    grams = [gram_hash(hs[i : i + k], k) >> 30 for i in range(max(1, len(hs) - k + 1))]
     kept = []
     for i in range(max(1, len(grams) - window + 1)):
         part = grams[i : i + window]
@@ -70,6 +74,24 @@ def test_edge_cases(spark, documents):
     assert winnowing.edited_likeness(repeated).count() == 5
 
 
+def test_any_width_of_gram(spark, documents):
+    text = " ".join(f"w{i * i % 11}" for i in range(60))
+    for k in (1, 2, 3, 4, 6, 7, 9):
+        (row,) = winnowing.fingerprints(documents([text]), k=k).collect()
+        assert list(zip(row.hashes, row.positions, strict=True)) == brute(text, k)
+
+
+def test_ids_at_the_ends_of_the_range_and_missing_ones(spark, documents):
+    docs = {2**63 - 1: "a b c d e f g", -(2**63): "x y z", 0: "p q r s t u v w"}
+    got = {r.doc_id: tuple(r)[1:] for r in winnowing.edited_likeness(documents(list(docs.items()))).collect()}
+    assert got == expected(docs)
+    nameless = documents([*docs.items(), *[(None, f"word{i} " * (i % 9)) for i in range(300)]])
+    rows = winnowing.edited_likeness(nameless).collect()
+    assert len(rows) == 303 and sum(r.doc_id is None for r in rows) == 300
+    dealt, _ = winnowing.with_next(nameless.selectExpr("doc_id AS id", "text AS body"), "id")
+    assert dealt.where("id is null").groupBy("range").count().count() > 100
+
+
 def test_ranges_give_every_row_its_follower(spark):
     ids = [*range(0, 3000, 3), *range(10**9, 10**9 + 500)]
     dealt, order = winnowing.with_next(spark.createDataFrame([(i,) for i in ids], "id long"), "id", rows_per_range=50)
