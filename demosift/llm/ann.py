@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Rows of a block, queries of a block, standard deviations of the error bound, bits for each dimension.
-ROWS, QUERIES, BOUND, SPREAD, SEED = 4096, 1024, 4.0, 4, 11
+ROWS, QUERIES, BOUND, SPREAD, SEED = 4096, 8192, 4.0, 4, 11
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -95,18 +95,30 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` of rows that take part, components as doubles."""
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"))
+    """``id, v`` of rows that take part; components stay floats where they are, and are doubles else."""
+    single = df.schema[vector_col].dataType.elementType.simpleString() == "float"
+    rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<float>" if single else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``most`` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches([b for b in held if b.num_rows]).combine_chunks().to_batches()[0]
+
+
 def _pack(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """Blocks of up to ``most`` rows of one length: ``dim``, ids and vectors as bytes, and a running number."""
+    """Blocks of up to ``most`` rows of one length: ``dim``, ids and vectors as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
+        for batch in _gathered(batches, most):
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 ids, vectors = part.column(0).to_numpy(), part.column(1)
@@ -116,10 +128,9 @@ def _pack(rows: DataFrame, most: int, name: str) -> DataFrame:
                 for dim in np.unique(lengths):
                     own = np.flatnonzero(lengths == dim)
                     matrix = flat[(stops[own] - dim)[:, None] + np.arange(dim)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([number], pa.int64()), pa.array([ids[own].tobytes()]), pa.array([matrix.tobytes()])], ["dim", "number", "ids", "vectors"])
-                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([matrix.tobytes()])], ["dim", "ids", "vectors"])
 
-    return rows.select("id", "v").mapInArrow(run, "dim int, number long, ids binary, vectors binary").withColumnsRenamed({"ids": f"{name}_ids", "vectors": f"{name}_vectors"})
+    return rows.select("id", "v").mapInArrow(run, "dim int, ids binary, vectors binary").withColumnsRenamed({"ids": f"{name}_ids", "vectors": f"{name}_vectors"})
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -131,10 +142,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     rows = usable(df, id_col, vector_col).withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).select("id", "v").distinct()
     asked = usable(queries, id_col, vector_col).distinct()
     blocks = -(-asked.count() // QUERIES) or 1
-    row_blocks = _pack(rows.repartition(n, "id"), ROWS, "row").drop("number").withColumn("salt", F.spark_partition_id() % n)
+    # rows lie dealt by vector already; a block crosses once for each query block, and these are large
+    row_blocks = _pack(rows, ROWS, "row").withColumn("salt", F.spark_partition_id() % n)
     row_blocks = row_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = asked.repartition(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    query_blocks = _pack(dealt, QUERIES, "query").drop("number").withColumn("block", F.spark_partition_id() % blocks)
+    query_blocks = _pack(dealt, QUERIES, "query").withColumn("block", F.spark_partition_id() % blocks)
     query_blocks = query_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     # a task's hash table holds query blocks, which are of bounded size
     met = row_blocks.join(query_blocks.hint("shuffle_hash"), ["dim", "block", "salt"])
@@ -148,10 +160,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 if dim not in turns:
                     turns[dim] = rotation(dim)
                 turn = turns[dim]
-                ids, vectors = np.frombuffer(row_ids, np.int64), np.frombuffer(row_vectors).reshape(-1, dim)
+                unpacked = lambda raw, n, dim=dim: np.frombuffer(raw, np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(-1, dim).astype(np.float64)
+                ids, asked_ids = np.frombuffer(row_ids, np.int64), np.frombuffer(query_ids, np.int64)
+                vectors = unpacked(row_vectors, len(ids))
                 if last is None or last[0] != row_ids:
                     last = row_ids, ids, Codes(vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None], turn)
-                found = search_block(ids, vectors, np.frombuffer(query_ids, np.int64), np.frombuffer(query_vectors).reshape(-1, dim), k, turn, last[2])
+                found = search_block(ids, vectors, asked_ids, unpacked(query_vectors, len(asked_ids)), k, turn, last[2])
                 cols = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "id", "score"])
 
