@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     at = os.path.join(tempfile.gettempdir(), "demosift-checkpoints")
     return f"file://{at}"
 
@@ -44,5 +46,5 @@ def partitions(spark: SparkSession) -> int:
 
 
 def trained_on(doc_id: str = "doc_id") -> Column:
-    """Whether labels of a row may be learnt from; the other fifth is held out."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 != 0
+    """Whether labels of a row may be learnt from; the other fifth is held out, and rows without id are."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))

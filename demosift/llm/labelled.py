@@ -23,5 +23,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longe
         of |= {r.id: r.label for r in chosen.collect()}
     if not of:
         return []
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isin(list(of)) & (F.length("text") <= longest)).limit(4 * per_class)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isin(list(of)) & (F.length("text") <= longest))
+    # ids can repeat: the bound cuts in a fixed order
+    texts = texts.orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("text"), "text").limit(4 * per_class)
     return sorted((r.text, of[r.id]) for r in texts.collect())

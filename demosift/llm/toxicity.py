@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ PER_CLASS, LONGEST = 2000, 12_000
 #: A feature marks tokens if so many toxic documents have it, and so many times the share of clean ones.
 LEAST_DOCS, TIMES = 4, 6.0
 CACHED = 300_000
+#: Bytes and rows of texts that are scored together; one longer text goes alone.
+SLICE, ROWS = 4 << 20, 2048
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -233,14 +236,24 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         m = Model(*shared.value)
         cache = Emissions(m)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                yield _scored(batch.slice(at, 2048), m, cache, spans)
+            for part in _slices(batch, 1):
+                yield _scored(part, m, cache, spans)
 
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").cast("binary").alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
     return out.withColumnRenamed("id", id_col)
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Rows of few bytes of text (in that column), so that a lattice stays small however long texts are."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    begin = 0
+    while begin < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[begin : begin + ROWS]), SLICE, side="right")))
+        yield batch.slice(begin, n)
+        begin += n
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 _WORD = re.compile(WORD)
 
@@ -274,8 +287,7 @@ def drop_toxic(df: DataFrame, model: Model, threshold: float = 0.5, id_col: str
         m = Model(*shared.value)
         cache = Emissions(m)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
+            for part in _slices(batch, at):
                 texts = part.column(at).cast(pa.binary())
                 found = _scored(pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), m, cache, False)
                 yield part.filter(pa.array(found.column(1).to_numpy() < threshold))

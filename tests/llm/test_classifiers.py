@@ -90,3 +90,19 @@ def test_edge_cases(spark, documents, m):
     rows = m.score(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
     assert m.score(docs.limit(0), model).count() == 0
+
+
+def test_rows_without_id_are_held_out(spark, documents):
+    from demosift.llm.common import trained_on
+
+    df = documents([(None, "a"), (1, "b"), (2, "c")])
+    assert {r.doc_id: r.held for r in df.select("doc_id", (~trained_on()).alias("held")).collect()}[None] is True
+
+
+def test_texts_are_scored_in_slices_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["w " * n for n in (1, 50, 3000, 2, 2, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([t.encode() for t in texts])], ["id", "text"])
+    monkeypatch.setattr(toxicity, "SLICE", 110)
+    assert [p.num_rows for p in toxicity._slices(batch, 1)] == [2, 1, 3]
