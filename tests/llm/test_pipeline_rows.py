@@ -39,7 +39,8 @@ def test_mix_decides_for_each_row(spark, documents, sf_dir):
     alike = lambda of: sorted((str(i), s, t.count(" "), of[t]) for i, t, s in rows)
     assert alike(copies) == alike(want)
     sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
-    for source, target in mixing.targets(list(sizes.items())).items():
+    shares = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    for source, target in shares.select("source", "target").collect():
         assert abs(sum(len(t.split()) * copies[t] for _, t, s in rows if s == source) - target) <= 31
 
 
