@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trained_on
+from .common import stored, trained_on
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
@@ -26,4 +26,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longe
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isin(list(of)) & (F.length("text") <= longest))
     # ids can repeat: the bound cuts in a fixed order
     texts = texts.orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("text"), "text").limit(4 * per_class)
-    return sorted((r.text, of[r.id]) for r in texts.collect())
+    # cut on an executor: an ordered collect would take every task's share of the bound to the driver
+    return sorted((r.text, of[r.id]) for r in stored(texts, "sample").collect())
