@@ -48,14 +48,18 @@ def _found(text: Column, pattern: str, kind: int, when: Column, value: int | Non
     return F.when(when, F.transform(matches, one)).otherwise(none)
 
 
+def _signs(text: Column) -> dict[str, Column]:
+    """Whether a text (not null) has an assignment, the start of an access id, long hex, parts that may link up."""
+    a, k, x = text.rlike(ASSIGN), text.contains("AKIA"), text.rlike(HEX)
+    return {"a": a, "k": k, "x": x, "linkable": (a | x | text.rlike(TOKEN)) & (k | text.rlike(IDENT))}
+
+
 def _linked(df: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
     """``row`` (the carried struct) and the sorted ``spans`` of every row of ``df``."""
     # a number for every row, so that rows that repeat, or have no id, never meet
     rows = df.select(carried.alias("row"), F.monotonically_increasing_id().alias("number"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     text = F.col("body")
-    rows = rows.select("row", "number", "body", text.rlike(ASSIGN).alias("a"), text.contains("AKIA").alias("k"), text.rlike(HEX).alias("x"))
-    linkable = (F.col("a") | F.col("x") | text.rlike(TOKEN)) & (F.col("k") | text.rlike(IDENT))
-    rows = rows.withColumn("linkable", linkable)
+    rows = rows.select("row", "number", "body", *[c.alias(name) for name, c in _signs(text).items()])
     parts = F.concat(
         _found(text, ASSIGN, 0, F.col("a"), 2),
         _found(text, ACCESS, 1, F.col("k")),
@@ -108,10 +112,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with every run of reported spans replaced by a mark; null texts stay null."""
-    found = _linked(df, id_col, text_col, F.struct(*[F.col(c) for c in df.columns]))
+    """The rows of ``df`` with every run of reported spans replaced by a mark; null texts stay null.
+
+    Rows whose text has no sign of a part can hold no span: they pass as they are, and only the others move.
+    """
+    signs = _signs(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    some = signs["a"] | signs["k"] | signs["x"] | signs["linkable"]
+    found = _linked(df.where(some), id_col, text_col, F.struct(*[F.col(c) for c in df.columns]))
     body = F.col("row")[text_col]
     piece = lambda s: F.when(s["start"] >= s["before"], F.concat(F.substring(body, s["before"] + 1, s["start"] - s["before"]), F.lit(MARK))).otherwise(F.lit(""))
     last = F.greatest(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0))
     clean = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(body, last + 1, F.length(body)))).otherwise(body)
-    return found.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
+    changed = found.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
+    return changed.unionByName(df.where(~some))
