@@ -70,11 +70,18 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut[offsets] = True
     begins = np.flatnonzero(letter & np.concatenate([[True], ~letter[:-1]]) | letter & cut[:-1])
     ends = np.flatnonzero(letter & np.concatenate([~letter[1:], [True]]) | letter & cut[1:]) + 1
-    up, down = _power_tables(len(flat))
+    h, i = np.zeros(len(begins), np.uint64), 0
+    # so many words at a time that their bytes stay few, however long a text is
+    while i < len(begins):
+        a, j = begins[i], max(i + 1, int(np.searchsorted(ends, begins[i] + SLICE, side="right")))
+        part, at = flat[a : ends[j - 1]], begins[i:j] - a
+        up, down = _power_tables(len(part))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            h[i:j] = (sums[ends[i:j] - a] - sums[at]) * down[at]
+        i = j
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
-        h = (sums[ends] - sums[begins]) * down[begins]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
