@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, quality, secrets, sentencepiece_codec, sharding, simhash, substring_dedup, toxicity, winnowing
+from . import ann, mixing, quality, secrets, sentencepiece_codec, sessions, sharding, simhash, substring_dedup, toxicity, winnowing
 from .common import table, trained_on
 
 
@@ -65,6 +65,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_versions(sessions.conversation_events(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op13_sessions": op13_sessions,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op13_sessions": sessions.ORACLE_SQL}
