@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, quality, secrets, sentencepiece_codec, sessions, sharding, simhash, substring_dedup, toxicity, winnowing
+from . import ann, mixing, quality, secrets, sentencepiece_codec, sessions, sharding, simhash, substring_dedup, token_alignment, toxicity, winnowing
 from .common import table, trained_on
 
 
@@ -65,6 +65,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        vocabulary = f.read()
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, tokenizer_model())
+
+
 def op13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_versions(sessions.conversation_events(table(spark, sf_dir, "conversations")))
 
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op12_token_alignment": op12_token_alignment,
     "op13_sessions": op13_sessions,
 }
 

@@ -81,13 +81,14 @@ def _carried(rows: DataFrame, gap: int) -> DataFrame:
     each round doubles how far; a run of any length takes as many rounds as its length has bits.
     """
     own = stored(_chains(rows, gap), "session-chains")
-    before = own.select("user", (F.col("block") + 1).alias("block"), F.col("e").alias("before"))
+    # never sent out whole, however few they are
+    before = own.select("user", (F.col("block") + 1).alias("block"), F.col("e").alias("before")).hint("merge")
     joined = F.col("whole") & F.coalesce(F.col("first") - F.col("before") <= gap, F.lit(False))
     names = ["user", "block", "s", "e", "b", "n", "h", "to"]
     state = own.join(before, ["user", "block"], "left").withColumn("to", F.when(joined, F.col("block") - 1)).select(names)
     state = stored(state, "session-carry")
     while not (waiting := state.where("to IS NOT NULL")).isEmpty():
-        ends = state.select("user", F.col("block").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("s", "b", "n", "h", "to")])
+        ends = state.select("user", F.col("block").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("s", "b", "n", "h", "to")]).hint("merge")
         moved = waiting.join(ends, ["user", "to"]).select("user", "block", F.col("_s").alias("s"), "e", F.greatest("b", "_b").alias("b"), (F.col("n") + F.col("_n")).alias("n"), (F.col("h") + F.col("_h")).alias("h"), F.col("_to").alias("to"))
         state = stored(state.where("to IS NULL").unionByName(moved), "session-carry")
     return state.drop("to")
