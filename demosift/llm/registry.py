@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, quality, secrets, sentencepiece_codec, sessions, sharding, simhash, substring_dedup, token_alignment, toxicity, winnowing
+from . import ann, mixing, quality, secrets, sentencepiece_codec, sessions, sharding, simhash, substring_dedup, suffix_dedup, token_alignment, toxicity, winnowing
 from .common import table, trained_on
 
 
@@ -65,6 +65,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~trained_on()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), texts=False).drop("spans", "kept")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_sessions": op13_sessions,
 }
