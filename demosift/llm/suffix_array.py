@@ -43,6 +43,7 @@ class _Level:
         self.bucket[order] = np.cumsum(new) - 1
         symbols = text[order]
         self.steps = np.append(np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]])), n) if n else np.zeros(1, np.int64)
+        self.symbols = symbols[self.steps[:-1]]
 
     def _put(self, sa: np.ndarray, places: np.ndarray, at: np.ndarray, way: int) -> None:
         """Appends places to their buckets' ends, in order; ``at`` holds the next free place of each bucket."""
@@ -65,53 +66,75 @@ class _Level:
         wave = wave[~self.first[wave]] - 1
         return wave[self.small[wave] == small]
 
+    def _waves(self, sa: np.ndarray, wave: np.ndarray, symbol: int, small: bool, at: np.ndarray, way: int) -> None:
+        """Induces from entries of one symbol's buckets, and from what these induce into the same buckets."""
+        while len(wave):
+            wave = self._before(wave, small)
+            if len(wave):
+                self._put(sa, wave, at, way)
+                wave = wave[self.text[wave] == symbol]
+
     def induce(self, lms: np.ndarray) -> np.ndarray:
-        """All places in order, given LMS places in order."""
+        """All places in order, given LMS places in order.
+
+        A step takes the buckets of several symbols at once as long as none of them induces into another of these, which
+        makes a text of many rare symbols as quick as one of few.
+        """
         sa = np.full(self.n, -1, np.int32)
         tails = self.begins[1:] - 1
         self._put(sa, lms[::-1], tails, -1)
         heads = self.begins[:-1].copy()
-        for a, b in zip(self.steps[:-1].tolist(), self.steps[1:].tolist(), strict=True):
-            part = sa[a:b]
+        steps, symbols, last = self.steps, self.symbols, len(self.symbols)
+        i, width = 0, 1
+        while i < last:
+            j = min(i + width, last)
+            part = sa[steps[i] : steps[j]]
             part = part[part >= 0]
-            if not len(part):
-                continue
-            symbol = self.text[part[0]]
-            is_small = self.small[part]
-            # larger suffixes stand before the LMS ones of their bucket
-            wave = part[~is_small]
-            while len(wave):
-                wave = self._before(wave, False)
+            wave, grow = self._before(part, False), 2
+            if len(wave):
+                low = int(np.searchsorted(symbols, self.text[wave].min()))
+                if low == i:
+                    part = sa[steps[i] : steps[i + 1]]
+                    part = part[part >= 0]
+                    is_small = self.small[part]
+                    # larger suffixes stand before the LMS ones of their bucket
+                    self._waves(sa, part[~is_small], symbols[i], False, heads, 1)
+                    wave, j, grow = self._before(part[is_small], False), i + 1, 1
+                elif low < j:
+                    grow = 1
+                    part, j = sa[steps[i] : steps[low]], low
+                    wave = self._before(part[part >= 0], False)
                 if len(wave):
                     self._put(sa, wave, heads, 1)
-                    wave = wave[self.text[wave] == symbol]
-            wave = self._before(part[is_small], False)
-            if len(wave):
-                self._put(sa, wave, heads, 1)
+            i, width = j, grow * (j - i)
         # smaller ones are placed again, from the right; the end of a group stays
-        ends = sa[: self.steps[1]].copy()
+        ends = sa[: steps[1]].copy()
         found = sa >= 0
         found[found] = self.small[sa[found]]
         sa[found] = -1
-        sa[: self.steps[1]] = ends
+        sa[: steps[1]] = ends
         tails = self.begins[1:] - 1
-        for a, b in zip(self.steps[-2:0:-1].tolist(), self.steps[:1:-1].tolist(), strict=True):
-            part = sa[a:b]
+        i, width = last, 1
+        while i > 1:
+            j = max(i - width, 1)
+            part = sa[steps[j] : steps[i]]
             part = part[part >= 0][::-1]
-            if not len(part):
-                continue
-            symbol = self.text[part[0]]
-            is_small = self.small[part]
-            large = part[~is_small]
-            wave = part[is_small]
-            while len(wave):
-                wave = self._before(wave, True)
+            wave, grow = self._before(part, True), 2
+            if len(wave):
+                high = int(np.searchsorted(symbols, self.text[wave].max()))
+                if high == i - 1:
+                    part = sa[steps[i - 1] : steps[i]]
+                    part = part[part >= 0][::-1]
+                    is_small = self.small[part]
+                    self._waves(sa, part[is_small], symbols[i - 1], True, tails, -1)
+                    wave, j, grow = self._before(part[~is_small], True), i - 1, 1
+                elif high >= j:
+                    grow = 1
+                    part, j = sa[steps[high + 1] : steps[i]], high + 1
+                    wave = self._before(part[part >= 0][::-1], True)
                 if len(wave):
                     self._put(sa, wave, tails, -1)
-                    wave = wave[self.text[wave] == symbol]
-            wave = self._before(large, True)
-            if len(wave):
-                self._put(sa, wave, tails, -1)
+            i, width = j, grow * (i - j)
         return sa
 
     def named(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

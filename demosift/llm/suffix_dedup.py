@@ -32,7 +32,7 @@ from .suffix_array import equal_windows
 
 WINDOW, GRAM = 100, 32
 #: Windows of a segment, distinct segments of a key, bytes of a shard, at most or so.
-LONGEST, HOT, SHARD = 64, 256, 1_000_000
+LONGEST, HOT, SHARD = 64, 4000, 1_000_000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: Of so many documents one is looked at for keys that very many share; such keys are no more than that.
