@@ -6,8 +6,10 @@ that occur once in the corpus hold no repeated window; equal segments are collap
 they occur at.  A shard sorts the suffixes of its distinct segments, key by key, by induced sorting; permuted common
 prefixes of a window's length or more link the places of equal windows, and all but the earliest one are repeated.
 
-A key with very many distinct segments (a line in a third of all texts, each time between other words) is cut into
-single windows, whose keys are hashes of the whole window, before it is dealt to shards.
+A segment that is the only one of its key, and in which no gram of that key occurs twice, has no two equal windows to
+sort.  A key with very many distinct segments (a line in a third of all texts, each time between other words) has its
+segments cut into single windows, which are compared as wholes, by two 64-bit hashes: most of them occur once.
+Texts travel compressed.
 
 Defined results: a null text is empty; documents are ordered by id (null first), repeated ids by a hash of their
 text; rows equal in id and text are one document and do not remove each other's bytes; texts shorter than a window
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +158,33 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Record
             at += n
 
 
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """``id, g, r, text`` with every text compressed; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in _batches(batches, 3):
+            texts = pa.array([pack(x.as_buffer() if x.is_valid else b"") for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], ["id", "g", "r", "text"])
+
+    return rows.select("id", "g", "r", "text").mapInArrow(run, f"id {kind}, g long, r long, text binary")
+
+
+def _unpacked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows of about eight slices of text at most, or one row, with their texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    begin, held, size = 0, [], 0
+    for i, x in enumerate(batch.column(column)):
+        raw = unpack(x.as_buffer())
+        if held and size + len(raw) > 8 * SLICE:
+            yield batch.slice(begin, i - begin), pa.array(held, pa.binary())
+            begin, held, size = i, [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield batch.slice(begin), pa.array(held, pa.binary())
+
+
 def _keyed(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """``key, r, n``: how often each key's gram occurs in a document; ``r`` is a hash of its id and text."""
 
@@ -217,46 +247,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_SEGMENT = (("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()))
+_SEGMENT = (("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("content", pa.binary()))
 
 
 def _recut(rows: DataFrame, kind: str, window: int, gram: int, texts: bool) -> DataFrame:
     """Of documents with the keys that others share: bytes and digest, and if any key is shared, text and segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 2):
-            shared = batch.column(3)
-            told: list[list[np.ndarray]] = [[], [], [], [], []]
-            some = np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False))
-            for at, begins, flat, sizes in _pieces(batch.column(2).take(pa.array(some)), window):
-                cut = Slice(flat, sizes, window, gram)
-                own, keys, starts, counts = cut.segments()
-                row = some[np.array(at)[own]]
-                keys = keys.view(np.int64)
-                # a slice's own keys, with any of its documents that shares one, and then exactly
-                known = np.unique(np.concatenate([shared[i].values.to_numpy() for i in np.unique(row)])) if len(row) else keys[:0]
-                found = np.flatnonzero(np.isin(keys, known))
-                places = cut.begins[own[found]] + starts[found]
-                raw, digest = flat.tobytes(), xxhash.xxh3_64_intdigest
-                hashed = [_signed(digest(raw[a:b])) for a, b in zip(places.tolist(), (places + counts[found] + window - 1).tolist(), strict=True)]
-                for column, x in zip(told, (row[found], keys[found], starts[found] + np.array(begins)[own[found]], counts[found], np.array(hashed, np.int64)), strict=True):
-                    column.append(x)
-            row, *columns = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in told)
-            per_row = np.bincount(row.astype(np.int64), minlength=batch.num_rows)
-            offsets = pa.array(np.cumsum(np.append(0, per_row)), pa.int32())
-            segments = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _SEGMENT, strict=True)], [n for n, _ in _SEGMENT])
-            bodies = [x.as_py() or b"" for x in batch.column(2)]
-            any_found = (per_row > 0).tolist()
-            out = [
-                batch.column(0), batch.column(1),
-                pa.array(list(map(len, bodies)), pa.int64()),
-                pa.array([None if f else hashlib.sha256(b).hexdigest() for b, f in zip(bodies, any_found, strict=True)], pa.string()),
-                pa.array([b if f or texts else None for b, f in zip(bodies, any_found, strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(offsets, segments),
-            ]
-            yield pa.RecordBatch.from_arrays(out, ["id", "g", "n_bytes", "sha", "body", "segments"])
-
-    return rows.mapInArrow(run, f"id {kind}, g long, n_bytes long, sha string, body binary, segments array<struct<key:long,at:int,n:int,h:long>>")
+        for whole in batches:
+            for batch, raws in _unpacked(whole, 2):
+                shared = batch.column(3)
+                told: list[list] = [[], [], [], [], [], []]
+                some = np.flatnonzero(shared.is_valid().to_numpy(zero_copy_only=False))
+                for at, begins, flat, sizes in _pieces(raws.take(pa.array(some)), window):
+                    cut = Slice(flat, sizes, window, gram)
+                    own, keys, starts, counts = cut.segments()
+                    row = some[np.array(at)[own]]
+                    keys = keys.view(np.int64)
+                    # the keys of any document of the slice: too many is harmless
+                    known = np.unique(np.concatenate([shared[i].values.to_numpy() for i in np.unique(row)])) if len(row) else keys[:0]
+                    found = np.flatnonzero(np.isin(keys, known))
+                    places = cut.begins[own[found]] + starts[found]
+                    raw = flat.tobytes()
+                    contents = [raw[a:b] for a, b in zip(places.tolist(), (places + counts[found] + window - 1).tolist(), strict=True)]
+                    told[0].append(row[found])
+                    for column, x in zip(told[1:], (keys[found], starts[found] + np.array(begins)[own[found]], counts[found], [_signed(xxhash.xxh3_64_intdigest(c)) for c in contents], contents), strict=True):
+                        column.extend(x)
+                per_row = np.bincount(np.concatenate([*told[0], np.zeros(0, np.int64)]).astype(np.int64), minlength=batch.num_rows)
+                offsets = pa.array(np.cumsum(np.append(0, per_row)), pa.int32())
+                segments = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(told[1:], _SEGMENT, strict=True)], [n for n, _ in _SEGMENT])
+                any_found = (per_row > 0).tolist()
+                out = [
+                    batch.column(0), batch.column(1),
+                    pa.array([len(x.as_buffer()) for x in raws], pa.int64()),
+                    pa.array([None if f else hashlib.sha256(x.as_buffer()).hexdigest() for x, f in zip(raws, any_found, strict=True)], pa.string()),
+                    pa.array([x.as_py() if f or texts else None for x, f in zip(batch.column(2), any_found, strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, segments),
+                ]
+                yield pa.RecordBatch.from_arrays(out, ["id", "g", "n_bytes", "sha", "body", "segments"])
+
+    return rows.mapInArrow(run, f"id {kind}, g long, n_bytes long, sha string, body binary, segments array<struct<key:long,at:int,n:int,h:long,content:binary>>")
 
 
 def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
@@ -264,23 +294,31 @@ def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                row, out = [], [[], [], [], []]
-                for i, (at, n, content) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                    for j in range(n):
-                        one = content[j : j + window]
-                        row.append(i)
-                        for x, v in zip(out, (_signed(xxhash.xxh64_intdigest(one)), at + j, _signed(xxhash.xxh3_64_intdigest(one)), one), strict=True):
-                            x.append(v)
-                take = pa.array(row, pa.int64())
-                cols = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *cols, pa.array(np.ones(len(row), np.int32))], ["id", "g", "key", "at", "h", "content", "n"])
-
-    return rows.select("id", "g", "at", "n", "content").mapInArrow(run, f"id {kind}, g long, key long, at int, h long, content binary, n int")
-
-
-def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                n = part.column(3).to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                windows = [c[j : j + window] for c, m in zip(part.column(4).to_pylist(), n.tolist(), strict=True) for j in range(m)]
+                keys, h = (pa.array([_signed(f(w)) for w in windows], pa.int64()) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
+                at = pa.array(part.column(2).to_numpy()[row] + step, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), keys, at, pa.array(np.ones(len(row), np.int32)), h], ["id", "g", "key", "at", "n", "h"])
+
+    return rows.select("id", "g", "at", "n", "content").mapInArrow(run, f"id {kind}, g long, key long, at int, n int, h long")
+
+
+def _alone(contents: list[bytes], window: int, gram: int) -> np.ndarray:
+    """Whether no segment's smallest gram occurs twice in it, so that no two of its windows are equal."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    own, keys = Slice(np.frombuffer(b"".join(contents), np.uint8), sizes, window, gram).chosen()
+    order = np.lexsort((keys, own))
+    own, keys = own[order], keys[order]
+    out = np.ones(len(contents), bool)
+    out[own[1:][(own[1:] == own[:-1]) & (keys[1:] == keys[:-1])]] = False
+    return out
+
+
+def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window: int, gram: int) -> list[list[tuple[int, int]]]:
     """For each distinct segment, byte intervals covered by windows that occur earlier in another place.
 
     Segments meet those of their key.  ``places`` orders their first bytes: the place of another byte is that plus
@@ -288,6 +326,11 @@ def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window
     """
     order = np.argsort(keys, kind="stable")
     bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    # segments that meet no other and do not repeat themselves are left out
+    one = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
+    one[one] = _alone([contents[i] for i in order[one].tolist()], window, gram)
+    order = order[~one]
+    bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
     groups = [[contents[i] for i in order[a:b].tolist()] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     at, classes, starts, _ = equal_windows(groups, window)
     out: list[list[tuple[int, int]]] = [[] for _ in contents]
@@ -308,20 +351,20 @@ def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window
     return out
 
 
-def _search(rows: DataFrame, window: int) -> DataFrame:
+def _search(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """Distinct segments' keys, first places and ``spans``, shard by shard."""
-    passed = ("key", "h", "first_id", "first_g", "first_at")
+    passed = ("key", "h", "first_id", "first_g", "first_at", "times")
     kind = rows.schema["first_id"].dataType.simpleString()
 
     def run(shard: pa.Table) -> pa.Table:
         ids, gs, ats = (shard.column(c).to_pylist() for c in ("first_id", "first_g", "first_at"))
         order = {x: n for n, x in enumerate(sorted(set(zip(ids, gs, strict=True)), key=lambda x: (x[0] is not None, x)))}
         places = np.array([(order[i, g] << 31) + at for i, g, at in zip(ids, gs, ats, strict=True)], np.int64)
-        found = repeated(shard.column("key").to_numpy(), shard.column("content").to_pylist(), places, window)
+        found = repeated(shard.column("key").to_numpy(), shard.column("content").to_pylist(), places, window, gram)
         spans = pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         return pa.table([*(shard.column(c) for c in passed), spans], [*passed, "spans"])
 
-    return rows.groupBy("shard").applyInArrow(run, f"key long, h long, first_id {kind}, first_g long, first_at int, spans array<struct<a:int,b:int>>")
+    return rows.groupBy("shard").applyInArrow(run, f"key long, h long, first_id {kind}, first_g long, first_at int, times long, spans array<struct<a:int,b:int>>")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,21 +385,33 @@ def _finish(rows: DataFrame, kind: str, texts: bool) -> DataFrame:
     """Of documents with their removed intervals: what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches, 2):
-            out: list[list] = [[], [], [], [], []]
-            for body, cut in zip(batch.column(2), batch.column(3), strict=True):
-                raw = body.as_py()
-                spans = merged([(s["a"], s["b"]) for s in cut.as_py() or []])
-                ends = [0, *[b for _, b in spans]]
-                kept = b"".join([raw[a:b] for a, b in zip(ends, [*[a for a, _ in spans], len(raw)], strict=True)])
-                for x, v in zip(out, (len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in spans], kept if texts else None), strict=True):
-                    x.append(v)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        for whole in batches:
+            for batch, raws in _unpacked(whole, 2):
+                out: list[list] = [[], [], [], [], []]
+                for body, cut in zip(raws, batch.column(3), strict=True):
+                    raw = body.as_py()
+                    spans = merged([(s["a"], s["b"]) for s in cut.as_py() or []])
+                    ends = [0, *[b for _, b in spans]]
+                    kept = b"".join([raw[a:b] for a, b in zip(ends, [*[a for a, _ in spans], len(raw)], strict=True)])
+                    for x, v in zip(out, (len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in spans], kept if texts else None), strict=True):
+                        x.append(v)
+                types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return rows.select("id", "n_bytes", "body", "cut").mapInArrow(run, _RESULT.format(kind=kind))
 
 
+def _whole(rows: DataFrame, kind: str) -> DataFrame:
+    """Of documents that keep all: their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, raws in _unpacked(whole, 6):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], raws], [*batch.schema.names[:6], "kept"])
+
+    return rows.mapInArrow(run, _RESULT.format(kind=kind))
+
+
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD, texts: bool = True) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``: removed byte intervals of every document, and the
     bytes that are left of it (null without ``texts``)."""
@@ -365,34 +420,38 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("g", F.xxhash64("text")).withColumn("r", F.xxhash64("id", "g"))
     # one list for all rows that repeat a document; documents whose hashes agree share a list, which is harmless
     of = stored(_shared_keys(rows, window, gram).groupBy("r").agg(F.collect_set("key").alias("keys")), "shared-keys")
-    docs = stored(_recut(rows.join(of, "r", "left").select("id", "g", "text", "keys"), kind, window, gram, texts), "recut")
+    marked = _packed(rows, kind).join(of, "r", "left").select("id", "g", "text", "keys")
+    docs = stored(_recut(marked, kind, window, gram, texts), "recut")
 
     place = ["key", "h"]
     told = docs.where("sha IS NULL")
-    found = told.select("id", "g", F.explode("segments").alias("s")).select("id", "g", "s.*")
+    full = told.select("id", "g", F.explode("segments").alias("s")).select("id", "g", "s.*")
+    names = ["id", "g", "key", "at", "n", "h"]
+    found = full.select(names)
     # only keys that occur that often can have so many distinct segments; stored, so that the planner sees how few
     often = stored(found.groupBy("key").count().where(F.col("count") > hot).select("key"), "often-keys")
     wide = found.select(*place).join(often, "key", "left_semi").distinct().groupBy("key").count().where(F.col("count") > hot).select("key")
     wide = stored(wide, "wide-keys")
-    content = F.expr(f"transform(segments, s -> named_struct('key', s.key, 'at', s.at, 'n', s.n, 'h', s.h, 'content', substring(body, s.at + 1, s.n + {window - 1})))")
-    whole = told.select("id", "g", F.explode(content).alias("s")).select("id", "g", "s.*")
-    single = stored(_single(whole.join(wide, "key", "left_semi"), kind, window), "single-windows")
-    names = ["id", "g", "key", "at", "n", "h"]
-    occurrences = found.join(wide, "key", "left_anti").select(names).unionByName(single.select(names))
-    full = whole.join(wide, "key", "left_anti").select(*names, "content").unionByName(single.select(*names, "content"))
-    distinct = full.groupBy(*place).agg(F.min(F.struct("id", "g", "at")).alias("first"), F.first("content").alias("content"))
-    distinct = distinct.select(*place, F.col("first.id").alias("first_id"), F.col("first.g").alias("first_g"), F.col("first.at").alias("first_at"), "content")
+    single = stored(_single(full.join(wide, "key", "left_semi"), kind, window), "single-windows")
+    where = F.min(F.struct("id", "g", "at")).alias("first")
+    first_at = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "g", "at")]
+    twice = single.groupBy(*place).agg(where, F.count("*").alias("times")).where("times > 1").select(*place, *first_at)
+    occurrences = found.join(wide, "key", "left_anti")
+    distinct = full.join(wide, "key", "left_anti").groupBy(*place).agg(where, F.count("*").alias("times"), F.first("content").alias("content"))
+    distinct = distinct.select(*place, *first_at, "times", "content")
     total = occurrences.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-total // (2 * shard_bytes)))
-    first = stored(_search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window), "spans")
-    hits = occurrences.join(first, place)
+    first = _search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window, gram).where("times > 1 OR size(spans) > 0").drop("times")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    first = stored(first.unionByName(twice.withColumn("spans", none)), "spans")
+    hits = occurrences.unionByName(single).join(first, place)
     same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("g") == F.col("first_g")) & (F.col("at") == F.col("first_at"))
     all_of_it = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + window - 1).cast("int").alias("b")))
     cut = F.transform(F.when(same, F.col("spans")).otherwise(all_of_it), lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
     hits = hits.select(F.col("id").alias("of"), F.col("g").alias("of_g"), cut.alias("cut")).where(F.size("cut") > 0)
     hits = stored(hits.groupBy("of", "of_g").agg(F.flatten(F.collect_set("cut")).alias("cut")), "cuts")
     changed = told.select("id", "g", "n_bytes", "body").join(hits, F.col("id").eqNullSafe(F.col("of")) & (F.col("g") == F.col("of_g")), "left")
-    none = F.array().cast("array<struct<a:int,b:int>>")
     zero = F.lit(0).cast("long")
-    rest = docs.where("sha IS NOT NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), none.alias("spans"), F.col("body").alias("kept"))
+    rest = docs.where("sha IS NOT NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), none.alias("spans"), "body")
+    rest = _whole(rest, kind) if texts else rest.withColumnRenamed("body", "kept")
     return rest.unionByName(_finish(changed, kind, texts)).withColumnRenamed("id", id_col)
