@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from demosift.functions import text as T
 from demosift.sources.storage import stored
 
-from . import rank
+from . import rank, search
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -43,14 +43,21 @@ def postings(corpus: DataFrame, text: str = "source_text", row_id: str = "row_id
     return found.join(idf, "term").select("row_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
+def asked_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+    """``query_id, term, weight``: how often a query has each of its terms."""
+    return queries.select("query_id", F.explode(T.bm25_tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+
+
 def scores(index: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """``query_id, row_id, score`` of all rows that share a term with a query."""
-    asked = queries.select("query_id", F.explode(T.bm25_tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = asked_terms(queries, text).withColumnRenamed("weight", "qtf")
     return index.join(asked, "term").groupBy("query_id", "row_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
 def similarity(corpus: DataFrame, queries: DataFrame, k: int = 8, text: str = "source_text") -> DataFrame:
-    """The best ``k`` rows of each query, rows that share no term included with score zero."""
-    # ranked and completed from one table
-    found = stored(scores(postings(corpus, text, terms=terms_of(queries)), queries), "bm25-scores")
-    return rank.top_k(rank.complete(found, queries, corpus, k), k)
+    """The best ``k`` rows of each query, rows that share no term included with score zero.
+
+    Only rows that can be among them are scored.
+    """
+    index = search.Index.of(postings(corpus, text, terms=terms_of(queries)))
+    return rank.top_k(rank.complete(search.best(index, asked_terms(queries), k), queries, corpus, k), k)

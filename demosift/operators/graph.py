@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from demosift.functions import text as T
 from demosift.sources.storage import stored
 
+from . import search
+
 # fixed values: weights of the kinds of features
 WEIGHTS = {"token": 3.0, "bigram": 2.2, "suffix3": 1.2, "type": 1.0, "suffix4": 0.9, "length": 0.8, "prefix3": 0.6}
 STEPS, RESTART = 8, 0.35
@@ -64,9 +66,19 @@ def known_features(corpus: DataFrame, text: str = "source_text", normalised: boo
     return raw, known
 
 
+#: Features that nearly every row can have (types, lengths, common endings): so many meet their edges apart.
+COMMON = 64
+
+
+def _with_known(raw: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges with what is known of their feature; the most frequent features are few, and no task gets all their edges."""
+    common = F.broadcast(stored(known.orderBy(F.desc("df"), "feature").limit(COMMON), "common-features"))
+    return raw.join(common, "feature").unionByName(raw.join(common.select("feature"), "feature", "left_anti").join(known, "feature"))
+
+
 def weights(raw: DataFrame, known: DataFrame) -> DataFrame:
     """``row_id, feature, weight``: edges without the shares that only a walk needs."""
-    return raw.join(known, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"))
+    return _with_known(raw, known).select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"))
 
 
 def build(corpus: DataFrame, text: str = "source_text", normalised: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +91,7 @@ def shares(raw: DataFrame, known: DataFrame) -> DataFrame:
     """Edges with their shares in their feature's and their row's weight."""
     # a feature's weights share its idf, so its total comes with the document frequency; a row's total needs
     # one more shuffle, by row, and a row is no larger than its text
-    edges = raw.join(known, "feature").select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"), (F.col("raw_total") * F.col("idf")).alias("feature_total"))
+    edges = _with_known(raw, known).select("row_id", "feature", (F.col("raw") * F.col("idf")).alias("weight"), (F.col("raw_total") * F.col("idf")).alias("feature_total"))
     share = lambda total: F.col("weight") / F.when(total == 0, F.lit(1.0)).otherwise(total)
     of_row = F.sum("weight").over(Window.partitionBy("row_id"))
     return edges.select("row_id", "feature", "weight", share(F.col("feature_total")).alias("p_s_given_f"), share(of_row).alias("p_f_given_s"))
@@ -100,6 +112,21 @@ def common_scores(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select("query_id", "row_id", (F.col("dot") / F.greatest(F.col("query_id_norm") * F.col("row_id_norm"), F.lit(1e-12))).alias("score"))
 
 
+def common_index(raw: DataFrame, known: DataFrame, asked: DataFrame) -> search.Index:
+    """Rows' weights of the features that are asked for, as shares of the row's norm."""
+    of_row = F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
+    norms = weights(raw, known).groupBy("row_id").agg(of_row)
+    features = stored(asked.select("feature").distinct(), "asked-features")
+    hits = weights(raw.join(features, "feature", "left_semi"), known.join(features, "feature", "left_semi"))
+    return search.Index.of(hits.join(norms, "row_id").select("row_id", F.col("feature").alias("term"), (F.col("weight") / F.col("norm")).alias("weight")))
+
+
+def common_asked(asked: DataFrame) -> DataFrame:
+    """Queries' weights as shares of their norm, which counts features unknown to the graph."""
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return asked.join(norms, "query_id").select("query_id", F.col("feature").alias("term"), (F.col("weight") / F.col("norm")).alias("weight"))
+
+
 def restart(edges: DataFrame, asked: DataFrame) -> DataFrame:
     """``query_id, feature, mass``: the query's weight over features that the graph has."""
     known = asked.join(edges.select("feature").distinct(), "feature", "left_semi")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demosift.sources.storage import stored
+
 DIGITS = 10
 BLENDS = {
     "hybrid_graph": {"dense": 0.55, "graph_ppr": 0.30, "graph_common": 0.15},
@@ -23,21 +25,45 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Row ids that are looked at together where absent rows are sought.
+RANGE = 4096
+
+
+def _numbered_ranges(rows: DataFrame) -> DataFrame:
+    """``range, n, place``: ranges of row ids, how many rows they hold, and their place from the top.
+
+    Counted in two steps, so that no task sees more than one in ``RANGE`` of them but for their own.
+    """
+    counts = rows.groupBy(F.floor(F.col("row_id") / RANGE).alias("range")).agg(F.count("*").alias("n"))
+    counts = stored(counts.withColumn("above", F.floor(F.col("range") / RANGE)), "row-ranges")
+    outer = counts.groupBy("above").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy(F.desc("above")).rowsBetween(Window.unboundedPreceding, -1))
+    outer = stored(outer.select("above", F.coalesce(before, F.lit(0)).alias("before")), "outer-ranges")
+    place = F.row_number().over(Window.partitionBy("above").orderBy(F.desc("range")))
+    return counts.withColumn("own", place).join(outer, "above").select("range", "n", (F.col("before") + F.col("own")).alias("place"))
+
+
 def complete(scores: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Adds rows of score zero that can reach the first ``k``: those a sparse join leaves out still rank.
 
-    Only queries with fewer than ``k`` positive scores need any, and then only the largest absent row
-    ids; so many of the largest ids are looked at as a query has matches, and ``k`` more.
+    Only queries with fewer than ``k`` positive scores need any, and then only the largest absent row ids; of these
+    queries ``scores`` holds every row they match.  Row ids are whole numbers.  A query that matches rows in ``m``
+    ranges of ids finds enough absent ones in the ``m + k`` largest ranges; of these, only as many are looked into as
+    hold them by the counts of their rows.
     """
-    matched = scores.groupBy("query_id").agg(F.count("*").alias("matched"), F.count_if(F.round("score", DIGITS) > 0).alias("positive"))
-    need = queries.select("query_id").join(matched, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k)
-    need = need.select("query_id", F.coalesce("matched", F.lit(0)).alias("matched"))
-    most = need.agg(F.max("matched")).first()[0]
-    if most is None:
+    of_query = scores.groupBy("query_id").agg(F.count_if(F.round("score", DIGITS) > 0).alias("positive"))
+    need = queries.select("query_id").join(of_query, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k).select("query_id")
+    need = stored(need, "queries-to-complete")
+    if need.isEmpty():
         return scores
-    last = rows.select("row_id").orderBy(F.desc("row_id")).limit(int(most) + k)
-    last = last.agg(F.sort_array(F.collect_list("row_id"), asc=False).alias("last"))
-    absent = need.crossJoin(F.broadcast(last)).select("query_id", F.explode(F.slice("last", F.lit(1), F.col("matched") + k)).alias("row_id"))
+    taken = scores.join(need, "query_id", "left_semi").groupBy("query_id", F.floor(F.col("row_id") / RANGE).alias("range")).agg(F.count("*").alias("taken"))
+    taken = stored(taken, "matched-ranges")
+    depth = need.join(taken.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").select("query_id", (F.coalesce("m", F.lit(0)) + k).alias("depth"))
+    top = depth.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), "depth")).alias("place")).join(_numbered_ranges(rows), "place")
+    top = top.join(taken, ["query_id", "range"], "left").withColumn("absent", F.col("n") - F.coalesce("taken", F.lit(0))).where("absent > 0")
+    earlier = F.coalesce(F.sum("absent").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = top.withColumn("earlier", earlier).where(F.col("earlier") < k).select("query_id", "range")
+    absent = top.join(rows.select("row_id", F.floor(F.col("row_id") / RANGE).alias("range")), "range").select("query_id", "row_id")
     absent = absent.join(scores.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
     return scores.select("query_id", "row_id", "score").unionByName(absent.withColumn("score", F.lit(0.0)))
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demosift.operators import bm25, dense, diversity, graph, rank, sampling
+from demosift.operators import bm25, dense, diversity, graph, rank, sampling, search
 from demosift.sources.storage import stored
 
 # fixed values: names of backends, strategies and prompt modes
@@ -85,12 +85,13 @@ class Index:
         if strategy in rank.BLENDS:
             return rank.top_k(self.blended(strategy), k)
         if strategy == "graph_common":
-            return self._completed(self.common_scores, k)
+            index = graph.common_index(*self.features, self.asked_features)
+            return self._completed(search.best(index, graph.common_asked(self.asked_features), k), k)
         if strategy == "graph_ppr":
             return self._completed(self.ppr_scores, k)
         if self.backend == "dense":
             return dense.similarity(self.vectors, self._asked, k)
-        return self._completed(self.bm25_scores, k)
+        return self._completed(search.best(search.Index.of(self.postings), bm25.asked_terms(self.queries), k), k)
 
     def retrieve(self, strategy: str, k: int) -> DataFrame:
         """``query_id, row_id, score, rank`` of any strategy; the score is null where nothing is scored."""
