@@ -1,28 +1,32 @@
 """Dictionaries: building, extending, exact and fuzzy lookup.
 
-A lexicon is a table ``key, surface, translations``.  Exact and substring lookups are joins; the greedy
-match of compounds is a scan over characters and runs in Arrow batches against the keys of the
-lexicon, whose number is checked before they are sent out; with more keys it is a join too.
+A lexicon is a table ``key, surface, translations``.  Lookups are joins.  The parts of a token that is no key are
+found once for each distinct one, by an automaton over the lexicon's keys if these have few enough bytes to be sent
+out, and otherwise by a join of its pieces, no longer than the longest key; both fuzzy modes follow from the parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from demosift.functions import text as T
 
 from demosift.sources.storage import stored
 
+from .automaton import Automaton, greedy
 from .normalize import word_pairs
 
 TOP_N, MAX_ENTRIES, MIN_CHARS = 2, 80, 3
-#: Keys that are sent to every task for greedy matching, at most; more are joined.
-MOST_KEYS = 2_000_000
+#: Bytes of keys whose automaton is sent to every task, at most; a byte makes a node of 21 bytes at most.
+KEY_BYTES = 4_000_000
+#: Tokens, and characters of them, that are matched at a time.
+TOKENS, CHARACTERS = 4096, 1 << 18
+#: Characters of a block of a token whose pieces are joined.
+BLOCK = 1024
 HIT = "struct<query:string,source:string,translations:array<string>,match:string>"
 
 
@@ -78,93 +82,97 @@ def _collected(hits: DataFrame, df: DataFrame, id_col: str, top_n: int, max_entr
     return rows.select(F.col("id").alias(id_col), F.coalesce("entries", F.array().cast(f"array<{HIT}>")).alias("entries"))
 
 
-@F.pandas_udf(S.ArrayType(S.StringType()))
-def _greedy(keys: pd.Series, parts: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([greedy_parts(k, set(p), int(n)) for k, p, n in zip(keys, parts, least, strict=True)])
+def _matched(tokens: DataFrame, automaton: Automaton) -> DataFrame:
+    """``whole, starts, sizes`` of keys inside each token (column ``whole``)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = batch.column(0).to_pylist(), 0
+            while at < len(texts):
+                part, n = [], 0
+                while at < len(texts) and len(part) < TOKENS and (not part or n + len(texts[at]) <= CHARACTERS):
+                    part.append(texts[at])
+                    n += len(texts[at])
+                    at += 1
+                own, starts, sizes = shared.value.matches(part)
+                stops = pa.array([0, *own.searchsorted(range(len(part)), side="right").tolist()], pa.int32())
+                lists = [pa.ListArray.from_arrays(stops, pa.array(x, pa.int32())) for x in (starts, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *lists], ["whole", "starts", "sizes"])
+
+    return tokens.select("whole").mapInArrow(run, "whole string, starts array<int>, sizes array<int>").where(F.size("starts") > 0)
 
 
-def lookup_joined(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str | None = None, top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id, entries``: exact matches and, in tokens that match none, on demand, ``substring``: all keys, longest
-    first, or ``greedy``: the keys that greedy matching takes.  No key is sent to all tasks."""
+def _joined(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same by a join: every piece of a token that is as long as some key is a row.
+
+    Tokens are cut into blocks first, so that no row repeats a long token for each of its pieces.
+    """
+    named = stored(tokens.select(F.monotonically_increasing_id().alias("token"), "whole"), "unknown-tokens")
+    lengths = F.broadcast(keys.agg(F.sort_array(F.collect_set(F.length("key"))).alias("lengths")))
+    numbers = F.sequence(F.lit(0), ((F.length("whole") - 1) / BLOCK).cast("int"))
+    cut = lambda b: F.struct((b * BLOCK).alias("base"), F.substring("whole", b * BLOCK + 1, F.lit(BLOCK) + F.array_max("lengths")).alias("part"))
+    blocks = named.crossJoin(lengths).where("size(lengths) > 0").select("token", "lengths", F.explode(F.transform(numbers, cut)).alias("b")).select("token", "lengths", "b.*")
+    inside = F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.length("part")) - 1)
+    pieces = blocks.select("token", "base", "part", "lengths", F.explode(inside).alias("at")).select("token", "base", "part", "at", F.explode("lengths").alias("size"))
+    pieces = pieces.where(F.col("at") + F.col("size") <= F.length("part"))
+    pieces = pieces.select("token", (F.col("base") + F.col("at")).alias("start"), "size", F.substring("part", F.col("at") + 1, F.col("size")).alias("key"))
+    lists = pieces.join(keys, "key", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("p"))
+    return named.join(lists, "token").select("whole", F.col("p.start").alias("starts"), F.col("p.size").alias("sizes"))
+
+
+def _taken(parts: DataFrame) -> DataFrame:
+    """``whole, starts, sizes`` of the parts that greedy matching takes, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [greedy(a, n, len(w)) for w, a, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["whole", "starts", "sizes"])
+
+    return parts.select("whole", "starts", "sizes").mapInArrow(run, "whole string, starts array<int>, sizes array<int>")
+
+
+def parts_of(tokens: DataFrame, lexicon: DataFrame, mode: str, min_chars: int = MIN_CHARS, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """``whole, nth, key`` of distinct tokens (column ``whole``): the keys inside, each once.
+
+    ``mode``: ``substring``, all keys, the longest first, or ``greedy``, those that greedy matching takes in order.
+    """
+    keys = stored(lexicon.where(F.length("key") >= min_chars).select("key"), "long-keys")
+    if (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) <= key_bytes:
+        found = _matched(tokens, Automaton.of([r.key for r in keys.toLocalIterator()]))
+    else:
+        found = _joined(tokens, keys)
+    if mode == "greedy":
+        found = _taken(found)
+    key = F.transform(F.arrays_zip("starts", "sizes"), lambda p: F.substring("whole", p["starts"] + 1, p["sizes"]))
+    keys_in = F.array_distinct(key)
+    if mode != "greedy":
+        keys_in = F.transform(F.array_sort(F.transform(keys_in, lambda k: F.struct((-F.length(k)).alias("size"), k.alias("key")))), lambda s: s["key"])
+    return found.select("whole", F.posexplode(keys_in).alias("nth", "key"))
+
+
+def lookup(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str | None = "max_matching", top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """``id, entries``: exact matches and, in tokens that match none, parts that do.
+
+    ``fuzzy``: None, ``substring``, or anything else for greedy matching.  Entries without translations match as well.
+    """
     top_n, max_entries, min_chars = max(1, top_n), max(1, max_entries), max(1, min_chars)
     tokens = stored(_token_keys(df, id_col, text), "tokens") if fuzzy else _token_keys(df, id_col, text)
     exact = tokens.join(lexicon, "key").select("id", "at", F.lit(0).alias("nth"), "token", "key", "surface", "translations", F.lit("exact").alias("match"))
     if fuzzy is None:
         return _collected(exact, df, id_col, top_n, max_entries)
+    mode = "substring" if fuzzy.strip().lower() == "substring" else "greedy"
     # each distinct unknown key is cut once, however many tokens have it
     unknown = tokens.select("key").distinct().join(lexicon, "key", "left_anti").where(F.length("key") >= min_chars)
-    starts = F.sequence(F.lit(1), F.length("key") - min_chars + 1)
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(min_chars), F.length("key") - s + 1), lambda n: F.col("key").substr(s, n))))
-    cut = unknown.select(F.col("key").alias("whole"), F.explode(F.array_distinct(pieces)).alias("key")).join(lexicon, "key")
-    if fuzzy == "greedy":
-        taken = cut.groupBy("whole").agg(F.collect_set("key").alias("parts")).select("whole", F.posexplode(_greedy("whole", "parts", F.lit(min_chars))).alias("size", "key"))
-        cut = cut.join(taken, ["whole", "key"])
-    else:
-        cut = cut.withColumn("size", -F.length("key"))
-    lists = cut.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("size", "key", "surface", "translations"))).alias("parts"))
-    fuzzy = tokens.select("id", "at", "token", F.col("key").alias("whole")).join(lists, "whole").select("id", "at", "token", F.posexplode("parts").alias("nth", "part"))
-    fuzzy = fuzzy.select("id", "at", "nth", "token", "part.key", "part.surface", "part.translations", F.lit("fuzzy").alias("match"))
+    parts = parts_of(unknown.select(F.col("key").alias("whole")), lexicon, mode, min_chars, key_bytes).join(lexicon, "key")
+    part = F.struct("nth", "key", "surface", F.slice("translations", 1, top_n).alias("translations"))
+    lists = parts.groupBy("whole").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    fuzzy = tokens.select("id", "at", "token", F.col("key").alias("whole")).join(lists, "whole").select("id", "at", "token", F.explode("parts").alias("part"))
+    fuzzy = fuzzy.select("id", "at", "part.nth", "token", "part.key", "part.surface", "part.translations", F.lit("fuzzy").alias("match"))
     return _collected(exact.unionByName(fuzzy), df, id_col, top_n, max_entries)
 
 
-def greedy_parts(key: str, known: dict | set, min_chars: int = MIN_CHARS, longest: int | None = None) -> list[str]:
-    """Longest known parts from the left, then those from the right in text order, each once."""
-    longest = longest or max(map(len, known), default=0)
-    forward, at = [], 0
-    while at < len(key):
-        part = next((key[at:e] for e in range(min(len(key), at + longest), at + min_chars - 1, -1) if key[at:e] in known), None)
-        if part:
-            forward.append(part)
-        at += len(part) if part else 1
-    backward, end = [], len(key)
-    while end > 0:
-        part = next((key[s:end] for s in range(max(0, end - longest), end - min_chars + 1) if key[s:end] in known), None)
-        if part:
-            backward.append(part)
-        end -= len(part) if part else 1
-    return list(dict.fromkeys([*forward, *reversed(backward)]))
-
-
-def lookup(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str | None = "max_matching", top_n: int = TOP_N, max_entries: int = MAX_ENTRIES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``id, entries``.  ``fuzzy``: None, ``substring``, or anything else for greedy matching."""
-    if fuzzy is None or fuzzy.strip().lower() == "substring":
-        return lookup_joined(df, lexicon, id_col, text, fuzzy and "substring", top_n, max_entries, min_chars)
-    top_n, max_entries, min_chars = max(1, top_n), max(1, max_entries), max(1, min_chars)
-    if lexicon.count() > MOST_KEYS:
-        return lookup_joined(df, lexicon.where(F.size("translations") > 0), id_col, text, "greedy", top_n, max_entries, min_chars)
-    known = {r.key: (r.surface, list(r.translations[:top_n])) for r in lexicon.where(F.size("translations") > 0).toLocalIterator()}
-    shared = df.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, memo = shared.value, {}
-        longest = max(map(len, known), default=0)
-        for batch in batches:
-            out = []
-            for tokens, keys in zip(batch["tokens"], batch["keys"], strict=True):
-                found: dict[str, dict] = {}
-                for token, key in zip(tokens, keys, strict=True):
-                    if not key:
-                        continue
-                    if key in known:
-                        parts, match = [key], "exact"
-                    else:
-                        if key not in memo:
-                            if len(memo) > 200_000:
-                                memo.clear()
-                            memo[key] = greedy_parts(key, known, min_chars, longest)
-                        parts, match = memo[key], "fuzzy"
-                    for p in parts:
-                        if p not in found and len(found) < max_entries:
-                            found[p] = {"query": token, "source": known[p][0], "translations": known[p][1], "match": match}
-                    if len(found) >= max_entries:
-                        break
-                out.append(list(found.values()))
-            yield pd.DataFrame({id_col: batch["id"], "entries": out})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return _tokens_and_keys(df, id_col, text).mapInPandas(run, f"{id_col} {kind}, entries array<{HIT}>")
-
-
 def entry_column(entries: Column) -> Column:
     """As it is printed in records."""
     return F.to_json(entries)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
@@ -41,31 +41,20 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", "row_id", F.col("rank").cast("int").alias("rank"), (F.round("score", SHOWN) + 0.0).alias("score"))
 
 
-def _cleaned(spark: SparkSession, sf_dir: str, target: Column) -> DataFrame:
+def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternative names and codes brought to the canonical schema, cleaned."""
     d = _table(spark, sf_dir, "documents")
     codes = {"en": "eng_Latn", "de": "deu_Latn", "fr": "chg_Arab", "es": "uzb_Cyrl"}
-    raw = d.select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("src_text"), target.alias("tgt_text"), F.lit("kaz_Xxxx").alias("src_lang"), normalize._map(codes)[F.col("lang")].alias("tgt_lang"))
+    raw = d.select("doc_id", F.concat(F.lit("  "), "text", F.lit("\n")).alias("src_text"), F.col("source").alias("tgt_text"), F.lit("kaz_Xxxx").alias("src_lang"), normalize._map(codes)[F.col("lang")].alias("tgt_lang"))
     out = normalize.clean(normalize.normalize_schema(raw))
     return out.select("doc_id", "source_lang", "target_lang", "type", F.length("source_text").alias("n_chars"), F.md5(F.col("source_text").cast("binary")).alias("digest"))
 
 
-def clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alternative names and codes brought to the canonical schema, cleaned; every seventh row has no target."""
-    return _cleaned(spark, sf_dir, F.when(F.col("doc_id") % 7 != 0, F.col("source")))
-
-
-def clean_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``clean_normalize``, with the target of every row."""
-    return _cleaned(spark, sf_dir, F.col("source"))
-
-
 CLEAN_SQL = r"""
 SELECT doc_id, 'kk' AS source_lang, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'chg' WHEN 'es' THEN 'uz' END AS target_lang,
   CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_ʿʾ''-]+'), lambda t: t <> '')) = 1 THEN 'word' ELSE 'phrase' END AS type,
   length(trim(text, E' \t\r\n'))::INT AS n_chars, md5(trim(text, E' \t\r\n')) AS digest
-FROM documents WHERE doc_id % 7 <> 0 AND trim(text, E' \t\r\n') <> ''"""
-
-CLEAN_ALL_SQL = CLEAN_SQL.replace("doc_id % 7 <> 0", "source IS NOT NULL AND trim(source, E' \\t\\r\\n') <> ''")
+FROM documents WHERE source IS NOT NULL AND trim(source, E' \t\r\n') <> '' AND trim(text, E' \t\r\n') <> ''"""
 
 
 def type_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,19 +218,20 @@ def random_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.random_rows(asked(spark, sf_dir), corpus(spark, sf_dir).count(), 8, 42, position="query_id")
 
 
-def _dictionary(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """The benchmark's short words, or every word, as a dictionary: each means the items it stands in, in order."""
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words as a dictionary: each means the items it stands in, in order."""
     words = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.lexicon_tokens("text")).alias("at", "word"))
-    words = words if every else words.where(F.length("word").between(3, 5))
     words = words.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("row_id"), F.col("word").alias("source_text"), F.concat(F.lit("t"), "item_id").alias("target_text"), F.lit("chg").alias("source_lang"), F.lit("en").alias("target_lang"), F.lit("word").alias("type"))
     return lexicon.build(words, "chg", "en")
 
 
-def _entries(spark: SparkSession, sf_dir: str, fuzzy: str | None, every: bool = False) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    found = lexicon.lookup(d, _dictionary(spark, sf_dir, every), "doc_id", "text", fuzzy)
+def _digested(found: DataFrame, id_col: str) -> DataFrame:
     line = lambda e: F.concat_ws("|", e["query"], e["source"], F.array_join(e["translations"], ","), e["match"])
-    return found.select("doc_id", F.size("entries").alias("n_entries"), F.md5(F.array_join(F.transform("entries", line), ";").cast("binary")).alias("digest"))
+    return found.select(id_col, F.size("entries").alias("n_entries"), F.md5(F.array_join(F.transform("entries", line), ";").cast("binary")).alias("digest"))
+
+
+def _entries(spark: SparkSession, sf_dir: str, fuzzy: str | None) -> DataFrame:
+    return _digested(lexicon.lookup(_table(spark, sf_dir, "documents"), _dictionary(spark, sf_dir), "doc_id", "text", fuzzy), "doc_id")
 
 
 def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,26 +251,9 @@ def lexicon_maxmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir, "max_matching")
 
 
-def lexicon_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``lexicon_terms``, of the dictionary of every benchmark word."""
-    return _dictionary(spark, sf_dir, True).select("key", "surface", F.array_join("translations", ",").alias("translations"))
-
-
-def lexicon_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir, None, True)
-
-
-def lexicon_substring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir, "substring", True)
-
-
-def lexicon_maxmatch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir, "max_matching", True)
-
-
 _LEXICON = r"""
 w AS (SELECT item_id, generate_subscripts(k, 1) AS pos, unnest(k) AS word FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}ʿʾ''’-]+') AS k FROM benchmark)),
-c AS (SELECT replace(lower(word), 'ß', 'ss') AS key, word, 't' || item_id AS target, item_id * 1000000 + pos AS o FROM w WHERE length(word) BETWEEN 3 AND 5),
+c AS (SELECT replace(lower(word), 'ß', 'ss') AS key, word, 't' || item_id AS target, item_id * 1000000 + pos AS o FROM w),
 m AS (SELECT key, target, min(o) AS o FROM c GROUP BY ALL),
 lex AS (SELECT key, arg_min(word, c.o) AS surface FROM c GROUP BY key),
 tr AS (SELECT key, list(target ORDER BY o) AS translations FROM m GROUP BY key),
@@ -294,15 +267,21 @@ n AS (SELECT doc_id, list(h.line ORDER BY h.pos, h.nth)[:80] AS lines FROM h GRO
 SELECT d.doc_id, coalesce(len(lines), 0)::INT AS n_entries, md5(coalesce(array_to_string(lines, ';'), '')) AS digest FROM documents d LEFT JOIN n USING (doc_id)"""
 TERMS_SQL = f"WITH {_LEXICON} SELECT key, surface, array_to_string(translations, ',') AS translations FROM l"
 EXACT_SQL = f"WITH {_LEXICON}, hits AS (SELECT * FROM ex), {_LEXICON_END}"
-SUBSTRING_SQL = f"""WITH {_LEXICON},
+# parts of tokens that are no key; as long as the longest key
+_PARTS = """
 un AS (SELECT DISTINCT tkey FROM tk WHERE tkey NOT IN (SELECT key FROM l) AND length(tkey) >= 3),
-fz AS (SELECT tkey, row_number() OVER (PARTITION BY tkey ORDER BY length(key) DESC, key) AS nth, key, surface, translations FROM
-  (SELECT tkey, substr(tkey, s, n) AS key FROM (SELECT tkey, s, unnest(range(3, 11)) AS n FROM (SELECT tkey, unnest(range(1, length(tkey) - 1)) AS s FROM un)) WHERE s + n - 1 <= length(tkey) GROUP BY ALL) JOIN l USING (key)),
-hits AS (SELECT * FROM ex UNION ALL SELECT doc_id, pos, nth, token, key, surface, translations, 'fuzzy' FROM tk JOIN fz USING (tkey)), {_LEXICON_END}"""
-# the same over every word of the benchmark; parts are as long as the longest key
-_SHORT = " WHERE length(word) BETWEEN 3 AND 5"
-TERMS_ALL_SQL, EXACT_ALL_SQL = TERMS_SQL.replace(_SHORT, ""), EXACT_SQL.replace(_SHORT, "")
-SUBSTRING_ALL_SQL = SUBSTRING_SQL.replace(_SHORT, "").replace("range(3, 11)", "range(3, (SELECT max(length(key)) FROM l) + 1)")
+oc AS (SELECT tkey, s, n, key FROM (SELECT tkey, s, n, substr(tkey, s, n) AS key FROM (SELECT tkey, s, unnest(range(3, (SELECT max(length(key)) FROM l) + 1)) AS n FROM (SELECT tkey, unnest(range(1, length(tkey) - 1)) AS s FROM un)) WHERE s + n - 1 <= length(tkey)) SEMI JOIN l USING (key))"""
+_PART_HITS = "hits AS (SELECT * FROM ex UNION ALL SELECT doc_id, pos, nth, token, key, surface, translations, 'fuzzy' FROM tk JOIN (SELECT * FROM fz JOIN l USING (key)) USING (tkey))"
+SUBSTRING_SQL = f"""WITH {_LEXICON}, {_PARTS},
+fz AS (SELECT tkey, key, row_number() OVER (PARTITION BY tkey ORDER BY length(key) DESC, key) AS nth FROM (SELECT DISTINCT tkey, key FROM oc)),
+{_PART_HITS}, {_LEXICON_END}"""
+MAXMATCH_SQL = f"""WITH RECURSIVE {_LEXICON}, {_PARTS},
+lf AS (SELECT tkey, s, max(n) AS n FROM oc GROUP BY ALL), le AS (SELECT tkey, s + n - 1 AS e, max(n) AS n FROM oc GROUP BY ALL),
+fw AS (SELECT tkey, 1::BIGINT AS p FROM un UNION ALL SELECT fw.tkey, fw.p + coalesce(lf.n, 1) FROM fw LEFT JOIN lf ON lf.tkey = fw.tkey AND lf.s = fw.p WHERE fw.p <= length(fw.tkey)),
+bw AS (SELECT tkey, length(tkey)::BIGINT AS e FROM un UNION ALL SELECT bw.tkey, bw.e - coalesce(le.n, 1) FROM bw LEFT JOIN le ON le.tkey = bw.tkey AND le.e = bw.e WHERE bw.e > 0),
+tn AS (SELECT tkey, substr(tkey, p, n) AS key, p AS o FROM fw JOIN lf USING (tkey) WHERE s = p UNION ALL SELECT tkey, substr(tkey, e - n + 1, n), 1000000 + e FROM bw JOIN le USING (tkey, e)),
+fz AS (SELECT tkey, key, row_number() OVER (PARTITION BY tkey ORDER BY o) AS nth FROM (SELECT tkey, key, min(o) AS o FROM tn GROUP BY ALL)),
+{_PART_HITS}, {_LEXICON_END}"""
 
 
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,16 +428,14 @@ FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0 OR p_size / 50.0::DOUBLE >= 0.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_normalize, clean_normalize_all, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
+        clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
         dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
-        lexicon_terms_all, lexicon_exact_all, lexicon_substring_all, lexicon_maxmatch_all,
         prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
     )
 }
 
 ORACLES: dict[str, str] = {
     "clean_normalize": CLEAN_SQL,
-    "clean_normalize_all": CLEAN_ALL_SQL,
     "type_and_length": TYPE_SQL,
     "bm25_topk": BM25_SQL,
     "graph_features": FEATURES_SQL,
@@ -470,9 +447,7 @@ ORACLES: dict[str, str] = {
     "lexicon_terms": TERMS_SQL,
     "lexicon_exact": EXACT_SQL,
     "lexicon_substring": SUBSTRING_SQL,
-    "lexicon_terms_all": TERMS_ALL_SQL,
-    "lexicon_exact_all": EXACT_ALL_SQL,
-    "lexicon_substring_all": SUBSTRING_ALL_SQL,
+    "lexicon_maxmatch": MAXMATCH_SQL,
     "prompt_render": PROMPT_SQL,
     "format_and_empties": FORMAT_SQL,
     "bleu_by_experiment": BLEU_SQL,

@@ -129,15 +129,3 @@ def test_pending(spark):
     done = spark.createDataFrame([("zero", "1", "0"), ("zero", "x", "1"), (None, "1", "1"), ("random", "2.0", "1")], "strategy string, k string, test_index string")
     left = {(r.strategy, r.k, r.test_index) for r in model_calls.pending(work, done).collect()}
     assert len(left) == 6 and ("zero", 1, 0) not in left and ("random", 2, 1) not in left
-
-
-def test_greedy_lookup_is_the_same_without_sending_keys(spark, monkeypatch):
-    words = ["tuz", "dur", "abc", "abcd", "cdef", "efg", "bcde", "straße"]
-    rows = spark.createDataFrame([(i, w, f"t{i}") for i, w in enumerate(words)], "row_id long, source_text string, target_text string")
-    lex = lexicon.entries(rows)
-    texts = ["tuzdur abcdefg", "abcde STRASSE x", "", None, "tuz tuz zzz", "şı̇̄tuzr"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    shown = lambda: sorted((r.id, str(r.entries)) for r in lexicon.lookup(df, lex, "id", "text").collect())
-    sent = shown()
-    monkeypatch.setattr(lexicon, "MOST_KEYS", 1)
-    assert shown() == sent
