@@ -8,8 +8,8 @@ import corpus_pipeline
 from demosift.llm import mixing, toxicity
 from demosift.llm.common import stored
 
+from .test_near_dedup import brute_near
 from .test_secrets import base
-from .test_simhash import brute_components, brute_print
 
 
 def test_stages_against_brute_force(spark):
@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
     assert rows(frame) == [r for r in before if scores[r[0]] < 0.5] != before
     before = rows(frame)
     frame = stored(stages["simhash_near_dedup"](spark, frame, sf_dir), "test")
-    found = brute_components({r[0]: brute_print(r[1]) for r in before})
+    found = brute_near({r[0]: r[1] for r in before})
     assert rows(frame) == [r for r in before if found[r[0]] == r[0]] != before
     before = rows(frame)
     frame = stored(stages["secret_scans"](spark, frame, sf_dir), "test")
