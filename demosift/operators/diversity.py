@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from demosift.functions import text as T
 
+from .rank import DIGITS
+
 CANDIDATES, PENALTY, SEED = 40, 0.25, 42
 
 
@@ -64,7 +66,8 @@ def lexical_diversity(candidates: DataFrame, corpus: DataFrame, k: int = 8, text
     """Greedy choice by relevance less likeness to what is chosen already.
 
     The best row comes first; then, again and again, the row with the largest score (as a share of the
-    best one's) less ``penalty`` times its largest Jaccard likeness to a chosen row.
+    best one's) less ``penalty`` times its largest Jaccard likeness to a chosen row.  Values count to ten digits, so
+    that noise of summation does not part equal rows; of these the better ranked one is taken.
     """
     kind, row_kind = (candidates.schema[c].dataType.simpleString() for c in ("query_id", "row_id"))
 
@@ -77,7 +80,7 @@ def lexical_diversity(candidates: DataFrame, corpus: DataFrame, k: int = 8, text
         chosen, rest = [0], list(range(1, len(pdf)))
         nearest = {i: like(i, 0) for i in rest}
         while rest and len(chosen) < k:
-            best = max(rest, key=lambda i: (score[i] / top - penalty * nearest[i], -i))
+            best = max(rest, key=lambda i: (round(score[i] / top - penalty * nearest[i], DIGITS), -i))
             chosen.append(best)
             rest.remove(best)
             for i in rest:

@@ -77,16 +77,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(bm25.similarity(corpus(spark, sf_dir), asked(spark, sf_dir), 8))
 
 
-_BM25 = r"""
+_BM25_SCORES = r"""
 t AS (SELECT doc_id AS row_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '') AS tokens FROM documents),
 n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
 tf AS (SELECT row_id, len(tokens) AS length, term, count(*) AS tf FROM (SELECT row_id, tokens, unnest(tokens) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n),
-idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT query_id, row_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM q JOIN tf USING (term) JOIN idf USING (term), n GROUP BY ALL),
-a AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN s ON query_id = item_id AND row_id = doc_id),
+braw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n),
+bidf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM braw) ELSE raw END AS idf FROM braw),
+bq AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL),
+bs AS (SELECT query_id, row_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM bq JOIN tf USING (term) JOIN bidf USING (term), n GROUP BY ALL)"""
+_BM25 = rf"""{_BM25_SCORES},
+a AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN bs ON query_id = item_id AND row_id = doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, row_id DESC) AS rank FROM a)"""
 BM25_SQL = f"WITH {_BM25} SELECT query_id, row_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 8"
 
@@ -97,6 +98,21 @@ def bm25_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(diversity.lexical_diversity(bm25.similarity(c, asked(spark, sf_dir), diversity.CANDIDATES), c, 8))
 
 
+def _mmr_sql(k: int = 8) -> str:
+    """Candidates, their likenesses, and one choice after the other."""
+    parts = [f"""WITH {_BM25},
+c AS (SELECT query_id, row_id, rank, score, list_distinct(tokens) AS w, max(CASE WHEN rank = 1 THEN CASE WHEN score = 0 THEN 1 ELSE score END END) OVER (PARTITION BY query_id) AS top FROM r JOIN t USING (row_id) WHERE rank <= {diversity.CANDIDATES}),
+likes AS MATERIALIZED (SELECT x.query_id, x.rank AS a, y.rank AS b, len(list_intersect(x.w, y.w)) / greatest(1, len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE AS j FROM c x JOIN c y USING (query_id)),
+c1 AS (SELECT query_id, 1::BIGINT AS rank, 1 AS nth FROM c GROUP BY query_id)"""]
+    for i in range(2, k + 1):
+        parts.append(f"""d{i} AS (SELECT c.query_id, c.rank, round(any_value(score) / any_value(top) - {diversity.PENALTY}::DOUBLE * max(j), {rank.DIGITS}) AS value FROM c JOIN c{i - 1} s ON s.query_id = c.query_id JOIN likes l ON l.query_id = c.query_id AND l.a = c.rank AND l.b = s.rank ANTI JOIN c{i - 1} z ON z.query_id = c.query_id AND z.rank = c.rank GROUP BY c.query_id, c.rank),
+c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT query_id, rank, {i} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, rank) AS o FROM d{i}) WHERE o = 1)""")
+    return ",\n".join(parts) + f" SELECT s.query_id, row_id, nth::INT AS rank, round(score, 6) AS score FROM c{k} s JOIN c ON c.query_id = s.query_id AND c.rank = s.rank"
+
+
+MMR_SQL = _mmr_sql()
+
+
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every feature."""
     idf = graph.build(typed(corpus(spark, sf_dir)))[1]
@@ -122,9 +138,9 @@ f AS (SELECT side, id, 'token:' || t AS feature, 3.0::DOUBLE AS w FROM one
   UNION ALL SELECT side, id, 'bigram:' || t, 2.2 FROM two
   UNION ALL SELECT side, id, 'type:' || CASE WHEN len(k) = 1 THEN 'word' ELSE 'phrase' END, 1.0 FROM tok
   UNION ALL SELECT side, id, 'length:' || CASE WHEN len(k) <= 1 THEN '1' WHEN len(k) <= 2 THEN '2' WHEN len(k) <= 4 THEN '3-4' WHEN len(k) <= 8 THEN '5-8' ELSE '9+' END, 0.8 FROM tok),
-raw AS (SELECT side, id, feature, sum(w) AS raw FROM f GROUP BY ALL),
+raw AS MATERIALIZED (SELECT side, id, feature, sum(w) AS raw FROM f GROUP BY ALL),
 idf AS (SELECT feature, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM raw WHERE side = 0 GROUP BY feature),
-e AS (SELECT id AS row_id, feature, raw * idf AS weight FROM raw JOIN idf USING (feature) WHERE side = 0)"""
+e AS MATERIALIZED (SELECT id AS row_id, feature, raw * idf AS weight FROM raw JOIN idf USING (feature) WHERE side = 0)"""
 FEATURES_SQL = f"WITH {_FEATURES} SELECT feature, df, round(idf, 6) AS idf FROM idf"
 ROWS_SQL = f"""WITH {_FEATURES}, x AS (SELECT *, sum(weight) OVER (PARTITION BY feature) AS ft, sum(weight) OVER (PARTITION BY row_id) AS rt FROM e)
 SELECT row_id, count(*) AS n_edges, round(sum(weight), 4) AS weight, round(sum(weight / ft), 4) AS p_s_given_f, round(sum(weight / rt), 4) AS p_f_given_s FROM x GROUP BY row_id"""
@@ -161,6 +177,41 @@ def graph_ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(Index(typed(corpus(spark, sf_dir)), asked(spark, sf_dir), "graph").ranked("graph_ppr", 8))
 
 
+def _walk_sql(steps: int = graph.STEPS, restart: float = graph.RESTART) -> str:
+    """The walk's half steps, one after the other; features as numbers."""
+    parts = [f"""q AS (SELECT id AS query_id, feature, raw * coalesce(idf, 1) AS weight FROM raw LEFT JOIN idf USING (feature) WHERE side = 1),
+fid AS MATERIALIZED (SELECT feature, row_number() OVER () AS f FROM idf),
+pe AS MATERIALIZED (SELECT row_id, f, weight / sum(weight) OVER (PARTITION BY f) AS pf, weight / sum(weight) OVER (PARTITION BY row_id) AS pr FROM e JOIN fid USING (feature)),
+x0 AS MATERIALIZED (SELECT query_id, f, q.weight / sum(q.weight) OVER (PARTITION BY query_id) AS m FROM q JOIN fid USING (feature)),
+s0 AS (SELECT query_id, row_id, sum(m * pf) AS s FROM x0 JOIN pe USING (f) GROUP BY ALL)"""]
+    for i in range(1, steps):
+        parts.append(f"""x{i} AS (SELECT query_id, f, sum(m) AS m FROM (SELECT query_id, f, {1 - restart}::DOUBLE * s * pr AS m FROM s{i - 1} JOIN pe USING (row_id) UNION ALL SELECT query_id, f, {restart}::DOUBLE * m FROM x0) GROUP BY ALL),
+s{i} AS (SELECT query_id, row_id, sum(m * pf) AS s FROM x{i} JOIN pe USING (f) GROUP BY ALL)""")
+    return ",\n".join([*parts, f"ppr AS MATERIALIZED (SELECT query_id, row_id, s AS score FROM s{steps - 1})"])
+
+
+_RANKED = """a AS (SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN {0} ON query_id = item_id AND row_id = doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, row_id DESC) AS rank FROM a)
+SELECT query_id, row_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 8"""
+PPR_SQL = f"WITH {_FEATURES}, {_walk_sql()}, {_RANKED.format('ppr')}"
+
+
+def _blend_sql(name: str, parts: dict[str, str]) -> str:
+    """Scaled over all rows, absent ones as zero, and weighted."""
+    grid = "SELECT item_id AS query_id, doc_id AS row_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN {0} ON query_id = item_id AND row_id = doc_id"
+    scaled = "SELECT query_id, row_id, {1}::DOUBLE * CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 0 ELSE (score - lo) / (hi - lo) END AS score FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM ({0}))"
+    return "mixed AS (SELECT query_id, row_id, sum(score) AS score FROM (" + " UNION ALL ".join(scaled.format(grid.format(parts[n]), w) for n, w in rank.BLENDS[name].items()) + ") GROUP BY ALL)"
+
+
+_DENSE_PART = """nv AS (SELECT count(*) AS nv FROM embeddings),
+dense AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id AS row_id, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score
+  FROM nv, benchmark b JOIN embeddings x ON x.vec_id = b.item_id * 50 % nv, documents d JOIN embeddings y ON y.vec_id = d.doc_id % nv)"""
+_COMMON_PART = """qn AS (SELECT query_id, sqrt(sum(weight * weight)) AS qn FROM q GROUP BY query_id),
+rn AS (SELECT row_id, sqrt(sum(weight * weight)) AS rn FROM e GROUP BY row_id),
+cs AS (SELECT query_id, row_id, sum(q.weight * e.weight) AS dot FROM q JOIN e USING (feature) GROUP BY ALL),
+common AS (SELECT query_id, row_id, dot / greatest(qn * rn, 1e-12) AS score FROM cs JOIN qn USING (query_id) JOIN rn USING (row_id))"""
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors, walk and features blended."""
     return _shown(_index(spark, sf_dir).ranked("hybrid_graph", 8))
@@ -171,6 +222,12 @@ def ppr_bm25_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_index(spark, sf_dir).ranked("graph_ppr_bm25_dense", 8))
 
 
+HYBRID_SQL = f"""WITH {_FEATURES}, {_walk_sql()}, {_COMMON_PART}, {_DENSE_PART},
+{_blend_sql("hybrid_graph", {"dense": "dense", "graph_ppr": "ppr", "graph_common": "common"})}, {_RANKED.format("mixed")}"""
+PPR_BM25_DENSE_SQL = f"""WITH {_FEATURES}, {_walk_sql()}, {_BM25_SCORES}, {_DENSE_PART},
+{_blend_sql("graph_ppr_bm25_dense", {"dense": "dense", "graph_ppr": "ppr", "bm25": "bs"})}, {_RANKED.format("mixed")}"""
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     return v, v.where(F.col("row_id") % 50 == 0).withColumnRenamed("row_id", "query_id")
@@ -201,7 +258,7 @@ def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NORMALIZED_SQL = f"""WITH {_BM25}, m AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM a GROUP BY query_id)
-SELECT query_id, row_id, round(CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 0 ELSE (s.score - lo) / (hi - lo) END, 6) AS score FROM s JOIN m USING (query_id)"""
+SELECT query_id, row_id, round(CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 0 ELSE (bs.score - lo) / (hi - lo) END, 6) AS score FROM bs JOIN m USING (query_id)"""
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,9 +495,13 @@ ORACLES: dict[str, str] = {
     "clean_normalize": CLEAN_SQL,
     "type_and_length": TYPE_SQL,
     "bm25_topk": BM25_SQL,
+    "bm25_mmr": MMR_SQL,
     "graph_features": FEATURES_SQL,
     "graph_rows": ROWS_SQL,
     "graph_common_topk": COMMON_SQL,
+    "graph_ppr_topk": PPR_SQL,
+    "hybrid_topk": HYBRID_SQL,
+    "ppr_bm25_dense_topk": PPR_BM25_DENSE_SQL,
     "dense_topk": DENSE_SQL,
     "normalized_scores": NORMALIZED_SQL,
     "stratified_sample": SAMPLE_SQL,
