@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
-from demosift.operators import bm25, dense, diversity, graph, induction, lexicon, metrics, model_calls, normalize, prompts, rank, sampling
+from demosift.operators import bm25, dense, diversity, graph, induction, lexicon, metrics, model_calls, normalize, prompts, rank, sampling, semantic
 from demosift.sources import sinks
 
 from .retrieval import Index
@@ -435,6 +435,27 @@ x AS (SELECT model, target_lang, strategy, k, avg(match / hyp_with_ref) FILTER (
 SELECT model, target_lang, strategy, k, round(coalesce(100 * 5 * pr * re / nullif(4 * pr + re, 0), 0), 6) AS chrf FROM x"""
 
 
+def semantic_by_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy matching of hashed token vectors, rare tokens weighing more."""
+    scored = semantic.scored(predictions(spark, sf_dir), semantic.hashed_encoder(), idf=True)
+    got = metrics.evaluate(scored, semantic=F.col("f1"), which=())
+    return got.select(*metrics.GROUP, F.round("BERTScore", SHOWN).alias("semantic"), "n")
+
+
+SEMANTIC_SQL = f"""WITH {_PREDICTIONS},
+tk AS (SELECT i, side, generate_subscripts(k, 1) AS pos, unnest(k) AS token FROM (SELECT i, side, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS k FROM (SELECT i, 0 AS side, prediction AS text FROM p UNION ALL SELECT i, 1, reference FROM p))),
+sides AS (SELECT i FROM tk GROUP BY i HAVING count(DISTINCT side) = 2),
+n AS (SELECT count(*) AS n FROM sides),
+df AS (SELECT token, count(DISTINCT i) AS df FROM tk SEMI JOIN sides USING (i) WHERE side = 1 GROUP BY token),
+vt AS (SELECT token, list_transform(range(1, 17), lambda j: instr('0123456789abcdef', substr(md5(token), j, 1)) - 8.5::DOUBLE) AS v FROM (SELECT DISTINCT token FROM tk)),
+vn AS MATERIALIZED (SELECT token, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vt),
+w AS MATERIALIZED (SELECT i, side, pos, v, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS w FROM tk SEMI JOIN sides USING (i) JOIN vn USING (token) LEFT JOIN df USING (token), n),
+c AS (SELECT a.i, a.side, a.pos, any_value(a.w) AS w, max(list_dot_product(a.v, b.v)) AS best FROM w a JOIN w b ON a.i = b.i AND a.side <> b.side GROUP BY a.i, a.side, a.pos),
+m AS (SELECT i, side, CASE WHEN sum(w) > 0 THEN sum(best * w) / sum(w) ELSE avg(best) END AS v FROM c GROUP BY i, side),
+f1 AS (SELECT x.i, CASE WHEN x.v + y.v = 0 THEN 0 ELSE 2 * x.v * y.v / (x.v + y.v) END AS f1 FROM m x JOIN m y ON x.i = y.i AND x.side = 0 AND y.side = 1)
+SELECT model, target_lang, strategy, k, round(avg(f1) * 100, 6) AS semantic, count(*) AS n FROM p LEFT JOIN f1 USING (i) GROUP BY ALL"""
+
+
 def outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = predictions(spark, sf_dir).withColumn("error", F.when(F.col("conv_id") % 5 == 0, F.lit("failed")))
     return normalize.outcome_flags(df).select("conv_id", "turn", "exact_match", "empty_prediction", "has_error", T.score_id("conv_id", "turn", "strategy").alias("score_id"))
@@ -487,7 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
         dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
-        prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
+        prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, semantic_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
     )
 }
 
@@ -513,6 +534,7 @@ ORACLES: dict[str, str] = {
     "format_and_empties": FORMAT_SQL,
     "bleu_by_experiment": BLEU_SQL,
     "chrf_by_experiment": CHRF_SQL,
+    "semantic_by_experiment": SEMANTIC_SQL,
     "outcome_flags": FLAGS_SQL,
     "resume_pending": PENDING_SQL,
     "manifest_counts": COUNTS_SQL,
