@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sessions": op13_sessions,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op13_sessions": sessions.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_suffix_dedup": suffix_dedup.ORACLE_SQL, "op13_sessions": sessions.ORACLE_SQL}

@@ -455,3 +455,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = docs.where("sha IS NOT NULL").select("id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), none.alias("spans"), "body")
     rest = _whole(rest, kind) if texts else rest.withColumnRenamed("body", "kept")
     return rest.unionByName(_finish(changed, kind, texts)).withColumnRenamed("id", id_col)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+v AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 98)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM v) WHERE nth > 1),
+c AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS cut FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before FROM s),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*) AS spans, string_agg(substr(x, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) - 1) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
