@@ -16,17 +16,17 @@ from demosift.sources.storage import stored
 THRESHOLD = 0.6
 
 
-def parse_pairs(lines: DataFrame, threshold: float = THRESHOLD, line: str = "value") -> DataFrame:
+def parse_pairs(lines: DataFrame, threshold: float = THRESHOLD, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """``source_text, target_text, score`` of lines of tab-separated pairs.
 
     Lines without a tab are split at white space; a missing or unreadable score is one; pairs below the
-    threshold and scores that are no number go.
+    threshold and scores that are no number go.  ``keep``: columns that stay, such as the lines' order.
     """
-    one = lines.select(T.strip(line).alias("line")).where("line <> ''")
+    one = lines.select(*keep, T.strip(line).alias("line")).where("line <> ''")
     tabs = F.split("line", "\t", -1)
-    parts = one.select(F.when(F.size(tabs) >= 2, tabs).otherwise(F.split("line", T.WHITE, -1)).alias("p")).where(F.size("p") >= 2)
+    parts = one.select(*keep, F.when(F.size(tabs) >= 2, tabs).otherwise(F.split("line", T.WHITE, -1)).alias("p")).where(F.size("p") >= 2)
     score = F.when(F.size("p") >= 3, F.coalesce(T.strip(F.get("p", 2)).try_cast("double"), F.lit(1.0))).otherwise(F.lit(1.0))
-    out = parts.select(T.strip(F.get("p", 0)).alias("source_text"), T.strip(F.get("p", 1)).alias("target_text"), score.alias("score"))
+    out = parts.select(*keep, T.strip(F.get("p", 0)).alias("source_text"), T.strip(F.get("p", 1)).alias("target_text"), score.alias("score"))
     return out.where((F.col("source_text") != "") & (F.col("target_text") != "") & ~F.isnan("score") & (F.col("score") >= float(threshold)))
 
 

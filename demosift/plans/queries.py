@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from demosift.functions import text as T
 from demosift.operators import bm25, dense, diversity, graph, induction, lexicon, metrics, model_calls, normalize, prompts, rank, sampling, semantic
 from demosift.sources import sinks
+from demosift.sources.storage import stored
 
 from .retrieval import Index
 
@@ -332,13 +333,12 @@ _PART_HITS = "hits AS (SELECT * FROM ex UNION ALL SELECT doc_id, pos, nth, token
 SUBSTRING_SQL = f"""WITH {_LEXICON}, {_PARTS},
 fz AS (SELECT tkey, key, row_number() OVER (PARTITION BY tkey ORDER BY length(key) DESC, key) AS nth FROM (SELECT DISTINCT tkey, key FROM oc)),
 {_PART_HITS}, {_LEXICON_END}"""
-MAXMATCH_SQL = f"""WITH RECURSIVE {_LEXICON}, {_PARTS},
-lf AS (SELECT tkey, s, max(n) AS n FROM oc GROUP BY ALL), le AS (SELECT tkey, s + n - 1 AS e, max(n) AS n FROM oc GROUP BY ALL),
+_GREEDY = """lf AS (SELECT tkey, s, max(n) AS n FROM oc GROUP BY ALL), le AS (SELECT tkey, s + n - 1 AS e, max(n) AS n FROM oc GROUP BY ALL),
 fw AS (SELECT tkey, 1::BIGINT AS p FROM un UNION ALL SELECT fw.tkey, fw.p + coalesce(lf.n, 1) FROM fw LEFT JOIN lf ON lf.tkey = fw.tkey AND lf.s = fw.p WHERE fw.p <= length(fw.tkey)),
 bw AS (SELECT tkey, length(tkey)::BIGINT AS e FROM un UNION ALL SELECT bw.tkey, bw.e - coalesce(le.n, 1) FROM bw LEFT JOIN le ON le.tkey = bw.tkey AND le.e = bw.e WHERE bw.e > 0),
 tn AS (SELECT tkey, substr(tkey, p, n) AS key, p AS o FROM fw JOIN lf USING (tkey) WHERE s = p UNION ALL SELECT tkey, substr(tkey, e - n + 1, n), 1000000 + e FROM bw JOIN le USING (tkey, e)),
-fz AS (SELECT tkey, key, row_number() OVER (PARTITION BY tkey ORDER BY o) AS nth FROM (SELECT tkey, key, min(o) AS o FROM tn GROUP BY ALL)),
-{_PART_HITS}, {_LEXICON_END}"""
+fz AS (SELECT tkey, key, row_number() OVER (PARTITION BY tkey ORDER BY o) AS nth FROM (SELECT tkey, key, min(o) AS o FROM tn GROUP BY ALL))"""
+MAXMATCH_SQL = f"WITH RECURSIVE {_LEXICON}, {_PARTS}, {_GREEDY}, {_PART_HITS}, {_LEXICON_END}"
 
 
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +358,53 @@ p AS (SELECT item_id AS query_id, E'Task: Translate the following Chagatai texts
 SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS digest, max_tokens::INT AS max_tokens, least(150, greatest(2 * max_tokens, 100))::INT AS retry_max_tokens FROM p"""
 
 
+def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary with an aligner's pairs behind it: each word of an item with the one that follows."""
+    words = _table(spark, sf_dir, "benchmark").select("item_id", T.lexicon_tokens("text").alias("w"))
+    pairs = words.where("size(w) > 1").select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("at"))
+    line = F.concat_ws("\t", F.get("w", F.col("at")), F.get("w", F.col("at") + 1), (F.col("at") % 10 / 10.0).cast("string"))
+    lines = pairs.select((F.col("item_id") * 1_000_000 + F.col("at")).alias("row_id"), line.alias("value"))
+    return lexicon.extend(_dictionary(spark, sf_dir), induction.parse_pairs(lines, keep=("row_id",)))
+
+
+def lexicon_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, first surfaces and meanings when induced pairs are added."""
+    return _extended(spark, sf_dir).select("key", "surface", F.array_join("translations", ",").alias("translations"))
+
+
+def hinted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt with three examples for every item, with hints of the extended dictionary for each and for the input."""
+    index = Index(corpus(spark, sf_dir).withColumn("type", F.lit("phrase")), asked(spark, sf_dir), "bm25")
+    shown, known = stored(index.examples("similarity", 3), "examples"), stored(_extended(spark, sf_dir), "extended")
+    # each text that is shown is looked up once
+    texts = shown.select("row_id", "source_text").dropDuplicates(["row_id"]).select(F.concat(F.lit("d"), "row_id").alias("id"), F.col("source_text").alias("text"))
+    texts = texts.unionByName(index.queries.select(F.concat(F.lit("q"), "query_id").alias("id"), "text"))
+    entries = stored(lexicon.lookup(texts, known, "id", "text"), "entries")
+    of = lambda kind, name: entries.where(F.col("id").startswith(kind)).select(F.expr("substring(id, 2)").cast("long").alias(name), "entries")
+    lists = prompts.examples_of(shown.join(of("d", "row_id"), "row_id"), hinted=True)
+    found = index.queries.join(lists, "query_id").join(of("q", "query_id"), "query_id")
+    text = prompts.prompt(F.col("examples"), F.col("text"), F.lit("chg"), F.lit("en"), "dipmt_plus", F.col("entries"))
+    return found.select("query_id", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
+_INDUCED = r"""
+iw AS (SELECT item_id, k, unnest(range(1, len(k))) AS j FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}ʿʾ''’-]+') AS k FROM benchmark)),
+c AS (SELECT key, word, target, o FROM c0 UNION ALL SELECT replace(lower(k[j]), 'ß', 'ss'), k[j], k[j + 1], 1000000000000000 + item_id * 1000000 + j FROM iw WHERE (j - 1) % 10 / 10.0::DOUBLE >= 0.6),
+m AS"""
+_EXTENDED = _LEXICON.replace("\nc AS (", "\nc0 AS (").replace("\nm AS", _INDUCED)
+EXTENDED_SQL = TERMS_SQL.replace(_LEXICON, _EXTENDED)
+_SHOWN_TEXTS = "FROM (SELECT doc_id, text FROM (SELECT DISTINCT row_id FROM r WHERE rank <= 3) JOIN documents ON doc_id = row_id UNION ALL SELECT -1 - item_id, text FROM benchmark)"
+_HINT = """CASE WHEN match = 'fuzzy' AND token <> surface THEN '- "' || token || '" may contain dictionary word "' || surface || '", which means ' ELSE '- "' || surface || '" means ' END || '"' || array_to_string(translations[:2], '" or "') || '".' || chr(10)"""
+_HINTS_END = _LEXICON_END[: _LEXICON_END.index("\nSELECT d.doc_id")].replace(_LEXICON_END[_LEXICON_END.index("token || '|'") : _LEXICON_END.index("), pos * 100000")], _HINT).replace("\nn AS (", "\nhl AS (")
+HINTED_SQL = f"""WITH RECURSIVE {_BM25}, {_EXTENDED.replace("FROM documents)", _SHOWN_TEXTS + ")")}, {_PARTS}, {_GREEDY}, {_PART_HITS}, {_HINTS_END},
+hint AS (SELECT doc_id, 'Vocabulary hints:' || chr(10) || array_to_string(lines, '') AS hint FROM hl),
+x AS (SELECT query_id, string_agg('Example ' || rank || E':\\nChagatai: ' || trim(text, E' \\t\\r\\n') || E'\\n' || coalesce(hint, E'Vocabulary hints: no matching dictionary entries found.\\n') || 'English: ' || source || E'\\n\\n', '' ORDER BY rank) AS shown
+  FROM r JOIN documents d ON row_id = d.doc_id LEFT JOIN hint h ON h.doc_id = d.doc_id WHERE rank <= 3 GROUP BY query_id),
+p AS (SELECT item_id AS query_id, E'Task: Translate the following Chagatai texts to English.\\nUse the vocabulary hints and the examples as in-context guidance.\\nOutput only the translation. Do not explain anything.\\n\\n' || shown || E'Now translate:\\nChagatai: ' || text || E'\\n' || coalesce(hint, E'Vocabulary hints: no matching dictionary entries found.\\n') || 'English:' AS prompt
+  FROM benchmark JOIN x ON query_id = item_id LEFT JOIN hint ON hint.doc_id = -1 - item_id)
+SELECT query_id, length(prompt)::INT AS n_chars, md5(prompt) AS digest FROM p"""
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of a user as a prediction of the turn that follows."""
     c = _table(spark, sf_dir, "conversations")
@@ -507,7 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         clean_normalize, type_and_length, bm25_topk, bm25_mmr, graph_features, graph_rows, graph_common_topk, graph_ppr_topk, hybrid_topk, ppr_bm25_dense_topk,
-        dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch,
+        dense_topk, dense_kmeans_diversity, normalized_scores, stratified_sample, random_examples, lexicon_terms, lexicon_exact, lexicon_substring, lexicon_maxmatch, lexicon_extended, hinted_prompts,
         prompt_render, format_and_empties, bleu_by_experiment, chrf_by_experiment, semantic_by_experiment, outcome_flags, resume_pending, manifest_counts, data_fingerprint, induced_pairs,
     )
 }
@@ -530,6 +577,8 @@ ORACLES: dict[str, str] = {
     "lexicon_exact": EXACT_SQL,
     "lexicon_substring": SUBSTRING_SQL,
     "lexicon_maxmatch": MAXMATCH_SQL,
+    "lexicon_extended": EXTENDED_SQL,
+    "hinted_prompts": HINTED_SQL,
     "prompt_render": PROMPT_SQL,
     "format_and_empties": FORMAT_SQL,
     "bleu_by_experiment": BLEU_SQL,
