@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--data_dir", required=True)
     run.add_argument("--output_dir", required=True)
     run.add_argument("--base_url", required=True)
+    run.add_argument("--vectors", help="a Parquet table text, embedding of the corpus' and the test rows' source texts")
     run.add_argument("--keys", default="", help="keys of the server, between commas")
     _options(run)
     evaluate = commands.add_parser("evaluate", help="metrics of a CSV file of predictions")
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
     s = settings(args)
     train, test = (tables.read_split(spark, args.data_dir, split, s.na_values) for split in ("train", "test"))
     base, keys = args.base_url, parse_keys(args.keys)
-    out = experiment.run(spark, train, test, s, args.output_dir, lambda: model_calls.http_pool(base, keys))
+    out = experiment.run(spark, train, test, s, args.output_dir, lambda: model_calls.http_pool(base, keys), experiment.text_vectors(spark.read.parquet(args.vectors)) if args.vectors else None)
     print(json.dumps([r.asDict() for r in out["summary"].collect()], ensure_ascii=False))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
@@ -17,6 +17,8 @@ from .retrieval import BACKENDS, GRAPH_STRATEGIES, PROMPT_MODES, STRATEGIES, Ind
 
 #: States of a run that did not end, and what a restart makes of them.
 UNFINISHED, INTERRUPTED = ("queued", "running", "evaluating"), "interrupted"
+#: When a result was written.
+WRITTEN = "written_at"
 #: Strategies that rank by no score.
 UNRANKED = ("zero", "static", "random")
 #: Least and largest value of numbers, and of the numbers in a list.
@@ -185,8 +187,9 @@ def work_items(index: Index, test: DataFrame, lex: DataFrame | None, s: Settings
 def run(spark: SparkSession, train: DataFrame, test: DataFrame, s: Settings, folder: str, make_client: Callable[[], Any], vectors: Callable[[DataFrame, bool], DataFrame] | None = None) -> dict:
     """Runs what is pending and evaluates; tables and small files lie below ``folder``.
 
-    ``vectors``: makes ``id, embedding`` of a corpus (second argument: as queries).  Results are stored block
-    by block, and a run that resumes leaves out keys that have a result.
+    ``vectors``: makes ``row_id, embedding`` of a corpus (second argument: as queries).  A block is one k and
+    strategy: its results are stored and the status file counts them before the next one begins, and a run
+    that resumes leaves out keys that have a result.  The run has finished once the summary is written.
     """
     s.validate()
     lex = make_lexicon(spark, train, s, folder)
@@ -208,20 +211,44 @@ def run(spark: SparkSession, train: DataFrame, test: DataFrame, s: Settings, fol
     done = _existing(spark, at)
     if done is not None:
         work = model_calls.pending(work, done)
-    found = model_calls.map_calls(work, make_client, s.workers, max_retries=s.api_retries, delay=s.retry_delay, empty_retries=s.empty_retries)
     constants = {"source_lang": s.source_lang, "target_lang": s.target_lang, "retrieval_backend": s.retrieval_backend, "prompt_mode": s.prompt_mode, "embedding_model": s.embedding_model, "model": s.model, "temperature": s.temperature}
-    found = found.withColumns({n: F.lit(v) for n, v in constants.items()})
-    sinks.append_records(found, at)
+    blocks = [(k, strategy) for k in s.k_list for strategy in s.strategies]
+    for n, (k, strategy) in enumerate(blocks):
+        # the other blocks' branches of the plan fall away with the filter
+        block = work.where((F.col("k") == k) & (F.col("strategy") == strategy))
+        found = model_calls.map_calls(block, make_client, s.workers, max_retries=s.api_retries, delay=s.retry_delay, empty_retries=s.empty_retries)
+        found = found.withColumns({**{c: F.lit(v) for c, v in constants.items()}, WRITTEN: F.current_timestamp()})
+        sinks.append_records(found, at)
+        sinks.write_status(paths["status"], status="running", blocks=len(blocks), blocks_done=n + 1, k=k, strategy=strategy, **_counts(spark, at))
     predictions = latest(spark.read.parquet(at))
     if s.save_prompts:
         for name, df in records(predictions).items():
             df.write.mode("overwrite").json(paths[name].removesuffix(".jsonl"))
-    sinks.write_status(paths["status"], status="evaluating", **predictions.transform(model_calls.run_counts).first().asDict())
+    counts = _counts(spark, at)
+    sinks.write_status(paths["status"], status="evaluating", **counts)
     summary = metrics.evaluate(predictions)
-    sinks.write_status(paths["status"], status="finished", **predictions.transform(model_calls.run_counts).first().asDict())
+    sinks.write_summary(summary, paths["summary"])
+    # finished once the summary is there
+    sinks.write_status(paths["status"], status="finished", **counts)
     return {"predictions": predictions, "summary": summary, "paths": paths}
 
 
+def _counts(spark: SparkSession, path: str) -> dict:
+    return latest(spark.read.parquet(path)).transform(model_calls.run_counts).first().asDict()
+
+
+def text_vectors(table: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
+    """Vectors of a corpus' rows out of a table ``text, embedding``; a text without one is an error."""
+
+    def of(df: DataFrame, asked: bool) -> DataFrame:
+        known = table.select(F.col("text").alias("source_text"), "embedding").dropDuplicates(["source_text"])
+        found = df.select("row_id", "source_text").join(known, "source_text", "left")
+        missing = F.raise_error(F.concat(F.lit("no vector of the text: "), F.left("source_text", F.lit(80))))
+        return found.select("row_id", F.coalesce("embedding", missing.cast("array<float>")).alias("embedding"))
+
+    return of
+
+
 def records(predictions: DataFrame) -> dict[str, DataFrame]:
     """What a run keeps beside its predictions: prompts, requests with their outcome, retrieved examples."""
     common = [c for c in ("test_index", "id", "source_text", "reference", "source_lang", "target_lang", "type", "strategy", "k", "retrieval_backend", "prompt_mode", "embedding_model") if c in predictions.columns]
@@ -248,8 +275,11 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def latest(predictions: DataFrame) -> DataFrame:
-    """One row for each key: retried tasks may have written it twice, alike but for the model's whims."""
-    return predictions.dropDuplicates(list(model_calls.KEY))
+    """One row for each key, the last one written: retried tasks and resumed runs can write a key again."""
+    if WRITTEN not in predictions.columns:
+        return predictions.dropDuplicates(list(model_calls.KEY))
+    last = Window.partitionBy(*model_calls.KEY).orderBy(F.desc(WRITTEN), "prediction", "error")
+    return predictions.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
 
 
 def registered(runs: DataFrame) -> DataFrame:

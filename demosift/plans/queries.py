@@ -532,10 +532,18 @@ COUNTS_SQL = "SELECT 'source_lang' AS \"column\", lang AS value, count(*) AS cou
 
 def data_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = corpus(spark, sf_dir).withColumn("type", F.lit("phrase"))
-    return spark.range(1).select(F.lit(sinks.plain_fingerprint(df)).alias("fingerprint"))
+    return spark.range(1).select(F.lit(sinks.fingerprint(df)).alias("fingerprint"))
 
 
-FINGERPRINT_SQL = r"""SELECT left(sha256(count(*)::VARCHAR || string_agg(text || chr(0) || source || chr(0) || 'en' || chr(0) || 'phrase' || chr(0) || chr(10), '' ORDER BY doc_id)), 16) AS fingerprint FROM documents"""
+def _tree_sql(levels: int = 6) -> str:
+    """Digests of rows, of ranges of ids, of ranges of these, up to the level that has one."""
+    parts = ["l0 AS (SELECT doc_id AS at_id, sha256(text || chr(0) || source || chr(0) || 'en' || chr(0) || 'phrase' || chr(0) || chr(10)) AS h FROM documents)"]
+    parts += [f"l{i} AS (SELECT at_id >> {sinks.TREE_BITS} AS at_id, sha256(string_agg(at_id || ':' || h, ',' ORDER BY at_id)) AS h FROM l{i - 1} GROUP BY at_id >> {sinks.TREE_BITS})" for i in range(1, levels)]
+    tops = " UNION ALL ".join(f"SELECT {i} AS n, h FROM l{i} WHERE (SELECT count(*) FROM l{i}) = 1" for i in range(levels))
+    return f"WITH {', '.join(parts)} SELECT left(h, 16) AS fingerprint FROM ({tops}) ORDER BY n LIMIT 1"
+
+
+FINGERPRINT_SQL = _tree_sql()
 
 
 def induced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

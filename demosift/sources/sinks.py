@@ -16,7 +16,7 @@ from demosift.functions import text as T
 FINGERPRINTED = ("source_text", "target_text", "target_lang", "type")
 #: Row ids of a range that is hashed at a time, as a power of two.
 TREE_BITS = 12
-OUTPUTS = {"predictions": "csv", "prompts": "jsonl", "requests": "jsonl", "retrieved_examples": "jsonl", "manifest": "json", "status": "json"}
+OUTPUTS = {"predictions": "csv", "prompts": "jsonl", "requests": "jsonl", "retrieved_examples": "jsonl", "manifest": "json", "status": "json", "summary": "csv"}
 
 
 def append_records(df: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -114,11 +114,51 @@ def test_whole_run_and_resume(spark, tmp_path, mode):
         assert '"tuzdur" may contain dictionary word "tuz", which means "salt"' in hinted.prompt
     status = json.loads(open(out["paths"]["status"]).read())
     assert status["status"] == "finished" and status["completed"] == 8 and status["errors"] == 0
+    assert status["status"] == "finished" and open(out["paths"]["summary"], encoding="utf-8-sig").read().startswith("model,target_lang,strategy,k,BLEU")
     s.resume, s.strategies = True, ["zero", "random", "similarity", "diversity"]
     again = experiment.run(spark, train, test, s, str(tmp_path), Echo)
     assert again["predictions"].count() == 8
 
 
+def test_finished_blocks_are_kept_and_counted(spark, tmp_path, monkeypatch):
+    schema = "row_id long, source_text string, target_text string, source_lang string, target_lang string, type string"
+    train = spark.createDataFrame([(i, f"s{i} x", f"t{i}", "chg", "en", "phrase") for i in range(4)], schema)
+    test = spark.createDataFrame([(i, f"s{i} x", f"t{i}", "chg", "en", "phrase") for i in range(2)], schema)
+    s = experiment.Settings(strategies=["random", "similarity"], k_list=[1, 2], retry_delay=0)
+    seen, written = [], experiment.sinks.write_status
+    append = experiment.sinks.append_records
+    monkeypatch.setattr(experiment.sinks, "write_status", lambda path, **u: (seen.append(u), written(path, **u))[1])
+
+    def stopped(df, path, *kind):
+        if len([u for u in seen if "blocks_done" in u]) == 2:
+            raise RuntimeError("power cut")
+        append(df, path, *kind)
+
+    monkeypatch.setattr(experiment.sinks, "append_records", stopped)
+    with pytest.raises(RuntimeError, match="power cut"):
+        experiment.run(spark, train, test, s, str(tmp_path), Echo)
+    assert [(u["blocks_done"], u["completed"]) for u in seen if "blocks_done" in u] == [(1, 2), (2, 4)]
+    assert not any(u["status"] == "finished" for u in seen)
+    monkeypatch.setattr(experiment.sinks, "append_records", append)
+    s.resume = True
+    out = experiment.run(spark, train, test, s, str(tmp_path), Echo)
+    assert out["predictions"].count() == 8 and spark.read.parquet(out["paths"]["predictions"].removesuffix(".csv")).count() == 8
+
+
+def test_the_last_write_of_a_key_counts(spark):
+    rows = [("random", 1, 0, "old", "", 1), ("random", 1, 0, "new", "", 2), ("zero", 0, 0, "one", "", 1)]
+    df = spark.createDataFrame(rows, "strategy string, k int, test_index int, prediction string, error string, written_at int")
+    assert sorted(r.prediction for r in experiment.latest(df).collect()) == ["new", "one"]
+
+
+def test_vectors_of_texts(spark):
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "text string, embedding array<float>")
+    df = spark.createDataFrame([(0, "b"), (1, "a")], "row_id long, source_text string")
+    assert {r.row_id: list(r.embedding) for r in experiment.text_vectors(table)(df, False).collect()} == {0: [0.0, 1.0], 1: [1.0, 0.0]}
+    with pytest.raises(Exception, match="no vector of the text"):
+        experiment.text_vectors(table)(spark.createDataFrame([(0, "z")], "row_id long, source_text string"), True).collect()
+
+
 def test_failed_calls_are_recorded(spark, tmp_path):
     class Broken:
         def create(self, **request):
