@@ -105,3 +105,11 @@ def test_all_spans_match_brute_force(spark, documents):
     got = {r.doc_id: r.spans for r in secrets.scan(documents(cases)).collect()}
     assert got == {i: every_span(t) for i, t in enumerate(cases)}
     assert sum("ident" in s for s in got.values()) > 20 and sum("endpoint" in s for s in got.values()) > 20
+
+
+def test_long_identifiers_are_spans_to_their_end(spark, documents):
+    name = "client_id:" + "q" * 100
+    docs = documents([f"{name} password=hunter22x"])
+    spans = [x.split(":") for x in secrets.scan(docs).first().spans.split(",")]
+    assert ["ident", "0", str(len(name))] in spans
+    assert "qqq" not in secrets.redact(docs).first().text
