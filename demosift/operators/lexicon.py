@@ -1,8 +1,10 @@
 """Dictionaries: building, extending, exact and fuzzy lookup.
 
-A lexicon is a table ``key, surface, translations``.  Lookups are joins.  The parts of a token that is no key are
-found once for each distinct one, by an automaton over the lexicon's keys if these have few enough bytes to be sent
-out, and otherwise by a join of its pieces, no longer than the longest key; both fuzzy modes follow from the parts.
+A lexicon is a table ``key, surface, translations``, of one row for each key.  One that has few enough bytes to be
+sent out is looked up where the texts are, so that no token crosses: parts of a token that is no key are found by an
+automaton over the keys.  With larger ones lookups are joins: each distinct unknown token meets the keys by its pieces,
+no longer than the longest key, and a row's hits get their translations when they are cut to those that are shown.
+Both fuzzy modes follow from the parts.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demosift.functions import text as T
@@ -21,8 +24,11 @@ from .automaton import Automaton, greedy
 from .normalize import word_pairs
 
 TOP_N, MAX_ENTRIES, MIN_CHARS = 2, 80, 3
-#: Bytes of keys whose automaton is sent to every task, at most; a byte makes a node of 21 bytes at most.
-KEY_BYTES = 4_000_000
+#: Bytes of keys whose automaton is sent to every task, at most; a byte makes a node of 21 bytes at most.  Surfaces and
+#: shown translations that are sent with them have ``WITH_KEYS`` times as many at most.
+KEY_BYTES, WITH_KEYS = 4_000_000, 4
+#: Tokens whose rows are looked up at a time.
+AT_ONCE = 1 << 18
 #: Tokens, and characters of them, that are matched at a time.
 TOKENS, CHARACTERS = 4096, 1 << 18
 #: Characters of a block of a token whose pieces are joined.
@@ -55,12 +61,6 @@ def stats(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(F.count("*").alias("source_terms"), F.coalesce(F.sum(F.size("translations")), F.lit(0)).cast("long").alias("translation_entries"))
 
 
-def _token_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, at, token, key`` of every token with a key."""
-    pairs = F.posexplode(F.arrays_zip("tokens", "keys")).alias("at", "t")
-    return _tokens_and_keys(df, id_col, text).select("id", pairs).select("id", "at", F.col("t.tokens").alias("token"), F.col("t.keys").alias("key")).where("key <> ''")
-
-
 def _tokens_and_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, tokens, keys``.
 
@@ -72,35 +72,101 @@ def _tokens_and_keys(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.select("id", "tokens", F.when(F.size("tokens") > 0, keys).otherwise(F.array().cast("array<string>")).alias("keys"))
 
 
-def _collected(hits: DataFrame, df: DataFrame, id_col: str, top_n: int, max_entries: int) -> DataFrame:
-    """Hits ``id, at, nth, token, key, surface, translations, match`` as an ordered list for every row of ``df``."""
-    first = hits.groupBy("id", "key").agg(F.min(F.struct("at", "nth", "token", "surface", "translations", "match")).alias("h"))
-    lists = first.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("all"))
-    one = lambda h: F.struct(h["token"].alias("query"), h["surface"].alias("source"), F.slice(h["translations"], 1, top_n).alias("translations"), h["match"].alias("match"))
-    lists = lists.select("id", F.transform(F.slice("all", 1, max_entries), one).alias("entries"))
+def _first_tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, at, token, key``: of each key in a row the first token that has it."""
+    rows = _tokens_and_keys(df, id_col, text)
+    all_ = F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"), F.get("tokens", i).alias("token")))
+    rows = rows.select("id", F.array_sort(F.filter(all_, lambda t: t["key"] != "")).alias("t"))
+    first = F.filter("t", lambda t, i: (i == 0) | (t["key"] != F.coalesce(F.get("t", i - 1)["key"], F.lit(""))))
+    return rows.select("id", F.explode(first).alias("t")).select("id", "t.at", "t.token", "t.key")
+
+
+def _collected(hits: DataFrame, lexicon: DataFrame, df: DataFrame, id_col: str, top_n: int, max_entries: int) -> DataFrame:
+    """Hits ``id, at, nth, token, key, match`` as an ordered list for every row of ``df``."""
+    by_key = Window.partitionBy("id", "key").orderBy("at", "nth")
+    first = hits.withColumn("n", F.row_number().over(by_key)).where("n = 1")
+    shown = first.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at", "nth"))).where(F.col("n") <= max_entries)
+    shown = shown.join(lexicon.select("key", "surface", F.slice("translations", 1, top_n).alias("translations")), "key")
+    one = F.struct("n", F.struct(F.col("token").alias("query"), F.col("surface").alias("source"), "translations", "match").alias("e"))
+    lists = shown.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("all")).select("id", F.col("all.e").alias("entries"))
     rows = df.select(F.col(id_col).alias("id")).join(lists, "id", "left")
     return rows.select(F.col("id").alias(id_col), F.coalesce("entries", F.array().cast(f"array<{HIT}>")).alias("entries"))
 
 
-def _matched(tokens: DataFrame, automaton: Automaton) -> DataFrame:
-    """``whole, starts, sizes`` of keys inside each token (column ``whole``)."""
-    shared = tokens.sparkSession.sparkContext.broadcast(automaton)
+def _inside(automaton: Automaton, tokens: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Each token with starts and sizes of the keys inside; a bounded number of characters is matched at a time."""
+    at = 0
+    while at < len(tokens):
+        part, n = [], 0
+        while at < len(tokens) and len(part) < TOKENS and (not part or n + len(tokens[at]) <= CHARACTERS):
+            part.append(tokens[at])
+            n += len(tokens[at])
+            at += 1
+        own, starts, sizes = automaton.matches(part)
+        stops = [0, *own.searchsorted(range(len(part)), side="right").tolist()]
+        for token, a, b in zip(part, stops, stops[1:], strict=False):
+            yield token, starts[a:b].tolist(), sizes[a:b].tolist()
+
+
+def _keys_inside(token: str, starts: list[int], sizes: list[int], mode: str) -> list[str]:
+    """The parts that a mode takes, each once, in its order."""
+    if mode == "greedy":
+        return list(dict.fromkeys(token[a : a + n] for a, n in greedy(starts, sizes, len(token))))
+    return sorted({token[a : a + n] for a, n in zip(starts, sizes, strict=True)}, key=lambda k: (-len(k), k))
+
+
+def _sent(df: DataFrame, known: pa.Table, id_col: str, text: str, mode: str | None, max_entries: int, min_chars: int) -> DataFrame:
+    """The lookup where the texts are: ``known`` (key, surface, translations) goes to every task."""
+    names = known.column("key").to_pylist()
+    automaton = Automaton.of([k for k in names if len(k) >= min_chars]) if mode else None
+    shared = df.sparkSession.sparkContext.broadcast((automaton, known.combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, known = shared.value
+        place = {k: i for i, k in enumerate(known.column("key").to_pylist())}
+        surfaces, meanings = (known.column(c).combine_chunks() for c in ("surface", "translations"))
         for batch in batches:
-            texts, at = batch.column(0).to_pylist(), 0
-            while at < len(texts):
-                part, n = [], 0
-                while at < len(texts) and len(part) < TOKENS and (not part or n + len(texts[at]) <= CHARACTERS):
-                    part.append(texts[at])
-                    n += len(texts[at])
-                    at += 1
-                own, starts, sizes = shared.value.matches(part)
-                stops = pa.array([0, *own.searchsorted(range(len(part)), side="right").tolist()], pa.int32())
-                lists = [pa.ListArray.from_arrays(stops, pa.array(x, pa.int32())) for x in (starts, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *lists], ["whole", "starts", "sizes"])
-
-    return tokens.select("whole").mapInArrow(run, "whole string, starts array<int>, sizes array<int>").where(F.size("starts") > 0)
+            at, ends = 0, pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            while at < batch.num_rows:
+                n = max(1, int(ends.searchsorted((ends[at - 1] if at else 0) + AT_ONCE, side="right")) - at)
+                part = batch.slice(at, n)
+                at += n
+                tokens, keys = part.column(1).flatten(), part.column(2).flatten().dictionary_encode()
+                # what each distinct key of these rows leads to: itself, or parts of it
+                distinct = keys.dictionary.to_pylist()
+                leads = [[place[k]] if k in place else [] for k in distinct]
+                if mode:
+                    number = {k: i for i, k in enumerate(distinct) if k not in place and len(k) >= min_chars}
+                    for token, starts, sizes in _inside(automaton, list(number)):
+                        if starts:
+                            leads[number[token]] = [place[k] for k in _keys_inside(token, starts, sizes, mode)]
+                exact = [k in place for k in distinct]
+                codes, stops = keys.indices.to_numpy(), [0]
+                hit, entry, kind = [], [], []
+                first = 0
+                for size in pc.fill_null(pc.list_value_length(part.column(1)), 0).to_pylist():
+                    seen, looked = set(), set()
+                    for i, code in enumerate(codes[first : first + size].tolist(), first):
+                        if code in looked:
+                            continue
+                        looked.add(code)
+                        for key in leads[code]:
+                            if key not in seen and len(seen) < max_entries:
+                                seen.add(key)
+                                hit.append(i)
+                                entry.append(key)
+                                kind.append("exact" if exact[code] else "fuzzy")
+                        if len(seen) >= max_entries:
+                            break
+                    first += size
+                    stops.append(len(hit))
+                hits, places = pa.array(hit, pa.int64()), pa.array(entry, pa.int64())
+                columns = [tokens.take(hits), surfaces.take(places), meanings.take(places), pa.array(kind, pa.string())]
+                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays(columns, ["query", "source", "translations", "match"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "entries"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return _tokens_and_keys(df, id_col, text).mapInArrow(run, f"id {kind}, entries array<{HIT}>").withColumnRenamed("id", id_col)
 
 
 def _joined(tokens: DataFrame, keys: DataFrame) -> DataFrame:
@@ -133,16 +199,12 @@ def _taken(parts: DataFrame) -> DataFrame:
     return parts.select("whole", "starts", "sizes").mapInArrow(run, "whole string, starts array<int>, sizes array<int>")
 
 
-def parts_of(tokens: DataFrame, lexicon: DataFrame, mode: str, min_chars: int = MIN_CHARS, key_bytes: int = KEY_BYTES) -> DataFrame:
+def parts_of(tokens: DataFrame, lexicon: DataFrame, mode: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """``whole, nth, key`` of distinct tokens (column ``whole``): the keys inside, each once.
 
     ``mode``: ``substring``, all keys, the longest first, or ``greedy``, those that greedy matching takes in order.
     """
-    keys = stored(lexicon.where(F.length("key") >= min_chars).select("key"), "long-keys")
-    if (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) <= key_bytes:
-        found = _matched(tokens, Automaton.of([r.key for r in keys.toLocalIterator()]))
-    else:
-        found = _joined(tokens, keys)
+    found = _joined(tokens, stored(lexicon.where(F.length("key") >= min_chars).select("key"), "long-keys"))
     if mode == "greedy":
         found = _taken(found)
     key = F.transform(F.arrays_zip("starts", "sizes"), lambda p: F.substring("whole", p["starts"] + 1, p["sizes"]))
@@ -156,21 +218,26 @@ def lookup(df: DataFrame, lexicon: DataFrame, id_col: str, text: str, fuzzy: str
     """``id, entries``: exact matches and, in tokens that match none, parts that do.
 
     ``fuzzy``: None, ``substring``, or anything else for greedy matching.  Entries without translations match as well.
+    Ids name one row each.
     """
     top_n, max_entries, min_chars = max(1, top_n), max(1, max_entries), max(1, min_chars)
-    tokens = stored(_token_keys(df, id_col, text), "tokens") if fuzzy else _token_keys(df, id_col, text)
-    exact = tokens.join(lexicon, "key").select("id", "at", F.lit(0).alias("nth"), "token", "key", "surface", "translations", F.lit("exact").alias("match"))
-    if fuzzy is None:
-        return _collected(exact, df, id_col, top_n, max_entries)
-    mode = "substring" if fuzzy.strip().lower() == "substring" else "greedy"
-    # each distinct unknown key is cut once, however many tokens have it
-    unknown = tokens.select("key").distinct().join(lexicon, "key", "left_anti").where(F.length("key") >= min_chars)
-    parts = parts_of(unknown.select(F.col("key").alias("whole")), lexicon, mode, min_chars, key_bytes).join(lexicon, "key")
-    part = F.struct("nth", "key", "surface", F.slice("translations", 1, top_n).alias("translations"))
-    lists = parts.groupBy("whole").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    fuzzy = tokens.select("id", "at", "token", F.col("key").alias("whole")).join(lists, "whole").select("id", "at", "token", F.explode("parts").alias("part"))
-    fuzzy = fuzzy.select("id", "at", "part.nth", "token", "part.key", "part.surface", "part.translations", F.lit("fuzzy").alias("match"))
-    return _collected(exact.unionByName(fuzzy), df, id_col, top_n, max_entries)
+    mode = None if fuzzy is None else "substring" if fuzzy.strip().lower() == "substring" else "greedy"
+    known = stored(lexicon.select("key", "surface", F.slice("translations", 1, top_n).alias("translations")), "lexicon")
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    sizes = known.agg(size(F.col("key")).alias("keys"), (size(F.col("surface")) + size(F.array_join("translations", ","))).alias("rest")).first()
+    if sizes.keys <= key_bytes and sizes.rest <= WITH_KEYS * key_bytes:
+        return _sent(df, known.toArrow(), id_col, text, mode, max_entries, min_chars)
+    tokens = _first_tokens(df, id_col, text)
+    if mode:
+        tokens = stored(tokens, "tokens")
+    hits = tokens.join(known.select("key"), "key").select("id", "at", F.lit(0).alias("nth"), "token", "key", F.lit("exact").alias("match"))
+    if mode:
+        # each distinct unknown key is cut once, however many tokens have it
+        unknown = tokens.select("key").distinct().join(known.select("key"), "key", "left_anti").where(F.length("key") >= min_chars)
+        parts = stored(parts_of(unknown.select(F.col("key").alias("whole")), known, mode, min_chars), "parts")
+        inside = tokens.select("id", "at", "token", F.col("key").alias("whole")).join(parts, "whole")
+        hits = hits.unionByName(inside.select("id", "at", "nth", "token", "key", F.lit("fuzzy").alias("match")))
+    return _collected(hits, known, df, id_col, top_n, max_entries)
 
 
 def entry_column(entries: Column) -> Column:

@@ -63,3 +63,22 @@ def test_a_token_of_a_hundred_thousand_letters(spark, known, key_bytes):
     for fuzzy, want in (("substring", ["abcd", "bcde", "cdef", "abc", "efg", "tuz", "dur"]), ("max_matching", ["tuz", "abcd", "efg", "abc", "dur"])):
         found = lexicon.lookup(df, known, "id", "text", fuzzy, key_bytes=key_bytes).first().entries
         assert [e.source for e in found][:3] == want[:3] and {e.source for e in found} >= {"tuz", "efg", "dur"}
+
+
+@pytest.mark.parametrize("fuzzy", [None, "substring", "max_matching"])
+def test_nothing_crosses_for_a_lexicon_that_is_sent(spark, known, fuzzy):
+    df = spark.createDataFrame([(1, "tuzdur abcdefg qq tuz")], "id long, text string")
+    found = lexicon.lookup(df, known, "id", "text", fuzzy)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("fuzzy", [None, "substring", "max_matching"])
+def test_limits_are_the_same_without_sending_keys(spark, known, fuzzy, monkeypatch):
+    monkeypatch.setattr(lexicon, "AT_ONCE", 5)
+    r = random.Random(3)
+    texts = [" ".join(r.choice([*WORDS, "".join(r.choices(WORDS, k=2)), "zz", "Abc", "?"]) for _ in range(r.randrange(12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for o in ({"max_entries": 3, "top_n": 1}, {"min_chars": 4}, {}):
+        shown = [sorted((x.id, str(x.entries)) for x in lexicon.lookup(df, known, "id", "text", fuzzy, key_bytes=b, **o).collect()) for b in (lexicon.KEY_BYTES, 0)]
+        assert shown[0] == shown[1] and len(shown[0]) == 60
