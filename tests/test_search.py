@@ -68,3 +68,13 @@ def test_cosine_of_features(spark):
     index = Index(queries.typed(queries.corpus(spark, DATA)), queries.asked(spark, DATA), "graph")
     want = rank.top_k(rank.complete(index.common_scores, index.queries, index.corpus, 8), 8)
     assert ranked(index.ranked("graph_common", 8)) == ranked(want)
+
+
+def test_equal_sums_tie_in_any_order(spark):
+    r = random.Random(5)
+    weights = [r.random() for _ in range(10)]
+    rows = [(row, f"t{i}", w) for row in range(50) for i, w in enumerate(r.sample(weights, 10))]
+    index = search.Index.of(spark.createDataFrame(rows, "row_id long, term string, weight double"))
+    asked = spark.createDataFrame([(1, f"t{i}", 1.0) for i in range(10)], "query_id long, term string, weight double")
+    assert search.matched(index, asked).select("score").distinct().count() == 1
+    assert search.best(index, asked, 5).select("score").distinct().count() == 1
