@@ -122,3 +122,11 @@ def test_unranked_strategies(spark, train, asked):
     assert [r.row_id for r in index.retrieve("static", 2).orderBy("rank").collect()] == [0, 1]
     assert index.retrieve("random", 5).count() == 3
     assert index.examples("similarity", 2).count() == 2 and index.examples("diversity", 2).count() == 2
+
+
+def test_counting_features_stores_no_edges(spark, monkeypatch):
+    texts = ["a b a b", "abcd abcd x", None, "", "abcd"]
+    rows = spark.createDataFrame([(i, t, "word") for i, t in enumerate(texts)], "row_id long, source_text string, type string")
+    want = sorted(map(tuple, graph.build(rows)[1].collect()))
+    monkeypatch.setattr(graph, "stored", lambda *_: 1 / 0)
+    assert sorted(map(tuple, graph.feature_counts(rows).collect())) == want
