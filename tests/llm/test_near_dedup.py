@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 from demosift.llm import near_dedup
 
 
@@ -94,3 +96,31 @@ def test_edge_cases(spark, documents):
     assert kept(documents(rows).limit(0)) == []
     extra = documents(rows).selectExpr("*", "1 AS id", "2 AS g", "3 AS n", "4 AS s")
     assert kept(extra.where("doc_id IS NOT NULL")) == [1, 3, 5] and near_dedup.near_dedup(extra).columns == extra.columns
+
+
+def test_no_link_is_lost_behind_earlier_candidates(spark, documents):
+    """Texts that lie near in bits but are not alike come first, and each later copy is alike to one text alone."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(7))
+    base = [word() for _ in range(200)]
+
+    def edited(n):
+        copy = list(base)
+        for at in range(r.randrange(20), 200, 200 // n):
+            copy[at] = word()
+        return " ".join(copy)
+
+    texts = [edited(8) for _ in range(40)] + [" ".join(base)] + [edited(4) for _ in range(40)]
+    near = brute_near(dict(enumerate(texts)))
+    assert kept(documents(texts)) == sorted(set(near.values())) == list(range(41))
+
+
+def test_bits_of_a_table_never_hide_a_link():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**32, 300, np.uint32))
+        b = np.unique(np.concatenate([a[: r.integers(200, 301)], r.integers(0, 2**32, r.integers(0, 60), np.uint32)]))
+        alike = near_dedup.likeness(0, a.tobytes(), 0, b.tobytes()) >= 0.8
+        tables = np.frombuffer(near_dedup.occupied(a.tobytes()) + near_dedup.occupied(b.tobytes()), np.uint64).reshape(2, -1)
+        found = list(near_dedup.near_apart(np.zeros(2, np.uint64), np.arange(2), 20, np.array([len(a), len(b)]), np.zeros(2, np.int64), tables, 0.8))
+        assert found or not alike
