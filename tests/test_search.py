@@ -78,3 +78,18 @@ def test_equal_sums_tie_in_any_order(spark):
     asked = spark.createDataFrame([(1, f"t{i}", 1.0) for i in range(10)], "query_id long, term string, weight double")
     assert search.matched(index, asked).select("score").distinct().count() == 1
     assert search.best(index, asked, 5).select("score").distinct().count() == 1
+
+
+def test_rows_scored_where_they_are_and_by_joins_agree(spark, monkeypatch):
+    """Copies tie, absent rows count as zero, a null text has no token; no posting is made for a small table of queries."""
+    texts = ["a b c", "b b d", "a b c", "q", "q", None, "", "a a a e", "b c d e"] * 5
+    corpus = spark.createDataFrame(list(enumerate(texts)), "row_id long, source_text string").repartition(4)
+    queries = spark.createDataFrame([(0, "a b b"), (1, "zzz"), (2, ""), (3, "e c q q")], "query_id long, text string")
+    rows = lambda df: sorted((r.query_id, r.row_id, round(r.score, 9)) for r in df.collect())
+    top = lambda: sorted((r.query_id, r["rank"], r.row_id, round(r.score, 9)) for r in bm25.similarity(corpus, queries, 12).collect())
+    monkeypatch.setattr(bm25, "ASKED_CELLS", -1)
+    pairs, best = rows(bm25.matched(corpus, queries)), top()
+    monkeypatch.setattr(bm25, "ASKED_CELLS", 8_000_000)
+    monkeypatch.setattr(bm25, "BLOCK_CELLS", 20)
+    monkeypatch.setattr(bm25, "postings", lambda *_, **__: 1 / 0)
+    assert rows(bm25.matched(corpus, queries)) == pairs and top() == best and len(best) == 48
