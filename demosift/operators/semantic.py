@@ -19,7 +19,9 @@ from demosift.functions import text as T
 from demosift.sources.storage import stored
 
 #: Products of two sides' tokens that are held at a time.
-PRODUCTS = 1 << 22
+PRODUCTS = 1 << 20
+#: Rows whose tokens are Python objects at a time, and tokens whose vectors an encoder remembers.
+ROWS, REMEMBERED = 64, 20_000
 Encoder = Callable[[list[list[str]]], list[np.ndarray]]
 
 
@@ -29,7 +31,7 @@ def hashed_encoder(width: int = 16) -> Encoder:
 
     def vector(token: str) -> np.ndarray:
         if token not in known:
-            if len(known) > 200_000:
+            if len(known) >= REMEMBERED:
                 known.clear()
             known[token] = np.array([int(c, 16) - 7.5 for c in hashlib.md5(token.encode()).hexdigest()[:width]])
         return known[token]
@@ -99,7 +101,7 @@ def scored(df: DataFrame, encoder: Encoder, idf: bool = False, prediction: str =
         rows = rows.withColumns({f"{s}_weights": ones(F.col(f"{s}_tokens")) for s in ("prediction", "reference")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out: list[tuple[float | None, float | None, float | None]] = []
             for p, r, wp, wr in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if not p or not r:

@@ -52,3 +52,15 @@ def test_blocks_make_no_difference():
     one = semantic.greedy_match(a, b)
     cos = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
     assert np.allclose(one[0], cos.max(axis=1)) and np.allclose(one[1], cos.max(axis=0))
+
+
+def test_few_rows_are_objects_at_a_time(spark, monkeypatch):
+    """However many rows a batch has, and with a memory of fewer tokens than a text has."""
+    rows = [(i, f"a{i} b c d", "a1 b c e" if i % 3 else "") for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, prediction string, reference string").coalesce(1)
+    got = lambda: sorted(map(tuple, semantic.scored(df, semantic.hashed_encoder(), idf=True).select("i", "precision", "recall", "f1").collect()))
+    want = got()
+    assert max(10, semantic.ROWS) <= 1000
+    monkeypatch.setattr(semantic, "ROWS", 3)
+    monkeypatch.setattr(semantic, "REMEMBERED", 2)
+    assert got() == want
