@@ -6,8 +6,8 @@ that occur once in the corpus hold no repeated window; equal segments are collap
 they occur at.  A shard sorts the suffixes of its distinct segments, key by key, by induced sorting; permuted common
 prefixes of a window's length or more link the places of equal windows, and all but the earliest one are repeated.
 
-A segment that is the only one of its key, and in which no gram of that key occurs twice, has no two equal windows to
-sort.  A key with very many distinct segments (a line in a third of all texts, each time between other words) has its
+Segments of a shard none of whose windows shares a 64-bit hash with another window have no two equal windows to sort: most
+share a key's gram and not a whole window.  A key with very many distinct segments (a line in a third of all texts, each time between other words) has its
 segments cut into single windows, which are compared as wholes, by two 64-bit hashes: most of them occur once.
 Texts travel compressed.
 
@@ -307,29 +307,31 @@ def _single(rows: DataFrame, kind: str, window: int) -> DataFrame:
     return rows.select("id", "g", "at", "n", "content").mapInArrow(run, f"id {kind}, g long, key long, at int, n int, h long")
 
 
-def _alone(contents: list[bytes], window: int, gram: int) -> np.ndarray:
-    """Whether no segment's smallest gram occurs twice in it, so that no two of its windows are equal."""
+def _recurring(contents: list[bytes], window: int) -> np.ndarray:
+    """Whether any window of a segment has a hash that another window has: others hold no two equal windows."""
+    out = np.zeros(len(contents), bool)
+    if not contents:
+        return out
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    own, keys = Slice(np.frombuffer(b"".join(contents), np.uint8), sizes, window, gram).chosen()
-    order = np.lexsort((keys, own))
-    own, keys = own[order], keys[order]
-    out = np.ones(len(contents), bool)
-    out[own[1:][(own[1:] == own[:-1]) & (keys[1:] == keys[:-1])]] = False
+    own = np.repeat(np.arange(len(contents)), sizes)
+    at = np.flatnonzero(np.cumsum(sizes)[own] - np.arange(len(own)) >= window)
+    hashes = gram_hashes(np.frombuffer(b"".join(contents), np.uint8), window)[at]
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(twice):
+        out[own[at[twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes]]] = True
     return out
 
 
-def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window: int, gram: int) -> list[list[tuple[int, int]]]:
+def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each distinct segment, byte intervals covered by windows that occur earlier in another place.
 
     Segments meet those of their key.  ``places`` orders their first bytes: the place of another byte is that plus
     its number.
     """
-    order = np.argsort(keys, kind="stable")
-    bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    # segments that meet no other and do not repeat themselves are left out
-    one = np.repeat(np.diff(bounds) == 1, np.diff(bounds))
-    one[one] = _alone([contents[i] for i in order[one].tolist()], window, gram)
-    order = order[~one]
+    # segments without a window that can be repeated are left out
+    order = np.flatnonzero(_recurring(contents, window))
+    order = order[np.argsort(keys[order], kind="stable")]
     bounds = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
     groups = [[contents[i] for i in order[a:b].tolist()] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     at, classes, starts, _ = equal_windows(groups, window)
@@ -351,7 +353,7 @@ def repeated(keys: np.ndarray, contents: list[bytes], places: np.ndarray, window
     return out
 
 
-def _search(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _search(rows: DataFrame, window: int) -> DataFrame:
     """Distinct segments' keys, first places and ``spans``, shard by shard."""
     passed = ("key", "h", "first_id", "first_g", "first_at", "times")
     kind = rows.schema["first_id"].dataType.simpleString()
@@ -360,7 +362,7 @@ def _search(rows: DataFrame, window: int, gram: int) -> DataFrame:
         ids, gs, ats = (shard.column(c).to_pylist() for c in ("first_id", "first_g", "first_at"))
         order = {x: n for n, x in enumerate(sorted(set(zip(ids, gs, strict=True)), key=lambda x: (x[0] is not None, x)))}
         places = np.array([(order[i, g] << 31) + at for i, g, at in zip(ids, gs, ats, strict=True)], np.int64)
-        found = repeated(shard.column("key").to_numpy(), shard.column("content").to_pylist(), places, window, gram)
+        found = repeated(shard.column("key").to_numpy(), shard.column("content").to_pylist(), places, window)
         spans = pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         return pa.table([*(shard.column(c) for c in passed), spans], [*passed, "spans"])
 
@@ -441,7 +443,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = distinct.select(*place, *first_at, "times", "content")
     total = occurrences.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shards = max(1, -(-total // (2 * shard_bytes)))
-    first = _search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window, gram).where("times > 1 OR size(spans) > 0").drop("times")
+    first = _search(distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))), window).where("times > 1 OR size(spans) > 0").drop("times")
     none = F.array().cast("array<struct<a:int,b:int>>")
     first = stored(first.unionByName(twice.withColumn("spans", none)), "spans")
     hits = occurrences.unionByName(single).join(first, place)

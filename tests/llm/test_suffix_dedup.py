@@ -107,3 +107,17 @@ def test_edge_cases(spark, documents):
     docs = documents([(5, one), (6, two)])
     extra = docs.selectExpr("*", "1 AS id", "2 AS g", "3 AS key", "4 AS r", "5 AS body")
     assert rows(suffix_dedup.suffix_dedup(extra)) == rows(suffix_dedup.suffix_dedup(docs))
+
+
+def test_only_segments_with_a_recurring_window_are_sorted(monkeypatch):
+    """A gram that many segments share between different bytes gives nothing to sort."""
+    draw = np.random.default_rng(3)
+    noise = lambda n: draw.integers(0, 256, n, np.uint8).tobytes()
+    gram, whole = b"a gram of many segments" * 2, noise(120)
+    contents = [noise(60) + gram + noise(60) for _ in range(50)] + [whole + b"x", b"y" + whole, b"z" * 150]
+    keys, places = np.array([7] * 52 + [8], np.int64), np.arange(53) << 31
+    sorted_ones, plain = [], suffix_dedup.equal_windows
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda groups, window: sorted_ones.extend(x for g in groups for x in g) or plain(groups, window))
+    got = suffix_dedup.repeated(keys, contents, places, 100)
+    assert got == [[]] * 51 + [[(1, 121)], [(1, 150)]]
+    assert sorted(sorted_ones) == sorted(contents[50:])
